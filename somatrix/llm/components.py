@@ -1,0 +1,40 @@
+"""Connected components of an edge table, by alternating star contractions (Kiveris et al., 2014)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from somatrix.llm.common import materialise
+
+
+def _with_least(edges: DataFrame, both_ways: bool) -> DataFrame:
+    """Rows (u, v, m): v is a neighbour of u (both ways, or only the smaller ones) and m the least of u and these."""
+    if both_ways:
+        edges = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    return edges.join(least, "u")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``links`` has two columns of equal type, the ends of each link. Gives (node, root): every node that has a link
+    to another, and the least node that it reaches. Self-links, repeated links and links both ways do no harm; no
+    links give no rows. Each round is two groupings of the links, which shrink to one star a component; nothing is
+    gathered by node or component.
+    """
+    a, b = links.columns
+    edges = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    edges = materialise(edges, "links")
+    state = None
+    while True:
+        large = _with_least(edges, both_ways=True).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.filter("u != v").distinct()
+        small = _with_least(large, both_ways=False)
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
+        edges = materialise(small.filter("u != v").distinct(), "links")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    roots = edges.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

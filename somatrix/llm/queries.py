@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from somatrix.llm import exact_dedup
+from somatrix.llm import decontaminate, exact_dedup, simhash, substring_dedup
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 SQL = {
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
+    "op6_benchmark_decontamination": decontaminate.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
