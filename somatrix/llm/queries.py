@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from somatrix.llm import decontaminate, exact_dedup, simhash, substring_dedup
+from somatrix.llm import bpe, decontaminate, exact_dedup, simhash, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_byte_bpe": bpe.op3_byte_bpe,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
