@@ -5,8 +5,8 @@ by a bit of each name and names the pairs (left, right). A symbol's parse depend
 so whatever lies outside, equal passages get equal symbols inside. Names are hashes of what they stand for, so equal
 content has one name in all documents without a dictionary that every round would have to join.
 
-A window's anchor is the symbol of the highest round whose interval lies inside the window (the leftmost of these), which
-its words alone decide: two equal windows have one anchor name. Successive windows of one anchor make one row (name,
+A window's anchor is the widest symbol of the highest round that has any whose interval lies inside the window, which its
+words alone decide: two equal windows have one anchor name. Successive windows of one anchor make one row (name,
 extent), extent being a hash of all their words. Spark keeps rows whose name is shared. Where a name's rows have one
 extent, their windows are repeats; where they have several, single windows of these rows are compared.
 """
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from somatrix.llm.common import materialise, table
 
-ROUNDS = 9
+#: Rounds, and the rounds before which runs are named too: each run's ends depend on its neighbours, which widens what a
+#: symbol depends on, and after the first round of pairs runs are rare.
+ROUNDS, RUN_ROUNDS = 4, (0,)
 #: Bytes that are parsed at a time; longer texts are parsed in pieces that overlap by a window.
 PIECE = 1 << 20
 LONG_WORD = 256
@@ -111,19 +113,20 @@ def segments(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def parse(names: np.ndarray, starts: np.ndarray, width: int) -> list[tuple[np.ndarray, ...]]:
-    """For each round from 0, its symbols that a window can hold: name, first word, and the interval they depend on."""
+    """For each round from 0, its symbols that a window can hold: name, number of words, and the interval they depend on."""
     far = np.int64(1) << 40
     n = len(names)
     segment = np.zeros(n, np.int32)
     segment[starts[(starts > 0) & (starts < n)]] = 1
     segment = np.cumsum(segment, dtype=np.int32)  # empty segments don't matter: only changes do
-    first = np.arange(n, dtype=np.int64)
-    lo, hi = first.copy(), first + 1
-    levels = [(names, first, lo, hi)]
+    lo = np.arange(n, dtype=np.int64)
+    hi = lo + 1
+    words = np.ones(n, np.int64)
+    levels = [(names, words, lo, hi)]
     for r in range(ROUNDS):
         # runs of one symbol
         joins = (names[1:] == names[:-1]) & (segment[1:] == segment[:-1])
-        if joins.any():
+        if r in RUN_ROUNDS and joins.any():
             at = np.flatnonzero(np.r_[True, ~joins])
             length = np.diff(np.r_[at, len(names)])
             last = at + length - 1
@@ -133,9 +136,9 @@ def parse(names: np.ndarray, starts: np.ndarray, width: int) -> list[tuple[np.nd
             beside_hi = np.where((last + 1 < len(names)) & (segment[after] == segment[at]), hi[after], far)
             named = names[at].copy()
             named[run] = mix(named[run] ^ mix(length[run].astype(np.uint64), 7), 4 * r + 3)
-            names, first, segment = named, first[at], segment[at]
+            names, segment, words = named, segment[at], np.add.reduceat(words, at)
             lo, hi = beside_lo, beside_hi
-        else:
+        elif r in RUN_ROUNDS:
             same = segment[1:] == segment[:-1]
             lo, hi = np.r_[-far, np.where(same, lo[:-1], -far)], np.r_[np.where(same, hi[1:], far), far]
         # pairs of a left and a right symbol
@@ -151,9 +154,10 @@ def parse(names: np.ndarray, starts: np.ndarray, width: int) -> list[tuple[np.nd
         named = names.copy()
         named[at] = mix(names[at] * EXTENT_BASE + names[at + 1], 4 * r + 5)
         keep = ~second
-        names, first, segment, lo, hi = named[keep], first[keep], segment[keep], new_lo[keep], new_hi[keep]
+        words = words + np.where(pair, np.r_[words[1:], 0], 0)
+        names, words, segment, lo, hi = named[keep], words[keep], segment[keep], new_lo[keep], new_hi[keep]
         fits = hi - lo <= width
-        levels.append((names[fits], first[fits], lo[fits], hi[fits]))
+        levels.append((names[fits], words[fits], lo[fits], hi[fits]))
         if not fits.any():
             break
     return levels
@@ -167,13 +171,14 @@ def anchored(names: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndar
     total = len(left)
     window, anchor, name = left, np.full(total, -1, np.int64), np.zeros(total, np.uint64)
     todo, base = np.arange(total), 0
-    for symbols, _, lo, hi in reversed(parse(names, starts, width)):
-        if len(lo) and len(todo):
-            i = window[todo]
-            k = np.minimum(np.searchsorted(lo, i), len(lo) - 1)
-            ok = (lo[k] >= i) & (hi[k] <= i + width)
-            anchor[todo[ok]] = base + k[ok]
-            name[todo[ok]] = symbols[k[ok]]
+    for symbols, words, lo, hi in reversed(parse(names, starts, width)):
+        i = window[todo]
+        a, b = np.searchsorted(lo, i), np.searchsorted(hi, i + width, side="right")
+        ok = a < b
+        if ok.any():
+            k = widest(words << np.int64(56) | (symbols >> np.uint64(8)).view(np.int64), a[ok], b[ok])
+            anchor[todo[ok]] = base + k
+            name[todo[ok]] = symbols[k]
             todo = todo[~ok]
         base += len(lo)
     if not total:
@@ -183,6 +188,22 @@ def anchored(names: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndar
     return window[at], count, name[at], spans(names, window[at], window[at] + count + width - 1, EXTENT_BASE)
 
 
+def widest(order: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each range from a to b, where ``order`` is largest in it; the first of equal ones."""
+    best, at = np.arange(len(order)), np.zeros(len(a), np.int64)
+    length, span = b - a, 1
+    while len(best):
+        now = (length >= span) & (length < 2 * span)
+        x, y = best[a[now]], best[b[now] - span]
+        at[now] = np.where(order[y] > order[x], y, x)
+        x, y = best[:-span], best[span:]
+        best = np.where(order[y] > order[x], y, x)
+        span *= 2
+        if not (length >= span).any():
+            break
+    return at
+
+
 def spans(names: np.ndarray, begin: np.ndarray, end: np.ndarray, base: np.uint64) -> np.ndarray:
     """Hashes of word sequences."""
     inverse = np.uint64(pow(int(base), -1, 2**64))
