@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from somatrix.llm import bpe, decontaminate, exact_dedup, simhash, substring_dedup
+from somatrix.llm import bpe, decontaminate, exact_dedup, language_id, pii, quality, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_pii": pii.op4_pii,
+    "op5_sharding": sharding.op5_sharding,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_quality": quality.op8_quality,
+    "op9_language_id": language_id.op9_language_id,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 

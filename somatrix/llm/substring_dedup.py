@@ -216,9 +216,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def occurrences(docs: DataFrame, width: int) -> DataFrame:
-    """(id, mark, first, n, name, extent): the rows of ``anchored``, for all of ``docs`` (id, mark, text)."""
-    kind = dict(docs.dtypes)["id"]
-
+    """(key, mark, first, n, name, extent): the rows of ``anchored``, for all of ``docs`` (key, mark, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for names, starts, text, first_word in segments(as_bytes(batch.column("text")), width):
@@ -226,18 +224,16 @@ def occurrences(docs: DataFrame, width: int) -> DataFrame:
                 k = np.searchsorted(starts, first, side="right") - 1
                 rows = pa.array(text[k])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(rows), batch.column("mark").take(rows), pa.array(first - starts[k] + first_word[k], pa.int64()), pa.array(n.astype(np.int32)), pa.array(name.view(np.int64)), pa.array(extent.view(np.int64))],
-                    ["id", "mark", "first", "n", "name", "extent"],
+                    [batch.column("key").take(rows), batch.column("mark").take(rows), pa.array(first - starts[k] + first_word[k], pa.int64()), pa.array(n.astype(np.int32)), pa.array(name.view(np.int64)), pa.array(extent.view(np.int64))],
+                    ["key", "mark", "first", "n", "name", "extent"],
                 )
 
-    return docs.mapInArrow(run, f"id {kind}, mark int, first long, n int, name long, extent long")
+    return docs.select("key", "mark", "text").mapInArrow(run, "key long, mark int, first long, n int, name long, extent long")
 
 
 def window_hashes(docs: DataFrame, width: int) -> DataFrame:
-    """(one, two, id, mark, at, times): hashes of the windows that ``docs`` (id, mark, text, spans) lists, spans being
+    """(one, two, key, mark, at, times): hashes of the windows that ``docs`` (key, mark, text, spans) lists, spans being
     an array of structs (first, n, times)."""
-    kind = dict(docs.dtypes)["id"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, asked = as_bytes(batch.column("text")), batch.column("spans").to_pylist()
@@ -259,44 +255,44 @@ def window_hashes(docs: DataFrame, width: int) -> DataFrame:
                 one, two = (spans(names, where, where + width, b).view(np.int64) for b in (EXTENT_BASE, WINDOW_BASE))
                 docs_at = pa.array(text[s])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one), pa.array(two), batch.column("id").take(docs_at), batch.column("mark").take(docs_at), pa.array(where - starts[s] + first_word[s], pa.int64()), pa.array(np.concatenate(times), pa.int64())],
-                    ["one", "two", "id", "mark", "at", "times"],
+                    [pa.array(one), pa.array(two), batch.column("key").take(docs_at), batch.column("mark").take(docs_at), pa.array(where - starts[s] + first_word[s], pa.int64()), pa.array(np.concatenate(times), pa.int64())],
+                    ["one", "two", "key", "mark", "at", "times"],
                 )
 
-    return docs.mapInArrow(run, f"one long, two long, id {kind}, mark int, at long, times long")
+    return docs.mapInArrow(run, "one long, two long, key long, mark int, at long, times long")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, text); mark, a hash of the text, tells rows apart that repeat an id."""
+    """(id, key, mark, text): key and mark, hashes of the id and the text, are never null and tell rows apart that repeat
+    an id with another text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("mark"), text.alias("text"))
+    mark = F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)).cast("int")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("key"), mark.alias("mark"), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
-    """(id, mark, first, end): word ranges that cover exactly the repeated windows of ``docs`` (id, mark, text)."""
+    """(key, mark, first, end): word ranges that cover exactly the repeated windows of ``docs`` (key, mark, text)."""
     rows = materialise(occurrences(docs, width), "occurrences")
-    names = rows.groupBy("name").agg(F.count("*").alias("times")).filter("times > 1").select("name")
+    # written, so that the join reads two plain shuffles, of which Spark can split a name's many rows
+    names = materialise(rows.groupBy("name").agg(F.count("*").alias("times")).filter("times > 1").select("name"), "names")
     shared = materialise(rows.join(names, "name", "left_semi"), "shared")
-    one = F.min(F.struct("id", "mark", "first", "n"))
+    one = F.min(F.struct("key", "mark", "first", "n"))
     extents = materialise(shared.groupBy("name", "extent").agg(F.count("*").alias("times"), one.alias("one")), "extents")
     whole = shared.join(extents.filter("times > 1").select("name", "extent"), ["name", "extent"], "left_semi")
-    whole = whole.select("id", "mark", "first", (F.col("first") + F.col("n") + width - 1).alias("end"))
+    whole = whole.select("key", "mark", "first", (F.col("first") + F.col("n") + width - 1).alias("end"))
     mixed = extents.groupBy("name").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("name")
     asked = extents.join(mixed, "name", "left_semi").select("times", "one.*")
-    asked = asked.groupBy("id", "mark").agg(F.collect_list(F.struct("first", "n", "times")).alias("spans"))
-    asked = asked.select(F.col("id").alias("a_id"), F.col("mark").alias("a_mark"), "spans")
-    here = docs["id"].eqNullSafe(asked["a_id"]) & (docs["mark"] == asked["a_mark"])
-    each = materialise(window_hashes(docs.join(asked, here).select("id", "mark", "text", "spans"), width).distinct(), "windows")
+    asked = asked.groupBy("key", "mark").agg(F.collect_list(F.struct("first", "n", "times")).alias("spans"))
+    texts = docs.select("key", "mark", "text").join(asked, ["key", "mark"]).dropDuplicates(["key", "mark"])
+    each = materialise(window_hashes(texts.select("key", "mark", "text", "spans"), width), "windows")
     twice = each.groupBy("one", "two").agg(F.sum("times").alias("times")).filter("times > 1").select("one", "two")
     single = each.filter("times = 1").join(twice, ["one", "two"], "left_semi")
-    return whole.unionByName(single.select("id", "mark", F.col("at").alias("first"), (F.col("at") + width).alias("end")))
+    return whole.unionByName(single.select("key", "mark", F.col("at").alias("first"), (F.col("at") + width).alias("end")))
 
 
 def without_spans(docs: DataFrame, spans_of: DataFrame) -> DataFrame:
-    """``docs`` (id, mark, text) with n_words, n_removed and kept, the words outside ``spans_of`` joined by one space."""
-    listed = spans_of.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "end")).alias("cut"))
-    listed = listed.select(F.col("id").alias("c_id"), F.col("mark").alias("c_mark"), "cut")
-    here = docs["id"].eqNullSafe(listed["c_id"]) & (docs["mark"] == listed["c_mark"])
+    """``docs`` (id, key, mark, text) with n_words, n_removed and kept, the words outside ``spans_of`` joined by one space."""
+    listed = spans_of.groupBy("key", "mark").agg(F.collect_set(F.struct("first", "end")).alias("cut"))
     kind = dict(docs.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +315,7 @@ def without_spans(docs: DataFrame, spans_of: DataFrame) -> DataFrame:
                 ["id", "n_words", "n_removed", "kept", "kept_sha256"],
             )
 
-    joined = docs.join(listed, here, "left").select("id", "text", "cut")
+    joined = docs.join(listed, ["key", "mark"], "left").select("id", "text", "cut")
     return joined.mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
 
 
