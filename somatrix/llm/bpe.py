@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from somatrix.llm.common import by_bytes, table
 
 #: Entries that a memo holds at most, the longest chunk of text that it takes, and bytes of text in an output batch.
-MEMO, LONGEST, PIECE = 300_000, 48, 4 << 20
+MEMO, LONGEST, PIECE = 100_000, 48, 2 << 20
 #: Above every rank.
 NEVER = 1 << 60
 
