@@ -19,8 +19,11 @@ from somatrix.llm.common import held_out, materialise, table
 
 #: About how many toxic and unlabelled documents the classifier is fitted on, each drawn by a hash of the id; the number
 #: of features; the word starts that are features besides whole words; classifiers, each on its share of unlabelled text.
-MAX_TOXIC, MAX_UNLABELLED, FEATURES, STARTS, MEMBERS = 4000, 15000, 2048, (4, 5, 6), 3
-STEPS, RATE, DECAY, CUT = 250, 0.05, 2e-4, 0.3
+MAX_TOXIC, MAX_UNLABELLED, FEATURES, STARTS, MEMBERS = 4000, 15000, 1024, (3, 4, 5, 6, 7, 8), 3
+STEPS, RATE, DECAY, CUT = 250, 0.05, 1e-3, 0.3
+#: Features are in this share of the sample's toxic documents, and in three of them, and this many times as frequent there
+#: as in unlabelled text, of which the prior's share is toxic too.
+LEAST, LIFT = 0.02, 3.0
 WORD = re.compile(r"[^\W\d_]+")
 MEMO = 200_000
 
@@ -111,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, list[float]] | None:
         return None
     p, u = F.col("p") / sizes[1], F.col("u") / max(sizes.get(0, 0), 1)
     spread = F.sqrt(p * (1 - p) / sizes[1] + u * (1 - u) / max(sizes.get(0, 0), 1) + 1e-6)
-    counted = found.groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("u")).filter("p + u >= 4")
+    counted = found.groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("u")).filter((F.col("p") >= 3) & (p >= LEAST) & (p >= LIFT * u))
     names = [r["feature"] for r in counted.withColumn("z", F.abs(p - u) / spread).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()]
     place = docs.sparkSession.createDataFrame(list(enumerate(names)) or [(0, "")], "at long, feature string")
     rows = sample.select("row", "toxic").join(found.join(F.broadcast(place), "feature").groupBy("row").agg(F.collect_list("at").alias("at")), "row", "left")
