@@ -130,7 +130,7 @@ def hdbscan(points: DataFrame, min_cluster_size: int, min_samples: int, k: int |
         ids = np.sort(frame.loc[frame["w"] < 0, "src"].to_numpy())
         return pd.DataFrame({"id": ids, "cluster": condensed_labels(ids, frame[frame["w"] >= 0], min_cluster_size, allow_single_cluster)})
 
-    return rows.groupBy(F.lit(1)).applyInPandas(cut, f"id {kind}, cluster int")
+    return rows.withColumn("tree", F.lit(1)).groupBy("tree").applyInPandas(cut, f"id {kind}, cluster int")
 
 
 def curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
@@ -181,9 +181,8 @@ def umap_layout(points: DataFrame, n_neighbors: int, min_dist: float, seed: int
         clip = lambda v: F.least(F.greatest(v, F.lit(-4.0)), F.lit(4.0))
         moves = moves.unionByName(pushed.select("id", clip(h * (F.col("x") - F.col("x2"))).alias("mx"), clip(h * (F.col("y") - F.col("y2"))).alias("my")))
         total = moves.groupBy("id").agg(F.sum("mx").alias("mx"), F.sum("my").alias("my"))
-        place = place.join(total, "id", "left").select("id", *[(F.col(c) + rate * clip(F.coalesce(f"m{c}", F.lit(0.0)))).alias(c) for c in ("x", "y")])
-        if epoch % 5 == 4:
-            place = materialise(place, "layout")
+        moved = place.join(total, "id", "left").select("id", *[(F.col(c) + rate * clip(F.coalesce(f"m{c}", F.lit(0.0)))).alias(c) for c in ("x", "y")])
+        place = materialise(moved, "layout")  # each epoch reads it three times
     return place.select("id", F.col("x").alias("umap_1"), F.col("y").alias("umap_2"))
 
 

@@ -26,7 +26,7 @@ def shares(facts: DataFrame, by: str, of: str) -> DataFrame:
 def pivoted(facts: DataFrame, by: str, of: str, values: list, order: list | None = None) -> DataFrame:
     """One row for each group, one column of counts for each of ``values``; groups in ``order`` that are missing give
     zeros, others go."""
-    wide = facts.groupBy(by).pivot(of, values).agg(F.count("*")).na.fill(0)
+    wide = facts.groupBy(by).pivot(of, values).agg(F.count(F.lit(1))).na.fill(0)
     if order is None:
         return wide
     ranks = facts.sparkSession.createDataFrame(list(enumerate(order)), f"ord int, {by} string")

@@ -240,7 +240,7 @@ def fact_union_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.with_keys(facts.concat_tables(halves)).select("categories", "cell_id", "cell", "cluster")
 
 
-@query("""SELECT o_orderkey AS cell, a.n AS lines, round(b.quantity, 2) AS quantity, round(c.price / nullif(b.quantity, 0), 4) AS solidity
+@query("""SELECT o_orderkey AS cell, a.n AS lines, round(b.quantity, 2) AS quantity, c.price / nullif(b.quantity, 0) AS solidity
 FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) a ON o_orderkey = a.l_orderkey JOIN (SELECT l_orderkey, sum(CAST(l_quantity AS DECIMAL(18,2)))::DOUBLE AS quantity FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) b ON o_orderkey = b.l_orderkey
 JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE AS price FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) c ON o_orderkey = c.l_orderkey""")
 def feature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +251,7 @@ def feature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cell"))
     joined = facts.join_features([orders, counted, quantity, price], ("cell",)).withColumn("convex_hull_area", F.col("cell_area")).withColumn("cell_area", F.col("price"))
     whole = facts.with_ratios(joined)
-    return whole.select("cell", "lines", F.round("convex_hull_area", 2).alias("quantity"), F.round("cell_solidity", 4).alias("solidity"))
+    return whole.select("cell", "lines", F.round("convex_hull_area", 2).alias("quantity"), F.col("cell_solidity").alias("solidity"))
 
 
 _NAMES = "(SELECT c_custkey, 'R' || c_custkey || '_' || c_mktsegment || '_SS_T' || c_nationkey || '_CA1' || CASE WHEN c_custkey % 2 = 0 THEN '_FOTO1_PROCESSED' ELSE '' END || '.tif' AS name FROM customer)"
