@@ -201,7 +201,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Mixture | None, least: float = 0.4) -> DataFrame:
     """``docs`` (text, ...) without the rows that are ``und`` or whose main language has less than ``least`` of their
     words; all columns stay as they are. Edge cases as in ``predict_languages``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -210,7 +210,7 @@ def keep_identified(docs: DataFrame, model: Mixture | None, least: float = 0.4)
             keep = np.zeros(batch.num_rows, bool)
             for a, b in by_bytes(texts, PIECE) if model else ():
                 keep[a:b] = model.predict(texts[a:b])[1] >= least
-            yield batch.select(docs.columns).filter(pa.array(keep & np.array(letters, bool)))
+            yield batch.select(columns).filter(pa.array(keep & np.array(letters, bool)))
 
     marked = docs.withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return marked.mapInArrow(run, docs.schema)
