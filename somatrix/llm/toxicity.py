@@ -8,6 +8,7 @@ its risk on clean text; where that estimate is below zero, the step goes the oth
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,17 +37,37 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def sample_features(sample: DataFrame) -> DataFrame:
-    """(row, toxic, feature): each feature once for each row of ``sample`` (row, toxic, text)."""
+def features_of(text: str | None) -> set[str]:
+    return {f for w in words_of(text) for f in word_features(w)}
+
+
+def feature_counts(sample: DataFrame) -> DataFrame:
+    """(feature, p, u): in how many toxic and how many unlabelled rows of ``sample`` (toxic, text) each feature is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                counts[toxic].update(features_of(text))
+            names = list(counts[0] | counts[1])
+            columns = [pa.array([c[x] for x in names], pa.int64()) for c in reversed(counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *columns], ["feature", "p", "u"])
+
+    each = sample.select("toxic", "text").mapInArrow(run, "feature string, p long, u long")
+    return each.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+
+
+def feature_rows(sample: DataFrame, names: list[str]) -> DataFrame:
+    """(row, toxic, at): the places in ``names`` of each row's features, ascending."""
+    shared = sample.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(names)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = shared.value
         for batch in batches:
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                found = sorted({f for w in words_of(text) for f in word_features(w)})
-                row, toxic = batch.column("row")[i].as_py(), batch.column("toxic")[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), pa.array([toxic] * len(found), pa.int32()), pa.array(found, pa.string())], ["row", "toxic", "feature"])
+            at = [sorted(place[f] for f in features_of(text) if f in place) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("toxic"), pa.array(at, pa.list_(pa.int64()))], ["row", "toxic", "at"])
 
-    return sample.mapInArrow(run, "row long, toxic int, feature string")
+    return sample.mapInArrow(run, "row long, toxic int, at array<long>")
 
 
 class Rows:
@@ -105,21 +126,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, list[float]] | None:
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     confirmed = own.filter((F.col("toxic") == 1) & (draw < MAX_TOXIC / n_toxic)).select("doc_id")
     drawn = training.filter(draw < MAX_UNLABELLED / max(total, 1)).withColumn("toxic", F.lit(0))
-    toxic = training.join(confirmed, "doc_id").withColumn("toxic", F.lit(1))
+    toxic = training.join(F.broadcast(confirmed), "doc_id").withColumn("toxic", F.lit(1))  # about MAX_TOXIC ids at most
     numbered = drawn.unionByName(toxic).withColumn("row", F.monotonically_increasing_id())
     sample = materialise(numbered.select("row", "toxic", "text"), "toxicity_sample")
-    found = materialise(sample_features(sample), "toxicity_features")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if 1 not in sizes:
         return None
     p, u = F.col("p") / sizes[1], F.col("u") / max(sizes.get(0, 0), 1)
     spread = F.sqrt(p * (1 - p) / sizes[1] + u * (1 - u) / max(sizes.get(0, 0), 1) + 1e-6)
-    counted = found.groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("u")).filter((F.col("p") >= 3) & (p >= LEAST) & (p >= LIFT * u))
-    names = [r["feature"] for r in counted.withColumn("z", F.abs(p - u) / spread).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()]
-    place = docs.sparkSession.createDataFrame(list(enumerate(names)) or [(0, "")], "at long, feature string")
-    rows = sample.select("row", "toxic").join(found.join(F.broadcast(place), "feature").groupBy("row").agg(F.collect_list("at").alias("at")), "row", "left")
-    whole = rows.orderBy("row").toPandas()
-    features = [np.sort(np.array(x, np.int64)) if x is not None else np.empty(0, np.int64) for x in whole["at"]]
+    lifted = feature_counts(sample).filter((F.col("p") >= 3) & (p >= LEAST) & (p >= LIFT * u))
+    names = [r["feature"] for r in lifted.withColumn("z", (p - u) / spread).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()]
+    whole = feature_rows(sample, names).orderBy("row").toPandas()
+    features = [np.array(x, np.int64) for x in whole["at"]]
     is_toxic = whole["toxic"].to_numpy() == 1
     positive = Rows([f for f, y in zip(features, is_toxic, strict=True) if y], len(names))
     free = [f for f, y in zip(features, is_toxic, strict=True) if not y]
