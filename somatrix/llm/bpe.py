@@ -21,7 +21,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somatrix.llm.common import by_bytes, table
+from somatrix.llm.common import by_bytes
+from somatrix.tables import table
 
 #: Entries that a memo holds at most, the longest chunk of text that it takes, and bytes of text in an output batch.
 MEMO, LONGEST, PIECE = 100_000, 48, 2 << 20

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from somatrix.llm.common import ascii_lower, materialise, table
+from somatrix.llm.common import ascii_lower
+from somatrix.tables import materialise, table
 
 #: Everything below U+0080 but digits and a-z; A-Z is lower-cased before.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

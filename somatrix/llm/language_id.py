@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somatrix.llm.common import by_bytes, held_out, table
+from somatrix.llm.common import by_bytes, held_out
+from somatrix.tables import table
 
 #: Trigram buckets, added to each bucket's count, EM steps for each set, the most languages in a set, and the penalty for
 #: a further language in units of half the logarithm of the number of words.

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somatrix.llm.common import held_out, materialise, table
+from somatrix.llm.common import held_out
+from somatrix.tables import materialise, table
 
 #: About how many labelled and unlabelled documents the views are fitted on, drawn by a hash of the id; what part of the
 #: labelled ones is kept for calibration; rounds, and the share of the unlabelled pool that a view labels in each, for

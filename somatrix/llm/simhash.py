@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somatrix.llm.common import materialise, table
-from somatrix.llm.components import components
+from somatrix.operators.graph import components
+from somatrix.tables import materialise, table
 
 #: Reference fingerprints of the pivot table: drawn once from this seed.
 PIVOT_SEED, N_PIVOTS = 20, 24
@@ -141,7 +141,7 @@ def fingerprint_links(distinct: DataFrame, most: int = 2, split_above: int = 102
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.empty((0, 3), np.int64)
         for batch in batches:
-            rest = np.vstack([rest, *(np.column_stack([np.asarray(batch.column(c)) for c in ("mask", "value", "fp")]),)])
+            rest = np.vstack([rest, np.column_stack([np.asarray(batch.column(c)) for c in ("mask", "value", "fp")])])
             change = np.flatnonzero((rest[1:, :2] != rest[:-1, :2]).any(axis=1)) + 1
             if not len(change):
                 continue

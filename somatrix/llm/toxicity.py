@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somatrix.llm.common import held_out, materialise, table
+from somatrix.llm.common import held_out
+from somatrix.tables import materialise, table
 
 #: About how many toxic and unlabelled documents the classifier is fitted on, each drawn by a hash of the id; the number
 #: of features; the word starts that are features besides whole words; classifiers, each on its share of unlabelled text.
