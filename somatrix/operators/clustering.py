@@ -111,17 +111,18 @@ def condensed_labels(ids: np.ndarray, edges: pd.DataFrame, least: int, allow_sin
     return labels
 
 
-def hdbscan(points: DataFrame, min_cluster_size: int, min_samples: int, k: int | None = None, allow_single_cluster: bool = True) -> DataFrame:
+def hdbscan(points: DataFrame, min_cluster_size: int, min_samples: int, k: int | None = None, allow_single_cluster: bool = True, near: DataFrame | None = None) -> DataFrame:
     """(id, cluster) of ``points`` (id, vec); noise is -1, clusters count from 0.
 
     Neighbours, mutual reachability and the spanning forest are Spark joins over the graph of the ``k`` nearest
     neighbours (at least twice ``min_samples``); with fewer than all neighbours, clusters further apart than those are
     taken as unconnected. Only the merges, one row a point, are cut in a single task, which refuses more than
-    ``TREE_LIMIT`` points."""
+    ``TREE_LIMIT`` points. ``near`` gives the neighbours where they are known already."""
     n = points.count()
     if n > TREE_LIMIT:
         raise ValueError(f"the tree of merges is cut in one task, which takes {TREE_LIMIT} points at most")
-    near = materialise(knn(points, min(max(n - 1, 1), k or max(2 * min_samples, 15))), "neighbours")
+    if near is None:
+        near = materialise(knn(points, min(max(n - 1, 1), k or max(2 * min_samples, 15))), "neighbours")
     forest = minimum_spanning_forest(mutual_reachability(near, core_distances(near, min_samples)))
     kind = dict(points.dtypes)["id"]
     rows = points.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(-1.0).alias("w")).unionByName(forest)
@@ -133,6 +134,16 @@ def hdbscan(points: DataFrame, min_cluster_size: int, min_samples: int, k: int |
     return rows.withColumn("tree", F.lit(1)).groupBy("tree").applyInPandas(cut, f"id {kind}, cluster int")
 
 
+def hdbscan_grid(points: DataFrame, sizes: tuple[int, ...], samples: tuple[int, ...]) -> DataFrame:
+    """(id, cluster, min_cluster_size, min_samples): a clustering for each combination, over one table of neighbours."""
+    near = materialise(knn(points, max(2 * max(samples), 15)), "neighbours")
+    found = None
+    for size, sample in grid(sizes, samples):
+        one = hdbscan(points, size, sample, near=near).withColumns({"min_cluster_size": F.lit(size), "min_samples": F.lit(sample)})
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
     """a and b for which 1 / (1 + a d^2b) is closest to 1 up to ``min_dist`` and to an exponential beyond."""
     x = np.linspace(0, 3 * spread, 300)

@@ -178,3 +178,38 @@ def test_stream(spark, sf_dir, tmp_path):
     arrivals.append_to(arrivals.windowed_counts(stream, "ts", "event_type"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert 0 < out.agg({"n": "sum"}).first()[0] <= source.count()
+
+
+def test_images(spark, tmp_path):
+    """Drawn images are read back by Spark's image source as the pixels they were drawn from."""
+    from somatrix.sources import images, png
+
+    size = spark.createDataFrame([("a", 12, 20), ("b", 5, 5)], "img string, h int, w int")
+    pixels = spark.createDataFrame([("a", 3, 4, "255,128,0"), ("a", 11, 19, "1,2,3"), ("a", 40, 4, "9,9,9")], "img string, r int, c int, colour string")
+    drawn = {r["img"]: bytes(r["png"]) for r in png.draw(pixels, size).collect()}
+    name = tmp_path / "R3_VEH_SS_T7_CA1.png"
+    name.write_bytes(drawn["a"])
+    (tmp_path / "R3_VEH_SS_T8_CA1.png").write_bytes(drawn["b"])
+    found = images.read_images(spark, str(tmp_path))
+    assert {(r["height"], r["width"], r["tissue"], r["region"]) for r in found.collect()} == {(12, 20, "T7", "CA1"), (5, 5, "T8", "CA1")}
+    coloured = images.channel(found, "rgba").filter("ch_a > 0").select("r", "c", "ch_r", "ch_g", "ch_b").collect()
+    assert sorted(map(tuple, coloured)) == [(3, 4, 255, 128, 0), (11, 19, 1, 2, 3)]
+    assert images.pixels(found, above=50, invert=False).count() == 0  # the first channel is blue
+    boxes = spark.createDataFrame([("a", 1, 1, 3, 4, "0,0,0")], "img string, top int, left int, height int, width int, colour string")
+    assert png.annotations(boxes).count() == 10
+
+
+def test_hdbscan_grid(spark):
+    points = spark.createDataFrame(blobs()[:60], "id long, vec array<double>")
+    found = clustering.hdbscan_grid(points, (5, 10), (4,))
+    assert found.count() == 120 and found.select("min_cluster_size").distinct().count() == 2
+
+
+def test_feature_files(spark, tmp_path):
+    from somatrix.sources import tables
+
+    (tmp_path / "p.csv").write_text('Cell,cell_positions\n1,"(10, 20, 45, 78)"\n')
+    assert tuple(tables.read_features(spark, str(tmp_path / "p.csv"), "Cell_Positions").first()["box"]) == (10, 20, 45, 78)
+    facts_table = spark.createDataFrame([("CA1", "R1", 1), ("HILUS", "R1", 2)], "region string, subject string, cell int")
+    tables.write_facts(facts_table, str(tmp_path / "facts"))
+    assert spark.read.parquet(str(tmp_path / "facts")).filter("region = 'CA1'").count() == 1
