@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somatrix.llm.common import by_bytes
+from somatrix.llm.common import by_bytes, small
 from somatrix.tables import table
 
 #: Entries that a memo holds at most, the longest chunk of text that it takes, and bytes of text in an output batch.
@@ -197,7 +197,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column("text").to_pylist()
             for a, b in by_bytes(texts, PIECE):
                 ids = [model.encode(x) for x in texts[a:b]]
@@ -214,7 +214,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared)
-        for batch in batches:
+        for batch in small(batches, "ids"):
             decoded = [model.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.select(["id", "n_tokens", "ids"]).columns, pa.array(decoded, pa.binary())], ["id", "n_tokens", "ids", "decoded"])
 

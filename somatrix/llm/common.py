@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +34,15 @@ def by_bytes(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         size += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+def small(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of one column each, so that what a task makes of a batch stays small."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            past = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, past + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to

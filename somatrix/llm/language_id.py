@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somatrix.llm.common import by_bytes, held_out
+from somatrix.llm.common import by_bytes, held_out, small
 from somatrix.tables import table
 
 #: Trigram buckets, added to each bucket's count, EM steps for each set, the most languages in a set, and the penalty for
@@ -60,7 +60,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bucket", "n"])
             held.clear()
 
-        for batch in batches:
+        for batch in small(batches):
             texts, langs = lowered(batch.column("text")), batch.column("lang").to_pylist()
             for lang in dict.fromkeys(langs):
                 own = [x for x, y in zip(texts, langs, strict=True) if y == lang]
@@ -181,7 +181,7 @@ def predict_languages(docs: DataFrame, model: Mixture | None, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         piece = max(PIECE // 8, PIECE * 4 // max(4, len(model.languages))) if model else PIECE
-        for batch in batches:
+        for batch in small(batches):
             texts, letters = lowered(batch.column("text")), batch.column("letters").to_pylist()
             for a, b in by_bytes(texts, piece):
                 lang, score = model.predict(texts[a:b]) if model else ([UNKNOWN] * (b - a), np.zeros(b - a))
@@ -206,7 +206,7 @@ def keep_identified(docs: DataFrame, model: Mixture | None, least: float = 0.4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in small(batches):
             texts, letters = lowered(batch.column("text")), batch.column("__letters").to_pylist()
             keep = np.zeros(batch.num_rows, bool)
             for a, b in by_bytes(texts, PIECE) if model else ():

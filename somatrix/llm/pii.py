@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from somatrix.llm.common import small
 from somatrix.tables import table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -135,7 +136,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
     out, since whether they are entities is what the field is to say."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows: list[tuple] = []
             for text in batch.column("text").to_pylist():
                 if not text or not DIGIT.search(text) and "@" not in text:
@@ -261,7 +262,7 @@ def find_pii(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 base = pattern_spans(text or "")

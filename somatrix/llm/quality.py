@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somatrix.llm.common import held_out
+from somatrix.llm.common import held_out, small
 from somatrix.tables import materialise, table
 
 #: About how many labelled and unlabelled documents the views are fitted on, drawn by a hash of the id; what part of the
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
     sample = materialise(_views(training).join(F.broadcast(kept.select("doc_id", "quality")), "doc_id"), "quality_sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             content = [text_view(x).astype(np.float16).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), batch.column("meta"), pa.array(content, pa.binary())], ["doc_id", "quality", "meta", "content"])
 
@@ -167,7 +167,7 @@ def score_quality(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in small(batches):
             out = np.full((3, batch.num_rows), 0.5)
             if model and batch.num_rows:
                 z = np.array([text_view(x) @ model["w0"][:-1] for x in batch.column("text").to_pylist()]) + model["w0"][-1]

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from somatrix.llm.common import small
 from somatrix.tables import materialise, table
 
 #: Rounds, and the rounds before which runs are named too: each run's ends depend on its neighbours, which widens what a
@@ -218,7 +219,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 def occurrences(docs: DataFrame, width: int) -> DataFrame:
     """(key, mark, first, n, name, extent): the rows of ``anchored``, for all of ``docs`` (key, mark, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for names, starts, text, first_word in segments(as_bytes(batch.column("text")), width):
                 first, n, name, extent = anchored(names, starts, width)
                 k = np.searchsorted(starts, first, side="right") - 1
@@ -235,7 +236,7 @@ def window_hashes(docs: DataFrame, width: int) -> DataFrame:
     """(one, two, key, mark, at, times): hashes of the windows that ``docs`` (key, mark, text, spans) lists, spans being
     an array of structs (first, n, times)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts, asked = as_bytes(batch.column("text")), batch.column("spans").to_pylist()
             for names, starts, text, first_word in segments(texts, width):
                 if not len(names):
@@ -296,7 +297,7 @@ def without_spans(docs: DataFrame, spans_of: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             totals, removed, kept, digest = [], [], [], []
             for text, cut in zip(batch.column("text"), batch.column("cut"), strict=True):
                 ws = text.as_py().encode().split()

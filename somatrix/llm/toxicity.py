@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somatrix.llm.common import held_out
+from somatrix.llm.common import held_out, small
 from somatrix.tables import materialise, table
 
 #: About how many toxic and unlabelled documents the classifier is fitted on, each drawn by a hash of the id; the number
@@ -46,7 +46,7 @@ def feature_counts(sample: DataFrame) -> DataFrame:
     """(feature, p, u): in how many toxic and how many unlabelled rows of ``sample`` (toxic, text) each feature is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 counts[toxic].update(features_of(text))
@@ -64,7 +64,7 @@ def feature_rows(sample: DataFrame, names: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = shared.value
-        for batch in batches:
+        for batch in small(batches):
             at = [sorted(place[f] for f in features_of(text) if f in place) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("toxic"), pa.array(at, pa.list_(pa.int64()))], ["row", "toxic", "at"])
 
@@ -164,7 +164,7 @@ def score_toxicity(docs: DataFrame, model: dict[str, list[float]] | None, id_col
         weights = np.array([model[x] for x in names]).reshape(-1, MEMBERS) if model else None
         bias = np.array(model[""]) if model else None
         memo: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
+        for batch in small(batches):
             scores = np.zeros(batch.num_rows)
             for i, text in enumerate(batch.column("text").to_pylist() if model else ()):
                 found: set[int] = set()
