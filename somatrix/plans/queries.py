@@ -549,18 +549,29 @@ def neighborhood_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    names = [f"e{i}" for i in range(8)]
-    return table(spark, sf_dir, "embeddings").filter("label < 3").select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), names
+    """All embeddings, one column an element."""
+    vectors = table(spark, sf_dir, "embeddings")
+    names = [f"e{i}" for i in range(vectors.select(F.max(F.size("embedding"))).first()[0])]
+    return vectors.select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), names
 
 
 @query(None)
 def rfe_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame, names = _frame(spark, sf_dir)
-    return selection.eliminate(frame, names, "label", 4, trees=20, depth=5)
+    return selection.eliminate(frame, names, "label", len(names) // 2, trees=10, depth=4)
 
 
 @query(None)
 def svm_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame, names = _frame(spark, sf_dir)
-    models = selection.one_against_one(frame, names, "label", 20)
+    models = selection.one_against_one(frame, names, "label", 10)
     return stats.confusion(selection.vote(frame, names, models))
+
+
+@query(None)
+def forest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class report of a forest on an exact hold-out of 0.3."""
+    frame, names = _frame(spark, sf_dir)
+    split = materialise(selection.exact_split(frame, 0.3, "vec_id"), "split")
+    predicted = selection.forest_predictions(split.filter("not test"), split.filter("test"), names, "label", trees=20, depth=5)
+    return rounded(stats.class_report(predicted.withColumn("label", F.col("label").cast("string"))), "precision", "recall", "f1")
