@@ -25,7 +25,7 @@ from somatrix.llm.common import by_bytes, small
 from somatrix.tables import table
 
 #: Entries that a memo holds at most, the longest chunk of text that it takes, and bytes of text in an output batch.
-MEMO, LONGEST, PIECE = 100_000, 48, 2 << 20
+MEMO, LONGEST, PIECE = 300_000, 48, 2 << 20
 #: Above every rank.
 NEVER = 1 << 60
 
@@ -51,7 +51,7 @@ class Memo(dict):
 
 
 class ByteBPE:
-    """Encoder and decoder for one vocabulary and one pattern that cuts texts into pieces."""
+    """Encoder for one vocabulary and one pattern that cuts texts into pieces."""
 
     def __init__(self, ranks: list[tuple[bytes, int]], pattern: str):
         self.rank = dict(ranks)
@@ -70,6 +70,11 @@ class ByteBPE:
         self.chunk = Memo(self._chunk)
         self.spaced = Memo(lambda chunk: self._chunk(" " + chunk))
 
+    def forget(self) -> None:
+        """Free what texts have added."""
+        for memo in (self.fits, self.piece, self.chunk, self.spaced):
+            memo.clear()
+
     def _shorter(self, rank: int) -> int | None:
         """The longest token that is a proper prefix of this one."""
         token = self.token[rank]
@@ -161,8 +166,6 @@ class ByteBPE:
             return self.chunk[first] + b"".join(map(self.spaced.__getitem__, rest))
         return b"".join(map(self.chunk.__getitem__, self.BREAK.split(text)))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 _made: dict[tuple, ByteBPE] = {}
@@ -203,6 +206,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 ids = [model.encode(x) for x in texts[a:b]]
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], counts, pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
+        model.forget()
 
     return slim.mapInArrow(run, f"id {kind}, n_tokens long, ids binary")
 
@@ -213,9 +217,9 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     shared = _share(encoded, ranks_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared)
+        token = {rank: raw for raw, rank in shared.value[0]}
         for batch in small(batches, "ids"):
-            decoded = [model.decode(x) for x in batch.column("ids").to_pylist()]
+            decoded = [b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.select(["id", "n_tokens", "ids"]).columns, pa.array(decoded, pa.binary())], ["id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("id", "n_tokens", "ids").mapInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded binary")
