@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somatrix.llm import bpe, decontaminate, exact_dedup, language_id, simhash
+from somatrix.llm import bpe, decontaminate, exact_dedup, language_id, near_text
 from somatrix.tables import materialise, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -23,8 +23,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id stays."""
-    return simhash.near_dedup(docs)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more), the document with the smallest doc_id
+    stays."""
+    return near_text.near_text_dedup(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
