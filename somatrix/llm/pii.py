@@ -24,7 +24,9 @@ KINDS = ("email", "ip", "card", "phone")
 N = len(KINDS) + 1  # label 0: none
 #: Documents that the weights are fitted on, about, drawn by a hash of the id.
 MAX_DOCUMENTS = 20_000
-STEPS, RATE, DECAY, ROUNDS, SURE = 300, 0.1, 0.01, 10, 0.5
+STEPS, RATE, DECAY, SURE = 300, 0.1, 0.01, 0.5
+#: Messages have converged when none changes by more than this.
+STILL = 1e-4
 #: What equal labels at both ends of a skip edge are worth before any training; training starts and shrinks to this.
 SKIP_PRIOR = 1.5
 
@@ -169,7 +171,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict
     total = docs.count()
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("pii")), F.lit(1 << 30)) / float(1 << 30)
     drawn = docs.filter(draw < MAX_DOCUMENTS / max(total, 1)).select(F.col(text_col).alias("text"))
-    rows = training_rows(drawn).orderBy(F.desc("n"), "features", "label", "left", "right", "skips").limit(50_000).collect()
+    rows = training_rows(drawn).orderBy(F.desc("n"), "features", "label", "left", "right", "skips").collect()
     nf = len(FEATURES)
     x = np.zeros((len(rows), nf + 3 * N))
     y = np.zeros(len(rows), np.int64)
@@ -200,7 +202,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict
 
 
 def marginals(field: Field, model: dict[str, np.ndarray]) -> np.ndarray:
-    """(token, label), by loopy sum-product messages, all at once each round and damped by half."""
+    """(token, label), by loopy sum-product messages, all at once each round and damped by half, until they stay as they
+    are; where loops keep them moving, for as many rounds as a label needs to cross the graph on the longest way."""
     n = len(field.spans)
     node = np.zeros((n, N))
     for i, features in enumerate(field.features):
@@ -215,14 +218,17 @@ def marginals(field: Field, model: dict[str, np.ndarray]) -> np.ndarray:
     half = len(edges)
     back = np.r_[np.arange(half, 2 * half), np.arange(half)]
     message = np.zeros((2 * half, N))
-    for _ in range(ROUNDS):
+    for _ in range(32 + 4 * half):
         total = node.copy()
         np.add.at(total, target, message)
         out = (total[source] - message[back])[:, :, None] + potential
         top = out.max(axis=1, keepdims=True)
         new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
         new -= new.max(axis=1, keepdims=True)
+        moved = np.abs(new - message).max(initial=0.0)
         message = 0.5 * message + 0.5 * new
+        if moved <= STILL:
+            break
     total = node.copy()
     np.add.at(total, target, message)
     p = np.exp(total - total.max(axis=1, keepdims=True))
