@@ -10,8 +10,11 @@ prefix of the bytes has one encoding only, every position is left for good once,
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,28 +27,38 @@ from pyspark.sql import functions as F
 from somatrix.llm.common import by_bytes, small
 from somatrix.tables import table
 
-#: Entries that a memo holds at most, the longest chunk of text that it takes, and bytes of text in an output batch.
-MEMO, LONGEST, PIECE = 300_000, 48, 2 << 20
+#: Bytes that a memo of chunks holds at most, the longest chunk that it takes, pairs of tokens that the other memo holds,
+#: and bytes of text in an output batch.
+MEMO, LONGEST, PAIRS, PIECE = 32 << 20, 48, 100_000, 2 << 20
 #: Above every rank.
 NEVER = 1 << 60
+#: In the tables of tokens: not looked up yet, and none.
+UNKNOWN, NONE = -2, -1
+
+
+def parse_ranks(vocabulary: bytes) -> list[tuple[bytes, int]]:
+    """Tokens and their ranks, from lines of a token in base64 and its rank."""
+    return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, vocabulary.splitlines())]
 
 
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
-    with open(path, "rb") as lines:
-        return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, lines)]
+    with open(path, "rb") as file:
+        return parse_ranks(file.read())
 
 
 class Memo(dict):
-    """Results by argument; forgets all when full."""
+    """Encodings of short chunks; forgets all when it would hold more than ``MEMO`` bytes."""
 
     def __init__(self, f):
-        self.f = f
+        self.f, self.held = f, 0
 
-    def __missing__(self, key):
-        if len(self) >= MEMO:
-            self.clear()
+    def __missing__(self, key: str) -> bytes:
         out = self.f(key)
-        if not isinstance(key, str) or len(key) <= LONGEST:
+        if len(key) <= LONGEST:
+            self.held += sys.getsizeof(key) + sys.getsizeof(out) + 128
+            if self.held > MEMO:
+                self.clear()
+                self.held = 0
             self[key] = out
         return out
 
@@ -55,57 +68,61 @@ class ByteBPE:
 
     def __init__(self, ranks: list[tuple[bytes, int]], pattern: str):
         self.rank = dict(ranks)
-        self.token = dict((b, a) for a, b in ranks)
-        self.size = {b: len(a) for a, b in ranks}
+        places = max(self.rank.values()) + 1
+        self.token = [b""] * places
         self.pieces = regex.compile(pattern)
-        self.automaton = ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, rank in ranks:
-            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+            self.token[rank] = token
+            self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.shorter = Memo(self._shorter)
-        self.halves = Memo(self._halves)
-        self.edges = Memo(self._edge)
-        self.fits = Memo(self._fits)
+        self.shorter = array("i", [UNKNOWN]) * places
+        self.halves = array("i", [UNKNOWN]) * places, array("i", [UNKNOWN]) * places
+        self.fits: dict[int, bool] = {}
         self.piece = Memo(self._piece)
-        self.chunk = Memo(self._chunk)
         self.spaced = Memo(lambda chunk: self._chunk(" " + chunk))
 
-    def forget(self) -> None:
-        """Free what texts have added."""
-        for memo in (self.fits, self.piece, self.chunk, self.spaced):
-            memo.clear()
-
-    def _shorter(self, rank: int) -> int | None:
+    def _shorter(self, rank: int) -> int:
         """The longest token that is a proper prefix of this one."""
-        token = self.token[rank]
-        return next((self.rank[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in self.rank), None)
-
-    def _halves(self, rank: int) -> tuple[int, int] | None:
-        """The two tokens whose merge makes this one; none for single bytes and tokens that merges never make."""
-        parts = [self.token[rank][i : i + 1] for i in range(len(self.token[rank]))]
-        while len(parts) > 2:
-            best, at = min((self.rank.get(a + b, NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best == NEVER:
-                return None
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return (self.rank[parts[0]], self.rank[parts[1]]) if len(parts) == 2 else None
-
-    def _edge(self, key: tuple[int, int]) -> list[tuple[int, int]] | None:
+        found = self.shorter[rank]
+        if found == UNKNOWN:
+            token = self.token[rank]
+            found = next((self.rank[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in self.rank), NONE)
+            self.shorter[rank] = found
+        return found
+
+    def _half(self, rank: int, side: int) -> int:
+        """The token at one side (0: the start) of the merge that makes this one; none for single bytes and for tokens
+        that merges never make."""
+        if self.halves[side][rank] == UNKNOWN:
+            parts = [self.token[rank][i : i + 1] for i in range(len(self.token[rank]))]
+            while len(parts) > 2:
+                best, at = min((self.rank.get(a + b, NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+                if best == NEVER:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            made = [self.rank.get(x, NONE) for x in parts] if len(parts) == 2 else [NONE]
+            if NONE not in made and not all(len(x) == 1 or self._half(r, 0) != NONE for x, r in zip(parts, made, strict=True)):
+                made = [NONE]
+            for k in (0, 1):
+                self.halves[k][rank] = NONE if NONE in made else made[k]
+        return self.halves[side][rank]
+
+    def _edge(self, rank: int, side: int) -> list[tuple[int, int]] | None:
         """The tokens that stand at one edge of a token (side 0: its start, 1: its end) while its bytes are merged, from
         a single byte to the whole, each with the rank of the merge that ends it. None if merges never make the token."""
-        rank, side = key
-        halves = self.halves[rank]
-        if halves is None:
-            return [(rank, NEVER)] if len(self.token[rank]) == 1 else None
-        inner, other = self.edges[halves[side], side], self.edges[halves[1 - side], 0]
-        if inner is None or other is None:
-            return None
-        return [*inner[:-1], (halves[side], rank), (rank, NEVER)]
-
-    def _fits(self, pair: tuple[int, int]) -> bool:
+        out, ends = [], NEVER
+        while True:
+            out.append((rank, ends))
+            half = self._half(rank, side)
+            if half == NONE:
+                return out[::-1] if len(self.token[rank]) == 1 else None
+            rank, ends = half, rank
+
+    def _fits(self, first: int, second: int) -> bool:
         """Whether the bytes of both tokens merge to these two: no merge over their border comes before it is ruled out.
         Of equal ranks the left merge comes first."""
-        left, right = self.edges[pair[0], 1], self.edges[pair[1], 0]
+        left, right = self._edge(first, 1), self._edge(second, 0)
         if left is None or right is None:
             return False
         i = j = 0
@@ -121,36 +138,47 @@ class ByteBPE:
             else:
                 j += 1
 
+    def _goes(self, first: int, second: int) -> bool:
+        """``_fits``, remembered."""
+        key = first << 32 | second
+        known = self.fits.get(key)
+        if known is None:
+            if len(self.fits) >= PAIRS:
+                self.fits.clear()
+            known = self.fits[key] = self._fits(first, second)
+        return known
+
     def _piece(self, text: str) -> bytes:
         """The encoding of one piece."""
         raw = text.encode()
         whole = self.rank.get(raw)
         if whole is not None:
             return struct.pack("<I", whole)
-        longest: list[int | None] = [None] * len(raw)
-        for end, (rank, n) in self.automaton.iter(raw.decode("latin-1")):
-            longest[end + 1 - n] = rank  # a later end is a longer token
-        out: list[int] = []
-        n, size, fits, shorter = len(raw), self.size, self.fits, self.shorter
+        tokens, goes, shorter = self.token, self._goes, self._shorter
+        n = len(raw)
+        longest = array("i", [NONE]) * n
+        for end, rank in self.automaton.iter(raw.decode("latin-1")):
+            longest[end + 1 - len(tokens[rank])] = rank  # a later end is a longer token
+        out = array("i")
         at, closed, token = 0, bytearray(n + 1), longest[0]
         while at < n:
-            while token is not None:
-                end = at + size[token]
-                if not closed[end] and (not out or fits[out[-1], token]):
+            while token != NONE:
+                end = at + len(tokens[token])
+                if not closed[end] and (not out or goes(out[-1], token)):
                     break
-                token = shorter[token]
-            if token is None:
+                token = shorter(token)
+            if token == NONE:
                 if not out:
                     raise ValueError(f"the vocabulary can't encode {raw!r}")
                 closed[at] = 1
                 last = out.pop()
-                at -= size[last]
-                token = shorter[last]
+                at -= len(tokens[last])
+                token = shorter(last)
             else:
                 out.append(token)
                 at = end
-                token = longest[at] if at < n else None
-        return struct.pack(f"<{len(out)}I", *out)
+                token = longest[at] if at < n else NONE
+        return np.array(out, "<u4").tobytes()
 
     def _chunk(self, text: str) -> bytes:
         return b"".join(map(self.piece.__getitem__, self.pieces.findall(text)))
@@ -163,9 +191,12 @@ class ByteBPE:
         """Ids as little-endian unsigned 32-bit integers. Texts are cut before single spaces, and the parts remembered."""
         if not self.DOUBLE.search(text):
             first, *rest = text.split(" ")
-            return self.chunk[first] + b"".join(map(self.spaced.__getitem__, rest))
-        return b"".join(map(self.chunk.__getitem__, self.BREAK.split(text)))
+            return self._chunk(first) + b"".join(map(self.spaced.__getitem__, rest))
+        first, *rest = self.BREAK.split(text)
+        return self._chunk(first) + b"".join(self.spaced[x[1:]] for x in rest)
 
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 _made: dict[tuple, ByteBPE] = {}
@@ -173,17 +204,18 @@ _made: dict[tuple, ByteBPE] = {}
 
 def _model(shared) -> ByteBPE:
     """One model in each Python worker and vocabulary."""
-    ranks, pattern = shared.value
-    key = (hash(tuple(ranks)), pattern)
+    vocabulary, pattern = shared.value
+    key = (hash(vocabulary), pattern)
     if key not in _made:
         _made.clear()
-        _made[key] = ByteBPE(ranks, pattern)
+        _made[key] = ByteBPE(parse_ranks(vocabulary), pattern)
     return _made[key]
 
 
 def _share(df: DataFrame, ranks_path: str, pattern: str):
     """The vocabulary as a broadcast: a file of fixed size, read on the driver, that no input makes larger."""
-    return df.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), pattern))
+    with open(ranks_path, "rb") as file:
+        return df.sparkSession.sparkContext.broadcast((file.read(), pattern))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,24 +223,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     ``pattern`` cuts a text into pieces, each encoded by itself, as byte-pair merges in order of rank would, a piece
     that is itself a token as that token; no special tokens. The pattern must be of the usual form, whose pieces hold
-    a space only at their start or among white space. Null and empty texts have no tokens; repeated rows each get
-    their row; ids may be null; an empty table gives no rows; further columns are ignored, whatever their names.
+    a space only at their start or among white space. Null and empty texts have no tokens; a text of any length is
+    encoded whole, in memory that follows its own length; repeated rows and rows of one id each get their row; ids may be
+    null; an empty table gives no rows; further columns are ignored, whatever their names.
     """
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = dict(slim.dtypes)["id"]
-    shared = _share(docs, ranks_path, pattern)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared)
-        for batch in small(batches):
-            texts = batch.column("text").to_pylist()
-            for a, b in by_bytes(texts, PIECE):
-                ids = [model.encode(x) for x in texts[a:b]]
-                counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], counts, pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
-        model.forget()
-
-    return slim.mapInArrow(run, f"id {kind}, n_tokens long, ids binary")
+    return _encoded(docs, ranks_path, pattern, id_col, text_col, True, False)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -217,7 +236,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     shared = _share(encoded, ranks_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: raw for raw, rank in shared.value[0]}
+        token = {rank: raw for raw, rank in parse_ranks(shared.value[0])}
         for batch in small(batches, "ids"):
             decoded = [b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.select(["id", "n_tokens", "ids"]).columns, pa.array(decoded, pa.binary())], ["id", "n_tokens", "ids", "decoded"])
@@ -225,11 +244,41 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("id", "n_tokens", "ids").mapInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded binary")
 
 
+def _encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, with_ids: bool, with_digests: bool) -> DataFrame:
+    """id and n_tokens, the ids if asked for, and if asked for the digests of the ids and of what they decode to. One
+    Python task does all of it, so that a core holds one copy of the vocabulary."""
+    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = dict(slim.dtypes)["id"]
+    shared = _share(docs, ranks_path, pattern)
+    names = ["id", "n_tokens", *["ids"] * with_ids, *["ids_sha256", "decoded_sha256"] * with_digests]
+    types = {"id": kind, "n_tokens": "long", "ids": "binary"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(shared)
+        for batch in small(batches):
+            texts = batch.column("text").to_pylist()
+            for a, b in by_bytes(texts, PIECE):
+                ids = [model.encode(x) for x in texts[a:b]]
+                columns = [batch.column("id")[a:b], pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if with_ids:
+                    columns.append(pa.array(ids, pa.binary()))
+                if with_digests:
+                    columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
+                    columns.append(pa.array([hashlib.sha256(model.decode(x)).hexdigest() for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return slim.mapInArrow(run, ", ".join(f"{n} {types.get(n, 'string')}" for n in names))
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For every row of ``docs``: its id, ``n_tokens``, ``ids``, and SHA-256 of the ids and of the bytes they decode to.
+    Edge cases as in ``encode``."""
+    return _encoded(docs, ranks_path, pattern, id_col, text_col, True, True).withColumnRenamed("id", id_col)
+
+
 def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For every row of ``docs``: its id, ``n_tokens``, and SHA-256 of its ids and of the bytes they decode to. Edge
-    cases as in ``encode``."""
-    whole = decode(encode(docs, ranks_path, pattern, id_col, text_col), ranks_path, pattern)
-    return whole.select(F.col("id").alias(id_col), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``round_trip`` without the ids."""
+    return _encoded(docs, ranks_path, pattern, id_col, text_col, False, True).withColumnRenamed("id", id_col)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
