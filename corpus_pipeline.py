@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from somatrix.llm import bpe, decontaminate, exact_dedup, language_id, near_text
 from somatrix.tables import materialise, table
@@ -36,8 +35,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, and a digest of what they decode to."""
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    encoded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
-    return encoded.select(F.col("id").alias("doc_id"), "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, path, pattern)
 
 
 STAGES = [
