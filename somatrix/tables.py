@@ -12,6 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores before it as ``df`` needs to have no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
@@ -28,15 +39,26 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and any executor may be lost.
 
-    The files go when the driver's JVM ends.
+    The files go when ``release`` is called, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/somatrix-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target, system = _path(spark, path)
+    system.deleteOnExit(target.getParent())
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame | None) -> None:
+    """Delete the files of a table that ``materialise`` gave, once nothing that is still to be computed reads it."""
+    if df is not None and df.inputFiles():
+        target, system = _path(df.sparkSession, df.inputFiles()[0])
+        system.delete(target.getParent().getParent(), True)
