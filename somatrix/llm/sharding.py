@@ -1,83 +1,133 @@
 """Uniform shuffling into shards of exact sizes, by a hypergeometric communication matrix.
 
 How many rows of each partition a uniform shuffle would send to each shard follows a multivariate hypergeometric
-distribution, given both's sizes. That matrix is drawn on the driver from the sizes alone; each partition permutes its
-rows and deals them out by its line of the matrix, and each shard permutes what it gets.
+distribution, given both's sizes. That matrix is drawn by halves: how a group of partitions divides each shard with the
+group after it, then the same inside both. The driver draws it for large groups of partitions; tasks draw each group's
+lines. Each partition permutes its rows and deals them out by its line; each shard permutes what it gets.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from somatrix.tables import materialise, table
+from somatrix.tables import free_names, materialise, table
 
-#: Rows of a shard that one task orders, about.
-BLOCK = 100_000
+#: Rows of a shard that one task orders, about; and partitions whose lines one task draws.
+BLOCK, GROUP = 100_000, 1024
 
 
-def communication_matrix(partitions: list[int], shards: list[int], seed: int) -> np.ndarray:
-    """Counts (partition, shard) as a uniformly random deal gives them; lines and columns sum to the sizes."""
-    rng, left, out = np.random.default_rng(seed), np.array(shards, np.int64), []
-    for n in partitions:
-        line, rest, among = np.zeros(len(shards), np.int64), n, int(left.sum())
-        for s in range(len(shards)):
-            among -= int(left[s])
-            line[s] = _drawn(rng, int(left[s]), among, rest)
-            rest -= line[s]
-        left -= line
-        out.append(line)
-    return np.array(out, np.int64).reshape(len(partitions), len(shards))
-
-
-def _drawn(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """How many of n draws without replacement are good; from numpy's limit of 10**9 on, by the normal approximation,
-    kept within what is possible."""
-    if good + bad == 0 or n == 0 or good == 0:
-        return 0
-    if bad == 0:
-        return n
-    if max(good, bad, n) < 10**9:
-        return int(rng.hypergeometric(good, bad, n))
-    total = good + bad
-    mean, spread = n * good / total, (n * good / total * bad / total * (total - n) / max(total - 1, 1)) ** 0.5
-    return int(min(max(round(rng.normal(mean, spread)), n - bad, 0), good, n))
+def log_falling(a: int, d: int) -> float:
+    """The logarithm of a! / (a - d)!, for 0 <= a and 0 <= a - d, accurate also where both factorials are huge."""
+    if d < 0:
+        return -log_falling(a - d, -d)
+    if d == 0:
+        return 0.0
+    if a < 1000 or a - d < 100:
+        return math.lgamma(a + 1) - math.lgamma(a - d + 1)
+    b = a - d  # Stirling's series, written by differences
+    tail = (1 / a - 1 / b) / 12 - (1 / a**3 - 1 / b**3) / 360 + (1 / a**5 - 1 / b**5) / 1260
+    return d * math.log(a) - (b + 0.5) * math.log1p(-d / a) - d + tail
 
 
-def shard_rows(docs: DataFrame, columns: list, shards: int = 24, seed: int = 5) -> DataFrame:
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` draws without replacement are good, for numbers of any size: by ratio of uniforms, rejecting
+    against the exact probabilities (Stadlober 1990)."""
+    total = good + bad
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    share = good / total
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    width = math.sqrt(n * share * (1 - share) * (total - n) / max(total - 1, 1) + 0.5)
+    scale, centre = width * 2 * math.sqrt(2 / math.e) + 3 - 2 * math.sqrt(3 / math.e), mode + 0.5
+    while True:
+        u = rng.random()
+        x = math.floor(centre + scale * (rng.random() - 0.5) / u) if u else low - 1
+        if low <= x <= high:
+            d = x - mode
+            # of P(x) / P(mode), where P(x) is in proportion to 1 / (x! (good - x)! (n - x)! (bad - n + x)!)
+            ratio = log_falling(good - mode, d) + log_falling(n - mode, d) - log_falling(x, d) - log_falling(bad - n + x, d)
+            if 2 * math.log(u) <= ratio:
+                return x
+
+
+def communication_matrix(partitions: list[int], shards: list[int], seed: int | list[int]) -> np.ndarray:
+    """Counts (partition, shard) as a uniformly random deal gives them; lines and columns sum to the sizes."""
+    rng = np.random.default_rng(seed)
+    sums = [0, *np.cumsum(np.array(partitions, object))] if partitions else [0]
+    out = np.zeros((len(partitions), len(shards)), np.int64)
+    todo = [(0, len(partitions), list(shards))] if partitions else []
+    while todo:
+        a, b, room = todo.pop()
+        if b - a == 1:
+            out[a] = room
+            continue
+        middle = (a + b) // 2
+        rest, among, left = int(sums[middle] - sums[a]), int(sums[b] - sums[a]), []
+        for places in room:
+            among -= places
+            left.append(hypergeometric(rng, places, among, rest))
+            rest -= left[-1]
+        todo += [(middle, b, [x - y for x, y in zip(room, left, strict=True)]), (a, middle, left)]
+    return out
+
+
+def matrix_lines(sizes: DataFrame, shards: list[int], seed: int, group: int = GROUP) -> DataFrame:
+    """(part, ends): each partition's line of the matrix, as running sums; ``sizes`` is (part, n), part from 0. The driver
+    sees one number for each ``group`` of partitions."""
+    spark = sizes.sparkSession
+    grouped = sizes.withColumn("group", F.floor(F.col("part") / group).cast("long"))
+    sums = grouped.groupBy("group").agg(F.sum("n").alias("n")).orderBy("group").collect()
+    lines = communication_matrix([r["n"] for r in sums], shards, [seed, 0]).tolist()
+    room = spark.createDataFrame([(r["group"], x) for r, x in zip(sums, lines, strict=True)], "group long, room array<long>")
+
+    def draw(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("part")
+        matrix = communication_matrix(frame["n"].tolist(), frame["room"].iloc[0].tolist(), [seed, 1, int(key[0])])
+        return pd.DataFrame({"part": frame["part"], "ends": np.cumsum(matrix, axis=1).tolist()})
+
+    return grouped.join(room, "group").groupBy("group").applyInPandas(draw, "part long, ends array<long>")
+
+
+def shard_rows(docs: DataFrame, columns: list[Column], shards: int = 24, seed: int = 5) -> DataFrame:
     """The given ``columns`` of every row of ``docs``, with ``shard`` (0 to shards - 1) and ``slot``, the row's place in
     its shard, gapless from 0. Shards' sizes differ by one at most, the larger ones first; every deal of the rows is
     equally likely over the seed.
 
     The columns are written to the shared folder once, with each row's partition and place, so that all later steps see
-    the same partitions, also after an executor was lost. Nulls, ties and repeated rows make no difference, since a
-    row's place decides. An empty table gives no rows. A shard is ordered in blocks of about ``BLOCK`` rows.
+    the same partitions, also after an executor was lost. Nulls, empty and very long texts, ties and repeated rows make
+    no difference, since a row's place decides. An empty table gives no rows. Columns may have any names but ``shard``
+    and ``slot``. A shard is ordered in blocks of about ``BLOCK`` rows.
     """
-    spark = docs.sparkSession
     number = F.monotonically_increasing_id()
-    placed = materialise(docs.select(*columns, F.shiftright(number, 33).alias("__part"), number.alias("__row")), "placed")
-    sizes = [(r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect()]
-    total = sum(n for _, n in sizes)
+    plain = docs.select(*columns)
+    part, row, order, block, place, before, ends = free_names(plain, "part", "row", "order", "block", "place", "before", "ends")
+    placed = materialise(plain.select("*", F.shiftright(number, 33).alias(part), number.alias(row)), "placed")
+    sizes = materialise(placed.groupBy(F.col(part).alias("part")).agg(F.count("*").alias("n")), "part_sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     even = [total // shards + (s < total % shards) for s in range(shards)]
-    matrix = communication_matrix([n for _, n in sizes], even, seed)
-    ends = np.cumsum(matrix, axis=1).tolist()
-    lines = spark.createDataFrame([(p, e) for (p, _), e in zip(sizes, ends, strict=True)] or [(-1, [0] * shards)], "__part long, __ends array<long>")
+    lines = materialise(matrix_lines(sizes, even, seed).withColumnsRenamed({"part": part, "ends": ends}), "matrix")
 
-    local = Window.partitionBy("__part").orderBy(F.xxhash64("__row", F.lit(seed)), "__row")
-    dealt = placed.withColumn("__rank", F.row_number().over(local) - 1).join(lines, "__part")
-    shard = F.size(F.filter("__ends", lambda x: x <= F.col("__rank"))).cast("int")
-    dealt = dealt.withColumn("shard", shard).drop("__ends", "__rank", "__part")
+    local = Window.partitionBy(part).orderBy(F.xxhash64(row, F.lit(seed)), row)
+    ranked = placed.withColumn(place, F.row_number().over(local) - 1).join(lines, part)
+    shard = F.size(F.filter(ends, lambda x: x <= F.col(place))).cast("int")
+    dealt = ranked.withColumn("shard", shard).drop(ends, place, part)
 
     blocks = max(1, -(-total // (shards * BLOCK)))
-    order = F.xxhash64("__row", F.lit(seed + 1))
-    dealt = materialise(dealt.withColumn("__order", order).withColumn("__block", F.floor((F.shiftright(F.col("__order"), 33) + (1 << 30)) * blocks / (1 << 31)).cast("long")), "dealt")
-    counts = dealt.groupBy("shard", "__block").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("shard", "__block").orderBy("__order", "__row")
-    slotted = dealt.withColumn("__place", F.row_number().over(within) - 1).join(offsets, ["shard", "__block"])
-    return slotted.withColumn("slot", (F.col("__place") + F.col("__before")).cast("long")).drop("__row", "__order", "__block", "__place", "__before")
+    shuffled = F.xxhash64(row, F.lit(seed + 1))
+    within_shard = F.floor((F.shiftright(F.col(order), 33) + (1 << 30)) * blocks / (1 << 31)).cast("long")
+    dealt = materialise(dealt.withColumn(order, shuffled).withColumn(block, within_shard), "dealt")
+    counts = dealt.groupBy("shard", block).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("shard").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", block, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    within = Window.partitionBy("shard", block).orderBy(order, row)
+    slotted = dealt.withColumn(place, F.row_number().over(within) - 1).join(offsets, ["shard", block])
+    return slotted.withColumn("slot", (F.col(place) + F.col(before)).cast("long")).select(*plain.columns, "shard", "slot")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
