@@ -44,6 +44,10 @@ def trigrams(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, ((mixed ^ (mixed >> np.uint32(13))) * np.uint32(0x27D4EB2F)) >> np.uint32(16), codes[at] == 0
 
 
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 def lowered(column: pa.Array) -> list[bytes]:
     return [(x or "").lower().encode("utf-8", "replace") for x in column.to_pylist()]
 
@@ -157,7 +161,7 @@ class Mixture:
 
 def fit_mixture(training: DataFrame) -> Mixture | None:
     """The model of ``training`` (text, lang). What comes to the driver is one count a language and bucket, whatever the
-    number of documents."""
+    number of documents; the model, here and in each task, has a row of ``BUCKETS`` numbers a language."""
     counts = trigram_counts(training).orderBy("lang").toPandas()
     languages = sorted(counts["lang"].unique())
     if not languages:
@@ -171,10 +175,10 @@ def predict_languages(docs: DataFrame, model: Mixture | None, id_col: str = "doc
     """For every row of ``docs``: its id, text, ``lang_pred`` and ``score`` (0 to 1).
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything without a model; ties go to the
-    language that sorts first. Repeated rows each get their row; ids may be null; an empty table gives no rows; further
+    language that sorts first. A very long text is read whole, in pieces of bounded size. Repeated rows each get their row; ids may be null; an empty table gives no rows; further
     columns are ignored, whatever their names.
     """
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(slim.dtypes)["id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -182,7 +186,7 @@ def predict_languages(docs: DataFrame, model: Mixture | None, id_col: str = "doc
         model = shared.value
         piece = max(PIECE // 8, PIECE * 4 // max(4, len(model.languages))) if model else PIECE
         for batch in small(batches):
-            texts, letters = lowered(batch.column("text")), batch.column("letters").to_pylist()
+            texts, letters = lowered(batch.column("text")), [has_letter(x.as_py()) for x in batch.column("text")]
             for a, b in by_bytes(texts, piece):
                 lang, score = model.predict(texts[a:b]) if model else ([UNKNOWN] * (b - a), np.zeros(b - a))
                 known = letters[a:b]
@@ -201,20 +205,21 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Mixture | None, least: float = 0.4) -> DataFrame:
     """``docs`` (text, ...) without the rows that are ``und`` or whose main language has less than ``least`` of their
-    words; all columns stay as they are. Edge cases as in ``predict_languages``."""
-    shared, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    words; all columns stay as they are, whatever their names. A null or empty text goes, and everything without a model;
+    a very long text is judged whole, by pieces of bounded size; repeated rows and rows of one id are each judged by
+    themselves; an empty table gives no rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in small(batches):
-            texts, letters = lowered(batch.column("text")), batch.column("__letters").to_pylist()
+            texts, letters = lowered(batch.column("text")), [has_letter(x.as_py()) for x in batch.column("text")]
             keep = np.zeros(batch.num_rows, bool)
             for a, b in by_bytes(texts, PIECE) if model else ():
                 keep[a:b] = model.predict(texts[a:b])[1] >= least
-            yield batch.select(columns).filter(pa.array(keep & np.array(letters, bool)))
+            yield batch.filter(pa.array(keep & np.array(letters, bool)))
 
-    marked = docs.withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return marked.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
