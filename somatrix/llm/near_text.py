@@ -1,8 +1,12 @@
-"""Near-duplicates by real similarity: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Real similarity for the SimHash operator: the Jaccard similarity of sets of five-word shingles, 0.8 or more.
 
-Candidates come from an exact cover, prefix filtering: in any order of all shingles, two sets of similarity s share one
-of their first n - ceil(s n) + 1. The order here puts shingles that a sample has often last, so that common passages are
-in few prefixes; the sample changes the work, never the result. Each candidate is then compared by its whole sets.
+Fingerprints alone miss most edited copies at that similarity. An exact cover, prefix filtering, lists the rest: in any
+order of all shingles, two sets of similarity s share one of their first n - ceil(s n) + 1. The order here puts shingles
+that a sample has often last, so that common passages are in few prefixes; the sample changes the work, never the
+result. Candidates are compared by their whole sets.
+
+A list of one shingle's documents isn't compared pair by pair. In each round a few of its documents, drawn by a hash, are
+compared with all others of it that aren't joined to them yet; only pairs that such rounds leave apart are compared each.
 """
 
 from __future__ import annotations
@@ -12,18 +16,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from somatrix.llm.common import small
 from somatrix.operators.graph import components
-from somatrix.tables import materialise
+from somatrix.tables import materialise, release
 
 WIDTH = 5
 #: The least similarity, as a fraction, so that all comparisons are of integers.
 OVER, UNDER = 4, 5
 #: Documents, about, whose shingles are counted for the order; how many make one common; and the most that are remembered.
 ORDER_DOCUMENTS, COMMON, MOST_COMMON = 5_000, 2, 100_000
+#: Documents of a list that a round compares with the others, and how many pairs may be left apart, for each row of the
+#: lists, when all of them are compared.
+HUBS, APART = 3, 1
 MIX = np.random.default_rng(5).integers(0, 2**63, WIDTH + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -46,23 +53,23 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(id_col, text_col)
 
 
-def _sets(slim: DataFrame) -> DataFrame:
-    """(key, id, n, shingles) of rows (key, id, text)."""
+def shingle_sets(slim: DataFrame) -> DataFrame:
+    """(key, n, shingles) of rows (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             sets = [shingle_set(x.as_py()).view(np.int64) for x in batch.column("text")]
             lists = pa.array(sets, pa.list_(pa.int64()))
             sizes = pa.array([len(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), sizes, lists], ["key", "id", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), sizes, lists], ["key", "n", "shingles"])
 
-    return slim.mapInArrow(run, f"key long, id {dict(slim.dtypes)['id']}, n long, shingles array<long>")
+    return slim.select("key", "text").mapInArrow(run, "key long, n long, shingles array<long>")
 
 
 def _common(slim: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are common in a sample, ascending, and in how many of its documents each is."""
     draw = F.pmod(F.xxhash64("key", F.lit("order")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = _sets(slim.filter(draw < ORDER_DOCUMENTS / max(slim.count(), 1))).select(F.explode("shingles").alias("s"))
+    drawn = shingle_sets(slim.filter(draw < ORDER_DOCUMENTS / max(slim.count(), 1))).select(F.explode("shingles").alias("s"))
     counts = drawn.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
     rows = counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).toPandas()
     names = rows["s"].to_numpy(np.int64).view(np.uint64)
@@ -98,51 +105,65 @@ def prefixes(slim: DataFrame) -> DataFrame:
     return slim.select("key", "text").mapInArrow(run, "s long, key long, n long, at long")
 
 
-def _similar(pairs: DataFrame, slim: DataFrame, label: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets are similar."""
-    pairs = materialise(pairs.distinct(), f"{label}_pairs")
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = materialise(_sets(slim.join(keys, "key", "left_semi")), f"{label}_sets")
+def prefix_lists(slim: DataFrame) -> DataFrame:
+    """The rows of ``prefixes`` whose shingle two or more documents have."""
+    rows = materialise(prefixes(slim), "near_prefixes")
+    times = rows.groupBy("s").agg(F.count("*").alias("times")).filter("times > 1").select("s")
+    lists = materialise(rows.join(times, "s", "left_semi"), "near_lists")
+    release(rows)
+    return lists
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets, from ``sets`` (key, n, shingles), are similar."""
     left = sets.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("shingles").alias("left"))
     right = sets.select(F.col("key").alias("b"), "n", F.col("shingles").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
-    similar = pairs.join(left, "a").join(right, "b").filter(UNDER * both >= OVER * (F.col("m") + F.col("n") - both))
-    return materialise(similar.select("a", "b"), f"{label}_links")
+    near = pairs.distinct().join(left, "a").join(right, "b").filter(UNDER * both >= OVER * (F.col("m") + F.col("n") - both))
+    return materialise(near.select("a", "b"), "near_links")
 
 
-def _links(shared: DataFrame, slim: DataFrame) -> DataFrame:
-    """Links that join the similar documents of rows (s, key, n, at) as all similar pairs would: first each one with the
-    least of each of its shingles, then all that these links leave apart."""
-    # what two sets can share from here on, were this shingle the first that they share, has to suffice
+def _could_be_similar() -> Column:
+    """What two sets can share from here on, were this shingle the first that they share, has to suffice."""
     left = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2"))
-    reach = (OVER + UNDER) * left >= OVER * (F.col("n") + F.col("n_2"))
-    least = shared.groupBy("s").agg(F.min(F.struct(F.col("key").alias("key_2"), F.col("n").alias("n_2"), F.col("at").alias("at_2"))).alias("least"))
-    stars = shared.join(least.select("s", "least.*"), "s").filter("key_2 < key").filter(reach)
-    first = _similar(stars.select(F.col("key_2").alias("a"), F.col("key").alias("b")), slim, "near_first")
-    roots = components(first)
-    rooted = shared.join(roots, shared["key"] == roots["node"], "left").select("s", "key", "n", "at", F.coalesce("root", "key").alias("root"))
+    return (OVER + UNDER) * left >= OVER * (F.col("n") + F.col("n_2"))
+
+
+def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    return lists.join(roots, lists["key"] == roots["node"], "left").select("s", "key", "n", "at", F.coalesce("root", "key").alias("root"))
+
+
+def _hub_pairs(rooted: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each list's drawn documents with all others of the list that they aren't joined to."""
+    whole = F.struct(F.col("key").alias("key_2"), F.col("n").alias("n_2"), F.col("at").alias("at_2"), F.col("root").alias("root_2"))
+    drawn = [F.min_by(whole, F.xxhash64("key", F.lit(turn * HUBS + j))) for j in range(HUBS)]
+    hubs = rooted.groupBy("s").agg(F.array_distinct(F.array(*drawn)).alias("hubs")).select("s", F.inline("hubs"))
+    met = rooted.join(hubs, "s").filter("root <> root_2").filter(_could_be_similar())
+    return met.select(F.least("key", "key_2").alias("a"), F.greatest("key", "key_2").alias("b"))
+
+
+def _pairs_apart(rooted: DataFrame) -> DataFrame:
     other = rooted.select("s", *(F.col(c).alias(f"{c}_2") for c in ("key", "n", "at", "root")))
-    met = rooted.join(other, "s").filter("key < key_2 and root <> root_2").filter(reach)
-    second = _similar(met.select(F.col("key").alias("a"), F.col("key_2").alias("b")), slim, "near_second")
-    return first.unionByName(second)
-
-
-def near_text_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, that of the smallest id; all columns stay as they are.
-
-    A group is what links of similarity 0.8 or more join. Null, empty and wordless texts are copies of each other; a
-    text of fewer than five words is similar to those of its word sequence alone. Null ids are no group's smallest unless
-    all are null. An empty table gives no rows; of equal rows, and of rows with a group's smallest id, one stays.
-    """
-    slim = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    times = F.count("*").over(Window.partitionBy("s"))
-    shared = materialise(prefixes(slim).withColumn("times", times).filter("times > 1").drop("times"), "near_shared")
-    roots = components(_links(shared, slim))
-    named = slim.select("key", "id").join(roots, slim["key"] == roots["node"]).select("root", "key", "id")
-    named = materialise(named, "near_named")
-    kept = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("kept"))
-    gone = materialise(named.join(kept, "root").filter("key <> kept").select(F.col("key").alias("__near_key")).distinct(), "near_gone")
-    left = docs.withColumn("__near_key", row_key(id_col, text_col)).join(gone, "__near_key", "left_anti")
-    if not slim.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").isEmpty():
-        left = left.dropDuplicates(["__near_key"])
-    return left.drop("__near_key")
+    met = rooted.join(other, "s").filter("key < key_2 and root <> root_2").filter(_could_be_similar())
+    return met.select(F.col("key").alias("a"), F.col("key_2").alias("b"))
+
+
+def similar_groups(lists: DataFrame, sets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(node, root): the groups that links of similarity 0.8 or more join, among all pairs. ``candidates`` (a, b) are
+    compared in the first round."""
+    links, roots, turn = None, None, 0
+    n_rows = lists.count()
+    while True:
+        rooted = lists.withColumn("root", F.col("key")) if roots is None else materialise(_rooted(lists, roots), "near_rooted")
+        if roots is not None:
+            each = rooted.groupBy("s", "root").agg(F.count("*").alias("k")).groupBy("s").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("twice"))
+            apart = (each.agg(F.sum(F.col("twice").cast("double"))).first()[0] or 0.0) / 2
+            if apart <= APART * n_rows or fresh == 0:
+                break
+        pairs = _hub_pairs(rooted, turn)
+        found = similar(pairs.unionByName(candidates) if turn == 0 else pairs, sets)
+        fresh = found.count()
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        turn += 1
+    return components(links.unionByName(similar(_pairs_apart(rooted), sets))) if apart else roots

@@ -17,9 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from somatrix.llm import near_text
 from somatrix.llm.common import small
 from somatrix.operators.graph import components
-from somatrix.tables import materialise, table
+from somatrix.tables import free_names, materialise, table
 
 #: Reference fingerprints of the pivot table: drawn once from this seed.
 PIVOT_SEED, N_PIVOTS = 20, 24
@@ -180,17 +181,45 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 2) -> DataFrame:
+def _candidates(slim: DataFrame) -> DataFrame:
+    """(a, b): keys of ``slim`` (key, id, text) to compare, of fingerprints over five-word shingles that are 2 bits or
+    less apart: of each link between fingerprints, and of each fingerprint's documents, the least key stands for it."""
+    marked = materialise(fingerprints(slim, "key", "text", near_text.WIDTH).withColumnRenamed("id", "key"), "near_fingerprints")
+    nodes = materialise(marked.groupBy("fp").agg(F.min("key").alias("least")), "near_nodes")
+    links = fingerprint_links(nodes.select("fp"))
+    for end in ("a", "b"):
+        links = links.join(nodes.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_key")), end)
+    copies = marked.join(nodes, "fp").filter("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    return links.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).unionByName(copies)
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near duplicates, that of the smallest id; all columns stay as they are.
 
-    Of repeated rows with that id one stays; a group all of whose ids are null keeps one row too. Nulls, empty texts
-    and tables and extra columns as in ``near_groups``.
+    Near duplicates are documents whose sets of five-word shingles have a similarity of 0.8 or more; a group is what such
+    links join. Fingerprints that the pivot tables find within 2 bits are compared first, whole set by whole set; an exact
+    cover (``near_text``) then lists what fingerprints miss.
+
+    Words are separated by white space, A-Z lower-cased. Null, empty and wordless texts are copies of each other; a text
+    of fewer than five words is similar to those of its word sequence alone; very long texts are compared whole. Null ids
+    are no group's smallest unless all are null. Of rows that repeat id and text one stays; rows that repeat an id with
+    other texts are different documents, of which each group keeps its own. An empty table gives no rows; further columns
+    may have any names.
     """
-    groups = near_groups(docs, id_col, text_col, width, most)
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__keep_id"))
-    kept = materialise(kept.agg(F.count("*").alias("__keep_n")), "near_kept")
-    found = docs.join(kept, docs[id_col].eqNullSafe(kept["__keep_id"]), "left_semi")
-    return found if kept.filter("__keep_n > 1").isEmpty() else found.dropDuplicates([id_col])
+    slim = docs.select(near_text.row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    lists = near_text.prefix_lists(slim.select("key", "text"))
+    candidates = materialise(_candidates(slim.select("key", "text")), "near_candidates")
+    asked = lists.select("key").union(candidates.select("a")).union(candidates.select("b")).distinct()
+    sets = materialise(near_text.shingle_sets(slim.join(asked, "key", "left_semi").dropDuplicates(["key"])), "near_sets")
+    roots = near_text.similar_groups(lists, sets, candidates)
+    named = materialise(slim.select("key", "id").join(roots, slim["key"] == roots["node"]).select("root", "key", "id"), "near_named")
+    kept = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("kept"))
+    mark = free_names(docs, "near_key")[0]
+    gone = materialise(named.join(kept, "root").filter("key <> kept").select(F.col("key").alias(mark)).distinct(), "near_gone")
+    left = docs.withColumn(mark, near_text.row_key(id_col, text_col)).join(gone, mark, "left_anti")
+    if not slim.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").isEmpty():
+        left = left.dropDuplicates([mark])
+    return left.select(*docs.columns)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

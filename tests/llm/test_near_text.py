@@ -2,7 +2,7 @@
 
 import random
 
-from somatrix.llm import near_text
+from somatrix.llm import simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -31,7 +31,7 @@ def edited(rng, words, times):
     return words
 
 
-def test_near_text_dedup(spark):
+def test_near_dedup(spark):
     rng = random.Random(11)
     passage = [f"p{i}" for i in range(80)]
     table = []
@@ -44,13 +44,13 @@ def test_near_text_dedup(spark):
     table = [(i, t) for i, t in enumerate(table)]
     rng.shuffle(table)
     table = [*table, (None, table[0][1]), (None, "only here with a null id")]
-    found = near_text.near_text_dedup(spark.createDataFrame(table, SCHEMA))
+    found = simhash.near_dedup(spark.createDataFrame(table, SCHEMA))
     want = [table[i] for i in brute_kept(table)]
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in found.collect()))) == sorted(map(repr, want))
     assert found.columns == ["doc_id", "text"]
     twice = spark.createDataFrame([(1, "some words of one row"), (1, "some words of one row"), (1, "quite other words")], SCHEMA)
-    assert near_text.near_text_dedup(twice).count() == 2
-    assert near_text.near_text_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert simhash.near_dedup(twice).count() == 2
+    assert simhash.near_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_pipeline_drops_edited_copies(spark, sf_dir):
