@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from somatrix.llm.common import small
@@ -30,7 +30,7 @@ OVER, UNDER = 4, 5
 ORDER_DOCUMENTS, COMMON, MOST_COMMON = 5_000, 2, 100_000
 #: Documents of a list that a round compares with the others, and how many pairs may be left apart, for each row of the
 #: lists, when all of them are compared.
-HUBS, APART = 3, 1
+HUBS, APART = 2, 8
 MIX = np.random.default_rng(5).integers(0, 2**63, WIDTH + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -106,12 +106,9 @@ def prefixes(slim: DataFrame) -> DataFrame:
 
 
 def prefix_lists(slim: DataFrame) -> DataFrame:
-    """The rows of ``prefixes`` whose shingle two or more documents have."""
-    rows = materialise(prefixes(slim), "near_prefixes")
-    times = rows.groupBy("s").agg(F.count("*").alias("times")).filter("times > 1").select("s")
-    lists = materialise(rows.join(times, "s", "left_semi"), "near_lists")
-    release(rows)
-    return lists
+    """The rows of ``prefixes`` whose shingle two or more rows have."""
+    times = F.count("*").over(Window.partitionBy("s"))
+    return materialise(prefixes(slim).withColumn("times", times).filter("times > 1").drop("times"), "near_lists")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -165,5 +162,7 @@ def similar_groups(lists: DataFrame, sets: DataFrame, candidates: DataFrame) ->
         fresh = found.count()
         links = found if links is None else links.unionByName(found)
         roots = components(links)
+        if turn:
+            release(rooted)
         turn += 1
     return components(links.unionByName(similar(_pairs_apart(rooted), sets))) if apart else roots

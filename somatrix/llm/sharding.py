@@ -44,7 +44,7 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int
     share = good / total
     mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
     width = math.sqrt(n * share * (1 - share) * (total - n) / max(total - 1, 1) + 0.5)
-    scale, centre = width * 2 * math.sqrt(2 / math.e) + 3 - 2 * math.sqrt(3 / math.e), mode + 0.5
+    scale, centre = width * 2 * math.sqrt(2 / math.e) + 3 - 2 * math.sqrt(3 / math.e), n * share + 0.5
     while True:
         u = rng.random()
         x = math.floor(centre + scale * (rng.random() - 0.5) / u) if u else low - 1

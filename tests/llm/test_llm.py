@@ -1,6 +1,7 @@
 """The text operators against plain Python over small tables, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,6 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from test_near_text import brute_kept
+
 from somatrix.llm import bpe, decontaminate, exact_dedup, language_id, pii, quality, sharding, simhash, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, content string, digest string, id string"
@@ -180,7 +183,7 @@ def test_near_groups(edge, empty):
     want = sorted(([i, f"{f:016x}", p] for (i, _), f, p in zip(table, fps, parts, strict=True)), key=repr)
     assert rows(simhash.near_groups(df), "doc_id", "fingerprint", "component_id") == want
     assert simhash.near_groups(empty).count() == 0
-    assert simhash.near_dedup(df).columns == df.columns
+    assert simhash.near_dedup(df).columns == df.columns and simhash.near_dedup(empty).count() == 0
 
 
 @pytest.mark.parametrize("split_above", [1024, 3])
@@ -236,10 +239,41 @@ def test_sharding(spark, edge, empty):
     assert abs(np.corrcoef(found["doc_id"], found["shard"])[0, 1]) < 0.15
     assert sharding.shard_rows(edge[1], [F.col("doc_id")]).count() == len(edge[0])
     assert sharding.shard_rows(empty, [F.col("doc_id")]).count() == 0
+    assert sharding.shard_rows(docs.withColumnsRenamed({"lang": "part", "source": "__row", "content": "row"}), [F.col("part"), F.col("__row"), F.col("row")]).count() == 1000
     matrix = sharding.communication_matrix([10, 0, 7, 3], [5, 5, 5, 5], 1)
     assert matrix.sum(axis=0).tolist() == [5, 5, 5, 5] and matrix.sum(axis=1).tolist() == [10, 0, 7, 3]
 
 
+@pytest.mark.parametrize("good, bad, n", [(5, 7, 4), (1, 3, 2), (40, 2, 41), (300, 200, 100)])
+def test_hypergeometric_law(good, bad, n):
+    rng, draws = np.random.default_rng(8), 20_000
+    seen = Counter(sharding.hypergeometric(rng, good, bad, n) for _ in range(draws))
+    law = {k: math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(max(0, n - bad), min(n, good) + 1)}
+    assert set(seen) <= set(law)
+    likely = {k: draws * p for k, p in law.items() if draws * p >= 5}
+    assert sum((seen[k] - e) ** 2 / e for k, e in likely.items()) < len(likely) - 1 + 4 * (2 * len(likely)) ** 0.5
+
+
+def test_hypergeometric_at_any_size():
+    rng, good, total, n = np.random.default_rng(8), 10**12 // 24, 10**12, 10**11
+    seen = np.array([sharding.hypergeometric(rng, good, total - good, n) for _ in range(2000)]) - n * good / total
+    spread = math.sqrt(n * good / total * (1 - good / total) * (total - n) / (total - 1))
+    assert abs(seen.mean()) < 4 * spread / 2000**0.5 and abs(seen.std() / spread - 1) < 0.07
+    assert sharding.log_falling(10**12, 10**6) == pytest.approx(float(np.log(np.arange(10**12 - 10**6 + 1, 10**12 + 1, dtype=float)).sum()), rel=1e-12)
+
+
+def test_matrix_law(spark):
+    """First lines of two partitions against all deals, and lines from tasks."""
+    seen, n = Counter(), 4000
+    for seed in range(n):
+        seen[tuple(sharding.communication_matrix([3, 4], [2, 3, 2], seed)[0].tolist())] += 1
+    law = {(a, b, 3 - a - b): math.comb(2, a) * math.comb(3, b) * math.comb(2, 3 - a - b) / math.comb(7, 3) for a in range(3) for b in range(4) if 0 <= 3 - a - b <= 2}
+    assert set(seen) == set(law) and sum((seen[k] - n * p) ** 2 / (n * p) for k, p in law.items()) < 25
+    sizes = spark.createDataFrame([(i, 5 + i % 3) for i in range(40)], "part long, n long")
+    lines = {r["part"]: np.diff([0, *r["ends"]]) for r in sharding.matrix_lines(sizes, [80, 79, 80], 3, group=7).collect()}
+    assert all(lines[i].sum() == 5 + i % 3 for i in range(40)) and sum(lines.values()).tolist() == [80, 79, 80]
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -317,10 +351,35 @@ def test_toxicity(spark, edge, empty):
 
 
 def test_nn_pu_prefers_toxic_features():
-    toxic = toxicity.Rows([np.array([0, 1])] * 20, 3)
-    free = toxicity.Rows([np.array([1])] * 90 + [np.array([0, 1])] * 10, 3)
-    w = toxicity.nn_pu(toxic, free, 0.1)
-    assert toxicity.sigmoid(toxic.scores(w[:-1], w[-1])).min() > 0.5 > toxicity.sigmoid(free.scores(w[:-1], w[-1])[:90]).max()
+    """Toxic documents have features 0 and 1, a tenth of the unlabelled ones too, all others 1 alone."""
+    at, row = np.array([0, 1, 1, 0, 1]), np.array([0, 0, 1, 2, 2])
+    toxic, n = np.array([1, 0, 0]), np.array([20, 90, 10])
+    w = toxicity.nn_pu(lambda w: toxicity.part_of_risk(toxic, n, row, at, w), 2, 100, 20, 0.1)
+    assert toxicity.sigmoid(w[0] + w[1] + w[2]) > 0.5 > toxicity.sigmoid(w[1] + w[2])
+
+
+def test_toxic_features_match(spark, edge):
+    """What Spark's functions count and what the tasks look up are the same features."""
+    table, df = edge
+    counted = {r["feature"]: r["p"] for r in toxicity.toxic_features(df).collect()}
+    names = sorted(counted)
+    assert dict(zip(names, toxicity.unlabelled_counts(df, names).tolist(), strict=True)) == counted
+    want = Counter(f for _, t in table for f in {f for w in re.findall(r"[^\W\d_]+", (t or "").lower()) for f in toxicity.word_features(w)})
+    assert counted == {f: n for f, n in want.items() if n >= toxicity.FEWEST}
+
+
+def test_risk_sums(spark):
+    """Sums over Spark's rows are those over all rows at once."""
+    rng = random.Random(2)
+    rows = [(rng.randrange(2), sorted(rng.sample(range(6), rng.randrange(4))), rng.randrange(1, 9)) for _ in range(40)]
+    w = np.linspace(-1, 1, 7)
+    whole = toxicity.risk(spark.createDataFrame(rows, "toxic int, at array<int>, n long").repartition(3), w)
+    want = np.zeros(15)
+    for y, at, n in rows:
+        if y:
+            z, x = w[at].sum() + w[-1], np.bincount([*at, 6], minlength=7)
+            want += n * np.r_[np.log1p(np.exp(z)), x / (1 + np.exp(-z)), -x / (1 + np.exp(z))]
+    assert np.allclose(whole[1], want)
 
 
 def test_quality(spark, edge, empty):
@@ -343,6 +402,8 @@ def test_language(spark, edge, empty, sf_dir):
     assert len(edges) == len(edge[0]) and all(0 <= r["score"] <= 1 for r in edges)
     assert [r["lang_pred"] for r in edges][:3] == ["und"] * 3 and edges[6]["lang_pred"] == "und"
     assert language_id.predict_languages(empty, model).count() == 0 and language_id.fit_mixture(empty.select("text", "lang")) is None
+    clash = language_id.keep_identified(edge[1].withColumnRenamed("digest", "__letters"), model)
+    assert "__letters" in clash.columns and clash.count() == language_id.keep_identified(edge[1], model).count()
     kept = language_id.keep_identified(edge[1], model)
     assert kept.columns == edge[1].columns and kept.filter("text is null or text = ''").count() == 0
 
@@ -358,8 +419,7 @@ def test_pipeline(spark, sf_dir):
     for i, t in table:
         latest[lower(t)] = max(i, latest.get(lower(t), i))
     table = [(i, t) for i, t in table if latest[lower(t)] == i]
-    parts = brute_near([i for i, _ in table], [brute_fingerprint(t) for _, t in table])
-    table = [x for x, p in zip(table, parts, strict=True) if p == x[0]]
+    table = [table[i] for i in brute_kept(table)]
     dirty = {r[0] for r in brute_contamination(table, bench) if r[-1]}
     want = {i for i, _ in table if i not in dirty}
     found = c.run(spark, sf_dir)
