@@ -13,7 +13,6 @@ import base64
 import hashlib
 import re
 import struct
-import sys
 from array import array
 from collections.abc import Iterator
 
@@ -27,12 +26,12 @@ from pyspark.sql import functions as F
 from somatrix.llm.common import by_bytes, small
 from somatrix.tables import table
 
-#: Bytes that a memo of chunks holds at most, the longest chunk that it takes, pairs of tokens that the other memo holds,
-#: and bytes of text in an output batch.
-MEMO, LONGEST, PAIRS, PIECE = 32 << 20, 48, 100_000, 2 << 20
+#: Chunks that a memo holds at most, the longest chunk that it takes, pairs of tokens and edges of tokens that
+#: other memos hold, and bytes of text in an output batch.
+MEMO, LONGEST, PAIRS, EDGES, PIECE = 100_000, 32, 100_000, 20_000, 2 << 20
 #: Above every rank.
 NEVER = 1 << 60
-#: In the tables of tokens: not looked up yet, and none.
+#: In the tables of halves: not looked up yet, and none.
 UNKNOWN, NONE = -2, -1
 
 
@@ -47,49 +46,55 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
 
 
 class Memo(dict):
-    """Encodings of short chunks; forgets all when it would hold more than ``MEMO`` bytes."""
+    """Encodings of short chunks; forgets all when it holds ``MEMO``, some 30 MB at most."""
 
     def __init__(self, f):
-        self.f, self.held = f, 0
+        self.f = f
 
     def __missing__(self, key: str) -> bytes:
         out = self.f(key)
         if len(key) <= LONGEST:
-            self.held += sys.getsizeof(key) + sys.getsizeof(out) + 128
-            if self.held > MEMO:
+            if len(self) >= MEMO:
                 self.clear()
-                self.held = 0
             self[key] = out
         return out
 
 
+class Pairs(dict):
+    """Results by pair of numbers; forgets all when it holds ``most``."""
+
+    def __init__(self, f, most: int):
+        self.f, self.most = f, most
+
+    def __missing__(self, key: tuple[int, int]):
+        if len(self) >= self.most:
+            self.clear()
+        out = self[key] = self.f(key)
+        return out
+
+
 class ByteBPE:
     """Encoder for one vocabulary and one pattern that cuts texts into pieces."""
 
     def __init__(self, ranks: list[tuple[bytes, int]], pattern: str):
         self.rank = dict(ranks)
         places = max(self.rank.values()) + 1
-        self.token = [b""] * places
+        self.token, self.size = [b""] * places, [0] * places
         self.pieces = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, rank in ranks:
-            self.token[rank] = token
+            self.token[rank], self.size[rank] = token, len(token)
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.shorter = array("i", [UNKNOWN]) * places
+        self.shorter = [self._shorter(token) for token in self.token]
         self.halves = array("i", [UNKNOWN]) * places, array("i", [UNKNOWN]) * places
-        self.fits: dict[int, bool] = {}
+        self.edges, self.fits = Pairs(self._edge, EDGES), Pairs(self._fits, PAIRS)
         self.piece = Memo(self._piece)
         self.spaced = Memo(lambda chunk: self._chunk(" " + chunk))
 
-    def _shorter(self, rank: int) -> int:
+    def _shorter(self, token: bytes) -> int | None:
         """The longest token that is a proper prefix of this one."""
-        found = self.shorter[rank]
-        if found == UNKNOWN:
-            token = self.token[rank]
-            found = next((self.rank[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in self.rank), NONE)
-            self.shorter[rank] = found
-        return found
+        return next((self.rank[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in self.rank), None)
 
     def _half(self, rank: int, side: int) -> int:
         """The token at one side (0: the start) of the merge that makes this one; none for single bytes and for tokens
@@ -108,10 +113,10 @@ class ByteBPE:
                 self.halves[k][rank] = NONE if NONE in made else made[k]
         return self.halves[side][rank]
 
-    def _edge(self, rank: int, side: int) -> list[tuple[int, int]] | None:
+    def _edge(self, key: tuple[int, int]) -> list[tuple[int, int]] | None:
         """The tokens that stand at one edge of a token (side 0: its start, 1: its end) while its bytes are merged, from
         a single byte to the whole, each with the rank of the merge that ends it. None if merges never make the token."""
-        out, ends = [], NEVER
+        (rank, side), out, ends = key, [], NEVER
         while True:
             out.append((rank, ends))
             half = self._half(rank, side)
@@ -119,10 +124,10 @@ class ByteBPE:
                 return out[::-1] if len(self.token[rank]) == 1 else None
             rank, ends = half, rank
 
-    def _fits(self, first: int, second: int) -> bool:
+    def _fits(self, pair: tuple[int, int]) -> bool:
         """Whether the bytes of both tokens merge to these two: no merge over their border comes before it is ruled out.
         Of equal ranks the left merge comes first."""
-        left, right = self._edge(first, 1), self._edge(second, 0)
+        left, right = self.edges[pair[0], 1], self.edges[pair[1], 0]
         if left is None or right is None:
             return False
         i = j = 0
@@ -138,47 +143,37 @@ class ByteBPE:
             else:
                 j += 1
 
-    def _goes(self, first: int, second: int) -> bool:
-        """``_fits``, remembered."""
-        key = first << 32 | second
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            known = self.fits[key] = self._fits(first, second)
-        return known
-
     def _piece(self, text: str) -> bytes:
         """The encoding of one piece."""
         raw = text.encode()
         whole = self.rank.get(raw)
         if whole is not None:
             return struct.pack("<I", whole)
-        tokens, goes, shorter = self.token, self._goes, self._shorter
+        size, fits, shorter = self.size, self.fits, self.shorter
         n = len(raw)
-        longest = array("i", [NONE]) * n
+        longest: list[int | None] = [None] * n
         for end, rank in self.automaton.iter(raw.decode("latin-1")):
-            longest[end + 1 - len(tokens[rank])] = rank  # a later end is a longer token
-        out = array("i")
+            longest[end + 1 - size[rank]] = rank  # a later end is a longer token
+        out: list[int] = []
         at, closed, token = 0, bytearray(n + 1), longest[0]
         while at < n:
-            while token != NONE:
-                end = at + len(tokens[token])
-                if not closed[end] and (not out or goes(out[-1], token)):
+            while token is not None:
+                end = at + size[token]
+                if not closed[end] and (not out or fits[out[-1], token]):
                     break
-                token = shorter(token)
-            if token == NONE:
+                token = shorter[token]
+            if token is None:
                 if not out:
                     raise ValueError(f"the vocabulary can't encode {raw!r}")
                 closed[at] = 1
                 last = out.pop()
-                at -= len(tokens[last])
-                token = shorter(last)
+                at -= size[last]
+                token = shorter[last]
             else:
                 out.append(token)
                 at = end
-                token = longest[at] if at < n else NONE
-        return np.array(out, "<u4").tobytes()
+                token = longest[at] if at < n else None
+        return struct.pack(f"<{len(out)}I", *out)
 
     def _chunk(self, text: str) -> bytes:
         return b"".join(map(self.piece.__getitem__, self.pieces.findall(text)))
