@@ -1,10 +1,11 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that carries their labels to similar tokens.
 
-The field's nodes are a text's tokens that hold a digit or an at sign. Chain edges join neighbouring tokens, skip edges
-successive tokens of one key, wherever they are: equal tokens, equal last seven digits, equal names before the at
-sign. Tokens inside pattern matches are observed; loopy sum-product messages label the others. A token is added where
-it likely is an entity and so is a token that a skip edge ties it to. The weights are trained by pseudo-likelihood on
-the patterns' own matches.
+The field's nodes are a text's tokens that hold a digit or an at sign, and its keys: equal tokens, equal last seven
+digits, equal names before the at sign. Chain edges join neighbouring tokens; skip edges join each repeated key with
+its tokens, wherever they are, so that any two of them are two edges apart, however often they repeat. Tokens inside
+pattern matches are observed; loopy sum-product messages label the others. A token is added where it likely is an
+entity and so are the key that ties it to others and one of those. The weights are trained by pseudo-likelihood on the
+patterns' own matches, in all documents.
 """
 
 from __future__ import annotations
@@ -22,13 +23,12 @@ from somatrix.tables import table
 
 KINDS = ("email", "ip", "card", "phone")
 N = len(KINDS) + 1  # label 0: none
-#: Documents that the weights are fitted on, about, drawn by a hash of the id.
-MAX_DOCUMENTS = 20_000
-STEPS, RATE, DECAY, SURE = 300, 0.1, 0.01, 0.5
-#: Messages have converged when none changes by more than this.
-STILL = 1e-4
+#: Training steps, and how sure a label must be: of tokens that a key ties to a match, and of those whose key has no match.
+STEPS, RATE, DECAY, SURE, SURE_ALONE = 300, 0.1, 0.01, 0.5, 0.95
+#: Messages have converged when none changes by more than this; loops that never settle are left after so many rounds.
+STILL, ROUNDS = 1e-4, 500
 #: What equal labels at both ends of a skip edge are worth before any training; training starts and shrinks to this.
-SKIP_PRIOR = 1.5
+SKIP_PRIOR = 4.0
 
 AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -37,6 +37,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+NEEDED = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"\S+")
 
 
@@ -71,18 +72,18 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Field:
-    """A text's graph: its tokens, their features, observed labels (-1: none) and edges."""
+    """A text's graph: its tokens, their features, observed labels (-1: none), chain edges, and for each key that two or
+    more tokens have those tokens; keys of the same tokens count once."""
 
     def __init__(self, text: str, base: list[tuple[int, int, int]]):
         self.spans: list[tuple[int, int]] = []
         self.features: list[list[int]] = []
         self.label: list[int] = []
         self.chain: list[tuple[int, int]] = []
-        self.skip: list[tuple[int, int]] = []
-        last: dict[str, int] = {}
+        having: dict[str, list[int]] = {}
         at, reach, past = 0, [], -1
         for n, m in enumerate(TOKEN.finditer(text)):
-            if not any(x in "0123456789@" for x in m[0]):
+            if not NEEDED.search(m[0]):
                 continue
             start, end = m.start(), m.end()
             while end > start and text[end - 1] in ".,;:!?\"'":
@@ -103,13 +104,12 @@ class Field:
             past = n
             self.features.append(token_features(token, beside))
             for key in token_keys(token):
-                if key in last and (last[key], i) not in self.skip[-2:]:
-                    self.skip.append((last[key], i))
-                last[key] = i
+                having.setdefault(key, []).append(i)
+        self.keys = list(dict.fromkeys(tuple(tokens) for tokens in having.values() if len(tokens) > 1))
 
     def open_ends(self) -> bool:
-        """Whether a skip edge ties an unobserved token to anything."""
-        return any(self.label[a] < 0 or self.label[b] < 0 for a, b in self.skip)
+        """Whether a key ties an unobserved token to another."""
+        return any(self.label[i] < 0 for tokens in self.keys for i in tokens)
 
 
 #: Names of the binary features, in their order.
@@ -123,6 +123,18 @@ def token_features(token: str, beside: bool) -> list[int]:
     return [i for i, x in enumerate(have) if x]
 
 
+#: Features that a token must have, and those that it must not, for each label from 1 on.
+SHAPES = [
+    [[FEATURES.index(x) for x in names] for names in kind]
+    for kind in ((["at sign"], []), (["three dots"], ["at sign"]), (["luhn"], []), (["7 digits or more"], ["at sign", "16 digits or more"]))
+]
+
+
+def impossible(features: list[int]) -> list[int]:
+    """The labels that a token with these features can't have."""
+    return [k for k, (needed, barred) in enumerate(SHAPES, 1) if not set(needed) <= set(features) or set(barred) & set(features)]
+
+
 def token_keys(token: str) -> list[str]:
     digits = "".join(x for x in token if x in "0123456789")
     keys = [f"t{token.lower()}"] if len(token) >= 4 else []
@@ -133,9 +145,11 @@ def token_keys(token: str) -> list[str]:
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """(features, label, left, right, skips, n): how often a token with these features has this label beside these.
-    Labels of absent and unknown neighbours are -1; tokens that a skip edge ties to a match, but aren't in one, are left
-    out, since whether they are entities is what the field is to say."""
+    """(features, label, left, right, skips, n): how often a token with these features has this label beside these and
+    with keys of these labels. Labels of absent and unknown neighbours are -1; a key has the least label that others of its
+    tokens are observed with, or 0. Tokens that a key ties to a match, but aren't in one, are left out, since whether they
+    are entities is what the field is to say. Tokens and keys take a bounded number of forms, however many texts there
+    are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -149,13 +163,12 @@ def training_rows(docs: DataFrame) -> DataFrame:
                 label, unsure = [max(x, 0) for x in field.label], [False] * n
                 for a, b in field.chain:
                     left[b], right[a] = label[a], label[b]
-                for a, b in field.skip:
-                    if (field.label[a] < 0) == (field.label[b] < 0):
-                        skips[a].append(label[b])
-                        skips[b].append(label[a])
-                    else:
-                        unsure[a] |= field.label[a] < 0
-                        unsure[b] |= field.label[b] < 0
+                for tokens in field.keys:
+                    seen = sorted((field.label[i], i) for i in tokens if field.label[i] > 0)
+                    for i in tokens:
+                        others = [x for x, j in seen[:2] if j != i]
+                        skips[i].append(others[0] if others else 0)
+                        unsure[i] |= bool(others) and field.label[i] < 0
                 rows += [(field.features[i], label[i], left[i], right[i], sorted(skips[i])) for i in range(n) if not unsure[i]]
             ints = pa.list_(pa.int32())
             columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -166,12 +179,10 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return rows.groupBy("features", "label", "left", "right", "skips").agg(F.count("*").alias("n"))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
-    """Weights: token (feature, label), chain (label, label) and skip (label, label), by pseudo-likelihood."""
-    total = docs.count()
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("pii")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = docs.filter(draw < MAX_DOCUMENTS / max(total, 1)).select(F.col(text_col).alias("text"))
-    rows = training_rows(drawn).orderBy(F.desc("n"), "features", "label", "left", "right", "skips").collect()
+def fit(docs: DataFrame, text_col: str = "text") -> dict[str, np.ndarray]:
+    """Weights: token (feature, label), chain (label, label) and skip (label, label), by pseudo-likelihood over all of
+    ``docs``. What comes to the driver is a count for each form of a token and its neighbourhood."""
+    rows = training_rows(docs.select(F.col(text_col).alias("text"))).orderBy(F.desc("n"), "features", "label", "left", "right", "skips").collect()
     nf = len(FEATURES)
     x = np.zeros((len(rows), nf + 3 * N))
     y = np.zeros(len(rows), np.int64)
@@ -184,7 +195,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict
                     x[i, nf + at * N + k] += 1
         y[i], weight[i] = r["label"], r["n"]
     w = np.zeros((nf + 3 * N, N))
-    w[nf + 2 * N :] = np.diag([0.0] + [SKIP_PRIOR] * (N - 1))
+    w[nf + 2 * N :] = np.eye(N) * SKIP_PRIOR
     prior, first, second = w.copy(), np.zeros_like(w), np.zeros_like(w)
     weight /= max(weight.sum(), 1)
     for step in range(1, STEPS + 1 if rows else 1):
@@ -202,23 +213,31 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict
 
 
 def marginals(field: Field, model: dict[str, np.ndarray]) -> np.ndarray:
-    """(token, label), by loopy sum-product messages, all at once each round and damped by half, until they stay as they
-    are; where loops keep them moving, for as many rounds as a label needs to cross the graph on the longest way."""
+    """(node, label), tokens first and then keys, by loopy sum-product messages, all at once each round and damped by half,
+    until they stay as they are."""
     n = len(field.spans)
-    node = np.zeros((n, N))
+    node = np.zeros((n + len(field.keys), N))
     for i, features in enumerate(field.features):
         node[i] = model["token"][features].sum(axis=0)
+        node[i, impossible(features)] = -1e9
     seen = np.array(field.label)
-    node[seen >= 0] = -1e9
-    node[seen >= 0, seen[seen >= 0]] = 0
-    edges = np.array(field.chain + field.skip, np.int64).reshape(-1, 2)
-    pair = np.stack([model["chain"]] * len(field.chain) + [model["skip"]] * len(field.skip)) if len(edges) else np.zeros((0, N, N))
+    observed = np.flatnonzero(seen >= 0)
+    node[observed] = -1e9
+    node[observed, seen[observed]] = 0
+    for k, tokens in enumerate(field.keys, n):  # as in training, a key is what its matches are
+        known = min((field.label[i] for i in tokens if field.label[i] > 0), default=0)
+        if known:
+            node[k] = -1e9
+            node[k, known] = 0
+    skip = [(i, n + k) for k, tokens in enumerate(field.keys) for i in tokens]
+    edges = np.array(field.chain + skip, np.int64).reshape(-1, 2)
+    pair = np.concatenate([np.broadcast_to(model[x], (len(y), N, N)) for x, y in (("chain", field.chain), ("skip", skip))])
     source, target = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
     potential = np.concatenate([pair, pair.transpose(0, 2, 1)])
     half = len(edges)
     back = np.r_[np.arange(half, 2 * half), np.arange(half)]
     message = np.zeros((2 * half, N))
-    for _ in range(32 + 4 * half):
+    for _ in range(ROUNDS):
         total = node.copy()
         np.add.at(total, target, message)
         out = (total[source] - message[back])[:, :, None] + potential
@@ -236,16 +255,17 @@ def marginals(field: Field, model: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], model: dict[str, np.ndarray]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of tokens outside ``base`` that the field labels like a token that a skip edge ties them to."""
-    if not base:
-        return []  # nothing that a label could be carried from
+    """(start, kind, end) of tokens outside ``base`` that the field labels like a key of theirs and another of its tokens."""
     field = Field(text, base)
     if not field.open_ends():
-        return []
+        return []  # no token that a label could be carried to
     p = marginals(field, model)
-    best = p.argmax(axis=1)
-    sure = (best > 0) & (p.max(axis=1) >= SURE)
-    found = {i for a, b in field.skip if sure[a] and sure[b] and best[a] == best[b] for i in (a, b) if field.label[i] < 0}
+    best, top, found = p.argmax(axis=1), p.max(axis=1), set()
+    for k, tokens in enumerate(field.keys, len(field.spans)):
+        least = SURE if any(field.label[i] > 0 for i in tokens) else SURE_ALONE
+        same = [i for i in tokens if best[i] == best[k] > 0 and top[i] >= least]
+        if len(same) > 1 and top[k] >= least:
+            found.update(i for i in same if field.label[i] < 0)
     return [(field.spans[i][0], int(best[i]), field.spans[i][1]) for i in sorted(found)]
 
 
@@ -258,7 +278,7 @@ def find_pii(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_i
     (these and what the field adds) and ``n_added``. Spans are written kind:start:end, in code points, the end exclusive,
     by start and then kind, comma-joined.
 
-    Null and empty texts have none. Repeated rows each get their row; ids may be null; an empty table gives no rows;
+    Null and empty texts have none; very long texts are searched whole. Repeated rows each get their row; ids may be null; an empty table gives no rows;
     further columns are ignored, whatever their names.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -272,7 +292,7 @@ def find_pii(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_i
             rows = []
             for text in batch.column("text").to_pylist():
                 base = pattern_spans(text or "")
-                more = added_spans(text, base, model) if base else []
+                more = added_spans(text, base, model) if text and NEEDED.search(text) else []
                 rows.append((*(sum(x[1] == k for x in base) for k in range(1, N)), written(base), written(base + more), len(more)))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
