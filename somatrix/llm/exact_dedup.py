@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from somatrix.llm.common import ascii_lower
-from somatrix.tables import materialise, table
+from somatrix.tables import free_names, materialise, table
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("content"))
+    return rows.withColumn("digest", F.sha2("content", 256))
+
+
+def _combined(rows: DataFrame, salts: int) -> DataFrame:
+    """(digest, content, keep_id, group_size) of rows (id, content, digest): combined inside tasks, by salt, and whole."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    by_salt = salted.groupBy("digest", "content", "salt").agg(F.max("id").alias("id"), F.count("*").alias("n"))
+    return by_salt.groupBy("digest", "content").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
@@ -20,13 +32,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null text counts as empty. A null id never stays unless its whole group has null ids. Repeated rows (same id and
     text) each get their row; ``kept`` is true for all that carry the kept id. An empty table gives no rows. Further
-    columns are ignored, whatever their names.
+    columns are ignored, whatever their names. Very long texts are compared whole.
     """
-    rows = docs.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("content"))
-    rows = rows.withColumn("digest", F.sha2("content", 256))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    by_salt = salted.groupBy("digest", "content", "salt").agg(F.max("id").alias("id"), F.count("*").alias("n"))
-    groups = by_salt.groupBy("digest", "content").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
+    rows = _rows(docs, id_col, text_col)
+    groups = _combined(rows, salts)
     slim = materialise(
         groups.select("digest", F.xxhash64("content").alias("mark"), F.length("content").alias("chars"), "keep_id", "group_size"),
         "exact_groups",
@@ -48,19 +57,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """``docs`` without the rows whose text another row of larger id has; all columns stay as they are.
 
-    One row stays of rows that repeat id and text. Nulls, empty tables and extra columns as in ``exact_groups``.
+    One row stays of rows that repeat id and text. Nulls, empty tables and very long texts as in ``exact_groups``; further
+    columns may have any names.
     """
-    groups = exact_groups(docs, id_col, text_col, salts).filter("kept")
-    kept = materialise(
-        groups.groupBy(F.col(id_col).alias("__keep_id"), F.col("text_sha256").alias("__keep_digest")).agg(F.count("*").alias("__keep_n")),
-        "exact_kept",
-    )
-    digest = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256)
-    here = docs[id_col].eqNullSafe(kept["__keep_id"]) & (digest == kept["__keep_digest"])
-    found = docs.join(kept, here, "left_semi")
-    if kept.filter("__keep_n > 1").isEmpty():
-        return found
-    return found.withColumn("__keep_digest", digest).dropDuplicates([id_col, "__keep_digest"]).drop("__keep_digest")
+    keep_id, digest = free_names(docs, "keep_id", "digest")
+    kept = materialise(_combined(_rows(docs, id_col, text_col), salts).select(F.col("keep_id").alias(keep_id), F.col("digest").alias(digest)), "exact_kept")
+    marked = docs.withColumn(digest, F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    here = marked[id_col].eqNullSafe(kept[keep_id]) & (marked[digest] == kept[digest])
+    found = marked.join(kept, here, "left_semi")
+    if not docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        found = found.dropDuplicates([id_col, digest])
+    return found.select(*docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

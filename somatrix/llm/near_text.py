@@ -111,13 +111,19 @@ def prefix_lists(slim: DataFrame) -> DataFrame:
     return materialise(prefixes(slim).withColumn("times", times).filter("times > 1").drop("times"), "near_lists")
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets, from ``sets`` (key, n, shingles), are similar."""
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets are similar; ``texts`` is (key, text), each key once."""
+    pairs = materialise(pairs.distinct(), "near_pairs")
+    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    sets = materialise(shingle_sets(texts.join(asked, "key", "left_semi")), "near_sets")
     left = sets.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("shingles").alias("left"))
     right = sets.select(F.col("key").alias("b"), "n", F.col("shingles").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
-    near = pairs.distinct().join(left, "a").join(right, "b").filter(UNDER * both >= OVER * (F.col("m") + F.col("n") - both))
-    return materialise(near.select("a", "b"), "near_links")
+    near = pairs.join(left, "a").join(right, "b").filter(UNDER * both >= OVER * (F.col("m") + F.col("n") - both))
+    links = materialise(near.select("a", "b"), "near_links")
+    release(sets)
+    release(pairs)
+    return links
 
 
 def _could_be_similar() -> Column:
@@ -145,7 +151,7 @@ def _pairs_apart(rooted: DataFrame) -> DataFrame:
     return met.select(F.col("key").alias("a"), F.col("key_2").alias("b"))
 
 
-def similar_groups(lists: DataFrame, sets: DataFrame, candidates: DataFrame) -> DataFrame:
+def similar_groups(lists: DataFrame, texts: DataFrame, candidates: DataFrame) -> DataFrame:
     """(node, root): the groups that links of similarity 0.8 or more join, among all pairs. ``candidates`` (a, b) are
     compared in the first round."""
     links, roots, turn = None, None, 0
@@ -158,11 +164,11 @@ def similar_groups(lists: DataFrame, sets: DataFrame, candidates: DataFrame) ->
             if apart <= APART * n_rows or fresh == 0:
                 break
         pairs = _hub_pairs(rooted, turn)
-        found = similar(pairs.unionByName(candidates) if turn == 0 else pairs, sets)
+        found = similar(pairs.unionByName(candidates) if turn == 0 else pairs, texts)
         fresh = found.count()
         links = found if links is None else links.unionByName(found)
         roots = components(links)
         if turn:
             release(rooted)
         turn += 1
-    return components(links.unionByName(similar(_pairs_apart(rooted), sets))) if apart else roots
+    return components(links.unionByName(similar(_pairs_apart(rooted), texts))) if apart else roots

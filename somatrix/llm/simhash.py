@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from somatrix.llm import near_text
 from somatrix.llm.common import small
 from somatrix.operators.graph import components
-from somatrix.tables import free_names, materialise, table
+from somatrix.tables import free_names, materialise, release, table
 
 #: Reference fingerprints of the pivot table: drawn once from this seed.
 PIVOT_SEED, N_PIVOTS = 20, 24
@@ -207,19 +207,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     may have any names.
     """
     slim = docs.select(near_text.row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lists = near_text.prefix_lists(slim.select("key", "text"))
-    candidates = materialise(_candidates(slim.select("key", "text")), "near_candidates")
-    asked = lists.select("key").union(candidates.select("a")).union(candidates.select("b")).distinct()
-    sets = materialise(near_text.shingle_sets(slim.join(asked, "key", "left_semi").dropDuplicates(["key"])), "near_sets")
-    roots = near_text.similar_groups(lists, sets, candidates)
+    texts = slim.select("key", "text")
+    repeated = not slim.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").isEmpty()
+    if repeated:
+        texts = materialise(texts.dropDuplicates(["key"]), "near_texts")
+    lists = near_text.prefix_lists(texts)
+    roots = near_text.similar_groups(lists, texts, _candidates(texts))
+    release(lists)
     named = materialise(slim.select("key", "id").join(roots, slim["key"] == roots["node"]).select("root", "key", "id"), "near_named")
     kept = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("kept"))
     mark = free_names(docs, "near_key")[0]
     gone = materialise(named.join(kept, "root").filter("key <> kept").select(F.col("key").alias(mark)).distinct(), "near_gone")
     left = docs.withColumn(mark, near_text.row_key(id_col, text_col)).join(gone, mark, "left_anti")
-    if not slim.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").isEmpty():
-        left = left.dropDuplicates([mark])
-    return left.select(*docs.columns)
+    return (left.dropDuplicates([mark]) if repeated else left).select(*docs.columns)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
