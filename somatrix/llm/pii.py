@@ -135,6 +135,10 @@ def impossible(features: list[int]) -> list[int]:
     return [k for k, (needed, barred) in enumerate(SHAPES, 1) if not set(needed) <= set(features) or set(barred) & set(features)]
 
 
+#: Without a match to tie it to, a token is a telephone number only if it is written as one.
+WRITTEN = {FEATURES.index(x) for x in ("plus first", "parenthesis", "hyphen")}
+
+
 def token_keys(token: str) -> list[str]:
     digits = "".join(x for x in token if x in "0123456789")
     keys = [f"t{token.lower()}"] if len(token) >= 4 else []
@@ -262,8 +266,11 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: dict[str, np
     p = marginals(field, model)
     best, top, found = p.argmax(axis=1), p.max(axis=1), set()
     for k, tokens in enumerate(field.keys, len(field.spans)):
-        least = SURE if any(field.label[i] > 0 for i in tokens) else SURE_ALONE
+        tied = any(field.label[i] > 0 for i in tokens)
+        least = SURE if tied else SURE_ALONE
         same = [i for i in tokens if best[i] == best[k] > 0 and top[i] >= least]
+        if not tied:
+            same = [i for i in same if KINDS[best[i] - 1] != "phone" or WRITTEN & set(field.features[i])]
         if len(same) > 1 and top[k] >= least:
             found.update(i for i in same if field.label[i] < 0)
     return [(field.spans[i][0], int(best[i]), field.spans[i][1]) for i in sorted(found)]
