@@ -1,9 +1,9 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
-The index holds postings (term, document, position) of the terms that can start or confirm a match: of every benchmark
-window its longest words, which are the rarest ones as a rule. The index's own counts then say which of a window's
-terms is rarest. A window's posting lists are intersected from the rarest on, each shifted by the term's offset in
-the item, so that a match is one equal (document, diagonal); what survives two lists is compared word by word.
+Terms are counted over the whole corpus first. A benchmark window with a term that no document has can't match; of each
+other window, the rarest terms are indexed: postings (term, document, position). A window's posting lists are
+intersected from the rarest on, each shifted by the term's offset in the item, so that a match is one equal (document,
+diagonal); what survives all lists is compared word by word. A common term's list is dealt over ``SALTS`` tasks.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from somatrix.llm.common import ascii_lower
-from somatrix.tables import materialise, table
+from somatrix.tables import free_names, materialise, table
 
 #: Everything below U+0080 but digits and a-z; A-Z is lower-cased before.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Parts that the list of a window's rarest term is dealt in, by document.
+SALTS = 16
 #: The index's entry for a document's end, whose position is the number of its words. No word is empty.
 END = ""
 
@@ -32,12 +34,16 @@ def windows(benchmark: DataFrame, width: int, id_col: str = "item_id", text_col:
     return each.select("item", "at", F.slice("ws", F.col("at") + 1, F.lit(width)).alias("win")).distinct()
 
 
-def window_terms(wins: DataFrame, terms: int) -> DataFrame:
-    """(item, at, term, offset): the ``terms`` longest words of each window, offsets counted within the item."""
+def window_terms(wins: DataFrame) -> DataFrame:
+    """(item, at, win, term, offset): each distinct word of each window where it is first, offsets counted within the item."""
     each = wins.select("item", "at", "win", F.posexplode("win").alias("i", "term"))
-    by_length = Window.partitionBy("item", "at", "win").orderBy(F.length("term").desc(), "term", "i")
-    ranked = each.withColumn("rank", F.row_number().over(by_length)).filter(F.col("rank") <= terms)
-    return ranked.select("item", "at", "win", "term", (F.col("at") + F.col("i")).alias("offset"))
+    return each.groupBy("item", "at", "win", "term").agg((F.col("at") + F.min("i")).alias("offset"))
+
+
+def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, n): how often each of ``terms`` (one column, ``term``) is in all of ``docs``, where it is."""
+    each = docs.select(F.explode(words(F.col(text_col))).alias("term")).join(terms.distinct(), "term", "left_semi")
+    return materialise(each.groupBy("term").agg(F.count("*").alias("n")), "term_counts")
 
 
 def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,31 +57,40 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     return materialise(each.join(entries, "term").select("term", "id", "mark", "pos"), "postings")
 
 
+def _listed(postings: DataFrame, plans: DataFrame) -> DataFrame:
+    """Where each plan's rarest term is: (plan columns, id, mark, diagonal), a window of the item beginning ``diagonal``
+    words after the document, less the window's place in the item."""
+    dealt = postings.withColumn("salt", F.pmod(F.xxhash64("id", "mark"), F.lit(SALTS)).cast("int")).withColumnRenamed("term", "term1")
+    copied = plans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copied, ["term1", "salt"]).drop("salt").withColumn("diagonal", F.col("pos") - F.col("offset1")).drop("pos")
+
+
 def phrase_matches(docs: DataFrame, wins: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: int = 3) -> tuple[DataFrame, DataFrame]:
     """The rows' lengths (id, mark, n_words), and their exact matches (id, mark, hits), hits an array of structs
-    (start, item, n) for windows of n words that begin at word ``start``."""
+    (start, item, n) for windows of n words that begin at word ``start``. ``terms`` lists are intersected for a window."""
     wins = materialise(wins, "windows")
-    chosen = materialise(window_terms(wins, terms), "window_terms")
-    index = build_index(docs, chosen, id_col, text_col)
+    chosen = materialise(window_terms(wins), "window_terms")
+    counts = term_counts(docs, chosen.select("term"), text_col)
+    here = Window.partitionBy("item", "at", "win")
+    known = chosen.join(counts, "term", "left").withColumn("absent", F.max(F.col("n").isNull()).over(here)).filter("not absent")
+    ranked = known.withColumn("rank", F.row_number().over(here.orderBy("n", "term"))).filter(F.col("rank") <= terms)
+    named = [F.max(F.when(F.col("rank") == k, F.col(c))).alias(f"{c}{k}") for k in range(1, terms + 1) for c in ("term", "offset")]
+    plans = materialise(ranked.groupBy("item", "at", "win").agg(*named), "window_plans")
+    index = build_index(docs, plans.select(F.explode(F.array_compact(F.array(*[f"term{k}" for k in range(1, terms + 1)]))).alias("term")), id_col, text_col)
     postings = index.filter(F.col("term") != END)
-    counts = postings.groupBy("term").agg(F.count("*").alias("n"))
-    # A term that the index lacks rules its window out.
-    rarest = Window.partitionBy("item", "at", "win").orderBy(F.coalesce("n", F.lit(0)), "term", "offset")
-    ranked = chosen.join(counts, "term", "left").withColumn("rank", F.row_number().over(rarest))
-    first = ranked.filter("rank = 1").select("item", "at", "win", F.col("term").alias("term1"), F.col("offset").alias("offset1"))
-    second = ranked.filter("rank = 2").select("item", "at", "win", F.col("term").alias("term2"), F.col("offset").alias("offset2"))
-    plans = materialise(first.join(second, ["item", "at", "win"], "left"), "window_plans")
-    pairs = plans.select("item", "term1", "offset1", "term2", "offset2").distinct()
-
-    listed = postings.select(F.col("term").alias("term1"), "id", "mark", "pos").join(pairs, "term1")
-    listed = listed.withColumn("diagonal", F.col("pos") - F.col("offset1")).withColumn("pos", F.col("diagonal") + F.col("offset2"))
-    alone, paired = listed.filter("term2 is null"), listed.filter("term2 is not null")
-    other = postings.select(F.col("term").alias("p_term"), F.col("id").alias("p_id"), F.col("mark").alias("p_mark"), F.col("pos").alias("p_pos"))
-    same = (paired["term2"] == other["p_term"]) & (paired["mark"] == other["p_mark"]) & (paired["pos"] == other["p_pos"]) & paired["id"].eqNullSafe(other["p_id"])
-    met = alone.unionByName(paired.join(other, same, "left_semi")).select("item", "offset1", "offset2", "term1", "id", "mark", "diagonal")
-
-    p = plans.select(*[F.col(c).alias(f"p_{c}") for c in ("item", "at", "win", "term1", "offset1", "offset2")])
-    uses = (F.col("item").eqNullSafe(F.col("p_item"))) & (F.col("term1") == F.col("p_term1")) & (F.col("offset1") == F.col("p_offset1")) & F.col("offset2").eqNullSafe(F.col("p_offset2"))
+
+    lists = [c for k in range(1, terms + 1) for c in (f"term{k}", f"offset{k}")]
+    met = _listed(postings, plans.select("item", *lists).distinct())
+    for k in range(2, terms + 1):
+        other = postings.select(F.col("term").alias("p_term"), F.col("id").alias("p_id"), F.col("mark").alias("p_mark"), F.col("pos").alias("p_pos"))
+        same = (met[f"term{k}"] == other["p_term"]) & (met["mark"] == other["p_mark"]) & (met["diagonal"] + met[f"offset{k}"] == other["p_pos"]) & met["id"].eqNullSafe(other["p_id"])
+        more = met.filter(F.col(f"term{k}").isNotNull()).join(other, same, "left_semi")
+        met = materialise(met.filter(F.col(f"term{k}").isNull()).unionByName(more), f"met_{k}")
+
+    p = plans.select(*[F.col(c).alias(f"p_{c}") for c in ("item", "at", "win", *lists)])
+    uses = F.col("term1") == F.col("p_term1")
+    for c in ("item", *lists[1:]):
+        uses = uses & F.col(c).eqNullSafe(F.col(f"p_{c}"))
     places = met.join(p, uses).select("id", "mark", "item", (F.col("diagonal") + F.col("p_at")).alias("start"), F.col("p_win").alias("win")).filter("start >= 0")
     found = materialise(places.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "item", "win")).alias("places")), "candidates")
 
@@ -89,21 +104,31 @@ def phrase_matches(docs: DataFrame, wins: DataFrame, id_col: str = "doc_id", tex
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, span: int, terms: int = 3, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, item): documents that have the ``terms`` rarest of an item's longest words within ``span`` words of the
-    rarest one, in any order. An item without words, or with a word that no document has, matches none."""
-    whole = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("win")).filter(F.size("win") > 0)
-    chosen = materialise(window_terms(whole.withColumn("at", F.lit(0)).distinct(), 3 * terms).select("item", "term").distinct(), "item_terms")
-    postings = build_index(docs, chosen, id_col, text_col)
-    counts = postings.groupBy("term").agg(F.count("*").alias("n"))
-    rarest = Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "term")
-    ranked = materialise(chosen.join(counts, "term", "left").withColumn("rank", F.row_number().over(rarest)).filter(F.col("rank") <= terms), "item_ranks")
+    """(id, item): documents that have the ``terms`` rarest of an item's words within ``span`` words of the rarest one, in
+    any order.
+
+    A null, empty or wordless item, and one with a word that no document has, matches none; null and empty documents match
+    none; very long ones are indexed whole. A repeated word counts once; of words equally rare the one that sorts first is
+    rarer. Items of one id and different words are each matched; repeated documents give one row. Null ids are ids like
+    any other. Empty tables give no rows; further columns are ignored, whatever their names.
+    """
+    whole = benchmark.select(F.col(item_col).cast("string").alias("name"), words(F.col(text_col)).alias("win")).filter(F.size("win") > 0).distinct()
+    whole = whole.withColumn("item", F.struct("name", F.xxhash64("win").alias("mark"))).withColumn("at", F.lit(0))
+    chosen = materialise(window_terms(whole).select("item", "term"), "item_terms")
+    counts = term_counts(docs, chosen.select("term"), text_col)
+    here = Window.partitionBy("item")
+    known = chosen.join(counts, "term", "left").withColumn("absent", F.max(F.col("n").isNull()).over(here)).filter("not absent")
+    ranked = materialise(known.withColumn("rank", F.row_number().over(here.orderBy("n", "term"))).filter(F.col("rank") <= terms), "item_ranks")
+    postings = build_index(docs, ranked.select("term"), id_col, text_col)
     cell = F.floor(F.col("pos") / span)
     anchors = postings.join(ranked.filter("rank = 1").select("item", "term"), "term").select("item", "id", "mark", F.col("pos").alias("a_pos"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     rest = postings.join(ranked.select("item", "term", "rank"), "term").select("item", "id", "mark", "rank", "pos", cell.alias("cell"))
-    near = anchors.join(rest, ["item", "id", "mark", "cell"]).filter(F.abs(F.col("pos") - F.col("a_pos")) <= span)
+    rest = rest.select(*[F.col(c).alias(f"r_{c}") for c in ("item", "id", "mark", "cell")], "rank", "pos")
+    same = (anchors["item"] == rest["r_item"]) & anchors["id"].eqNullSafe(rest["r_id"]) & (anchors["mark"] == rest["r_mark"]) & (anchors["cell"] == rest["r_cell"])
+    near = anchors.join(rest, same).filter(F.abs(F.col("pos") - F.col("a_pos")) <= span)
     met = near.groupBy("item", "id", "mark", "a_pos").agg(F.countDistinct("rank").alias("met"))
     needed = ranked.groupBy("item").agg(F.count("*").alias("needed"))
-    return met.join(needed, "item").filter("met = needed").select("id", "item").distinct()
+    return met.join(needed, "item").filter("met = needed").select("id", F.col("item.name").alias("item")).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,7 +137,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
 
     Null and wordless texts have no words and no hits; wordless or null items have no windows. An item with a null id
     hits words but isn't counted or listed among the items. An empty table of documents gives no rows, one of
-    benchmark items no hits. Repeated rows each get their row; ids may be null or repeat with other texts; further
+    benchmark items no hits. Very long texts are indexed whole. Repeated rows each get their row; ids may be null or repeat with other texts; further
     columns are ignored, whatever their names.
     """
     lengths, matches = phrase_matches(docs, windows(benchmark, width), id_col, text_col)
@@ -136,9 +161,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     """``docs`` without the rows that hold a benchmark window; all columns stay as they are. Edge cases as in
     ``contamination``."""
     _, matches = phrase_matches(docs, windows(benchmark, width), id_col, text_col)
-    found = matches.select(F.col("id").alias("__hit_id"), F.col("mark").alias("__hit_mark"))
+    hit_id, hit_mark = free_names(docs, "hit_id", "hit_mark")
+    found = matches.select(F.col("id").alias(hit_id), F.col("mark").alias(hit_mark))
     mark = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    return docs.join(found, docs[id_col].eqNullSafe(found["__hit_id"]) & (mark == found["__hit_mark"]), "left_anti")
+    return docs.join(found, docs[id_col].eqNullSafe(found[hit_id]) & (mark == found[hit_mark]), "left_anti")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
