@@ -42,7 +42,8 @@ def window_terms(wins: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, n): how often each of ``terms`` (one column, ``term``) is in all of ``docs``, where it is."""
-    each = docs.select(F.explode(words(F.col(text_col))).alias("term")).join(terms.distinct(), "term", "left_semi")
+    vocabulary = materialise(terms.distinct(), "vocabulary")  # written, so that its size is known before the join
+    each = docs.select(F.explode(words(F.col(text_col))).alias("term")).join(vocabulary, "term", "left_semi")
     return materialise(each.groupBy("term").agg(F.count("*").alias("n")), "term_counts")
 
 
