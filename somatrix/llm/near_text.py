@@ -27,7 +27,7 @@ WIDTH = 5
 #: The least similarity, as a fraction, so that all comparisons are of integers.
 OVER, UNDER = 4, 5
 #: Documents, about, whose shingles are counted for the order; how many make one common; and the most that are remembered.
-ORDER_DOCUMENTS, COMMON, MOST_COMMON = 50_000, 2, 1_000_000
+ORDER_DOCUMENTS, COMMON, MOST_COMMON = 50_000, 3, 200_000
 #: Documents of a list that a round compares with the others, and how many pairs may be left apart, for each row of the
 #: lists, when all of them are compared.
 HUBS, APART = 2, 8
