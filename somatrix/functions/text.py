@@ -18,6 +18,12 @@ def image_dimension(name: Column, dimension: str) -> Column:
     return F.when(found != "", found)
 
 
+def image_name(subject: Column, group: Column, treatment: Column, tissue: Column, region: Column, processed: bool = False, extension: str = EXTENSIONS[0]) -> Column:
+    """The image's name from its dimensions; null if any is null."""
+    ending = F.lit(("_FOTO1_PROCESSED" if processed else "") + extension)
+    return F.concat(subject, F.lit("_"), group, F.lit("_"), treatment, F.lit("_"), tissue, F.lit("_"), region, ending)
+
+
 def first_number(text: Column) -> Column:
     """The first run of digits, as an integer; null without digits."""
     return F.regexp_extract(text, r"(\d+)", 1).try_cast("int")

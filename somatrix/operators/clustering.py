@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from somatrix.operators.neighbors import core_distances, fuzzy_union, knn, memberships, minimum_spanning_forest, mutual_reachability
@@ -176,8 +176,11 @@ def umap_layout(points: DataFrame, n_neighbors: int, min_dist: float, seed: int
     def uniform(salt: int):
         return (F.pmod(F.xxhash64("id", F.lit(seed * 1000 + salt)), F.lit(1 << 20)) / float(1 << 20) - 0.5) * 20
 
-    numbered = materialise(ids.select("id", uniform(1).alias("x"), uniform(2).alias("y"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("slot")), "layout")
-    slots = numbered.groupBy("slot").agg(F.min("id").alias("other"))
+    number = F.monotonically_increasing_id()
+    numbered = materialise(ids.select("id", uniform(1).alias("x"), uniform(2).alias("y"), F.shiftright(number, 33).alias("part"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "layout")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = numbered.groupBy("part").agg(F.count("*").alias("k")).select("part", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("start"))  # one row a partition
+    slots = materialise(numbered.join(starts, "part").select((F.col("start") + F.col("place")).alias("slot"), F.col("id").alias("other")), "slots")
     place = numbered.select("id", "x", "y")
     for epoch in range(epochs):
         rate = 1.0 - epoch / epochs

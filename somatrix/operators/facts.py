@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from somatrix.functions.shape import ratio
 from somatrix.functions.text import DIMENSIONS, category, cell_id, extension_rank
+from somatrix.tables import free_names
 
 #: Rows of a dimension table that are sent to every executor at most; larger ones are joined by shuffle.
 SMALL = 100_000
@@ -66,14 +67,15 @@ def spaced_names(df: DataFrame) -> DataFrame:
 def recode(df: DataFrame, column: str, mapping: DataFrame, unmatched: str = "keep", to: str | None = None) -> DataFrame:
     """``column`` by ``mapping`` (old, new). Values that it lacks are kept, or null, or a default: ``unmatched`` is keep,
     null, or a column. Of repeated old values the mapping's least new one counts."""
-    one = mapping.groupBy("old").agg(F.min("new").alias("__new"))
-    joined = df.join(small(one), df[column] == one["old"], "left")
-    new = F.col("__new")
+    before, after = free_names(df, "old", "new")
+    one = mapping.groupBy(F.col("old").alias(before)).agg(F.min("new").alias(after))
+    joined = df.join(small(one), df[column] == one[before], "left")
+    new = F.col(after)
     if unmatched == "keep":
         new = F.coalesce(new, F.col(column))
     elif isinstance(unmatched, Column):
         new = F.coalesce(new, unmatched)
-    return joined.withColumn(to or column, new).drop("old", "__new")
+    return joined.withColumn(to or column, new).drop(before, after)
 
 
 def without_noise(facts: DataFrame, column: str = "cluster") -> DataFrame:
@@ -97,7 +99,7 @@ def probe_names(files: DataFrame, dimensions: dict[str, DataFrame]) -> DataFrame
 def first_extension(files: DataFrame) -> DataFrame:
     """Of files (base, extension, ...) with one base, the one whose extension comes first; others' extensions go."""
     ranked = files.withColumn("rank", extension_rank(F.col("extension"))).filter("rank is not null")
-    order = Window.partitionBy("base").orderBy("rank")
+    order = Window.partitionBy("base").orderBy("rank", F.xxhash64(*files.columns))
     return ranked.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
 
 
@@ -118,3 +120,15 @@ def highlight(facts: DataFrame, column: str, value, name: str = "highlight") ->
 def by_name(df: DataFrame, values: DataFrame, key: str) -> DataFrame:
     """Attach results by key, never by row order."""
     return df.join(values, key, "left")
+
+
+def same_size(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Images (img, h, w) whose size is the same in both tables; the others can't be compared pixel by pixel."""
+    return a.join(b, ["img", "h", "w"], "left_semi")
+
+
+def transposed(df: DataFrame, key: str, values: list) -> DataFrame:
+    """(feature, one column for each of ``values``): rows become columns, named after ``key``."""
+    features = [c for c in df.columns if c != key]
+    long = df.select(key, *[F.col(f).cast("double").alias(f) for f in features]).unpivot([key], features, "feature", "value")
+    return long.groupBy("feature").pivot(key, values).agg(F.first("value"))

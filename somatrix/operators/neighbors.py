@@ -32,14 +32,22 @@ def knn(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
         if not len(ours) or not len(theirs):
             return pd.DataFrame({"src": [], "dst": [], "d": []})
         x, y = (np.stack(side["vec"].to_numpy()).astype(np.float64) for side in (ours, theirs))
-        theirs_id = theirs["id"].to_numpy()
-        out = []
-        for i, (source, v) in enumerate(zip(ours["id"].to_numpy(), x, strict=True)):
-            d = np.sqrt(((y - x[i]) ** 2).sum(axis=1))
-            d[theirs_id == source] = np.inf
-            at = np.lexsort((theirs_id, d))[: min(k, len(d))]
-            at = at[np.isfinite(d[at])]
-            out.append(pd.DataFrame({"src": source, "dst": theirs_id[at], "d": d[at]}))
+        ours_id, theirs_id = ours["id"].to_numpy(), theirs["id"].to_numpy()
+        squares, out = (y**2).sum(axis=1), []
+        for at in range(0, len(x), 256):
+            part, names = x[at : at + 256], ours_id[at : at + 256]
+            own = (part**2).sum(axis=1)
+            rough = own[:, None] + squares - 2 * part @ y.T
+            rough[names[:, None] == theirs_id] = np.inf
+            most = min(k, len(y))
+            # no farther than the k-th, with room for what the products round off; then measured point by point
+            limit = np.partition(rough, most - 1, axis=1)[:, most - 1] + 1e-9 * (own + squares.max())
+            i, j = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+            d = np.sqrt(((part[i] - y[j]) ** 2).sum(axis=1))
+            order = np.lexsort((theirs_id[j], d, i))
+            i, j, d = i[order], j[order], d[order]
+            kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append(pd.DataFrame({"src": names[i[kept]], "dst": theirs_id[j[kept]], "d": d[kept]}))
         return pd.concat(out)
 
     kind = dict(points.dtypes)["id"]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from somatrix.operators.graph import components
+from somatrix.tables import materialise
 
 FOUR = ((-1, 0), (0, -1), (0, 1), (1, 0))
 EIGHT = tuple((dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc)
@@ -49,19 +50,27 @@ def neighbour_class(pixels: DataFrame) -> DataFrame:
     return neighbour_count(pixels).withColumn("kind", kind)
 
 
+def line(radius: int, down: bool) -> tuple[tuple[int, int], ...]:
+    return tuple((d, 0) if down else (0, d) for d in range(-radius, radius + 1))
+
+
 def erode(pixels: DataFrame, size: DataFrame, iterations: int = 1) -> DataFrame:
-    """Pixels whose window of 2 * iterations + 1 holds foreground alone; outside the image nothing erodes."""
+    """Pixels whose window of 2 * iterations + 1 holds foreground alone; outside the image nothing erodes. A square window
+    is a row's and then a column's: each pass moves a pixel 2 * iterations + 1 times."""
     k = iterations
-    votes = shifted(pixels, square(k)).groupBy("img", "r", "c").agg(F.count("*").alias("n"))
-    inside = votes.join(pixels, ["img", "r", "c"], "left_semi").join(size, "img")
-    tall = F.least(F.col("h") - 1, F.col("r") + k) - F.greatest(F.lit(0), F.col("r") - k) + 1
-    wide = F.least(F.col("w") - 1, F.col("c") + k) - F.greatest(F.lit(0), F.col("c") - k) + 1
-    return inside.filter(F.col("n") == tall * wide).select("img", "r", "c")
+    left = pixels.select("img", "r", "c")
+    for down, at, edge in ((False, "c", "w"), (True, "r", "h")):
+        votes = shifted(left, line(k, down)).groupBy("img", "r", "c").agg(F.count("*").alias("n")).join(size, "img")
+        inside = F.least(F.col(edge) - 1, F.col(at) + k) - F.greatest(F.lit(0), F.col(at) - k) + 1
+        kept = (F.col("n") == inside) & F.col(at).between(0, F.col(edge) - 1)
+        left = votes.filter(kept).select("img", "r", "c")
+    return left
 
 
 def dilate(pixels: DataFrame, size: DataFrame, iterations: int = 1) -> DataFrame:
-    """All pixels within ``iterations`` rows and columns of a foreground pixel, inside the image."""
-    moved = shifted(pixels, square(iterations)).distinct().join(size, "img")
+    """All pixels within ``iterations`` rows and columns of a foreground pixel, inside the image; by rows, then columns."""
+    wide = shifted(pixels, line(iterations, False)).distinct()
+    moved = shifted(wide, line(iterations, True)).distinct().join(size, "img")
     return moved.filter((F.col("r") >= 0) & (F.col("c") >= 0) & (F.col("r") < F.col("h")) & (F.col("c") < F.col("w"))).select("img", "r", "c")
 
 
@@ -109,15 +118,15 @@ def label_components(pixels: DataFrame, connectivity: int = 8, tile: int = TILE)
 
     keyed = pixels.select("img", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
     squares = keyed.groupBy("img", F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc"))
-    labelled = squares.applyInPandas(label, schema)
+    labelled = materialise(squares.applyInPandas(label, schema), "squares")  # read three times below
     edge = labelled.filter((F.col("r") % tile == 0) | (F.col("r") % tile == tile - 1) | (F.col("c") % tile == 0) | (F.col("c") % tile == tile - 1))
     pairs = EIGHT if connectivity == 8 else FOUR
     moved = edge.select("img", "r", "c", "local", offsets(pairs).alias("o"))
     moved = moved.select("img", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), F.col("local").alias("other"))
     touching = edge.join(moved, ["img", "r", "c"]).filter("local != other")
-    if touching.isEmpty():
+    links = materialise(touching.select(F.struct("img", "local").alias("a"), F.struct("img", F.col("other").alias("local")).alias("b")).distinct(), "touching")
+    if links.isEmpty():
         return labelled.withColumnRenamed("local", "label")
-    links = touching.select(F.struct("img", "local").alias("a"), F.struct("img", F.col("other").alias("local")).alias("b"))
     roots = components(links).select(F.col("node.img").alias("img"), F.col("node.local").alias("local"), F.col("root.local").alias("label"))
     return labelled.join(roots, ["img", "local"], "left").select("img", "r", "c", F.coalesce("label", "local").alias("label"))
 
@@ -252,6 +261,19 @@ def strips(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("offset", F.coalesce(F.sum("width").over(before), F.lit(0))).join(tallest, "img")
 
 
+def colour_masks(pixels: DataFrame, ranges: dict[str, tuple[tuple[int, int], tuple[int, int], tuple[int, int]]]) -> DataFrame:
+    """(img, r, c, mask) of pixels (img, r, c, blue, green, red): each mask in whose ranges, ends included, they lie."""
+    named = [F.when(F.col("blue").between(*b) & F.col("green").between(*g) & F.col("red").between(*r), F.lit(name)) for name, (b, g, r) in ranges.items()]
+    return pixels.select("img", "r", "c", F.explode(F.array_compact(F.array(*named))).alias("mask"))
+
+
+def rainbow(position: Column) -> tuple[Column, Column, Column]:
+    """Red, green and blue from 0 to 1 at a place from 0 to 1 of the published rainbow, violet to red: straight-line red
+    |2x - 1/2|, kept within 0 and 1, a half sine of green, and a quarter cosine of blue."""
+    red = F.least(F.greatest(F.abs(2 * position - 0.5), F.lit(0.0)), F.lit(1.0))
+    return red, F.sin(F.lit(3.141592653589793) * position), F.cos(F.lit(3.141592653589793) / 2 * position)
+
+
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, ["img", "r", "c"], "left_anti")
 

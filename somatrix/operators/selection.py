@@ -2,37 +2,54 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from somatrix.tables import materialise
+from somatrix.tables import free_names, materialise
 
 
-def exact_split(df: DataFrame, share: float, key: str, seed: int = 24, order: Column | None = None) -> DataFrame:
-    """``df`` with ``test``: true for exactly ceil(share * rows) of them, those first by a hash of the key (or ``order``).
+def exact_split(df: DataFrame, share: float, key: str, seed: int = 24, order: Column | None = None, block: int = 100_000) -> DataFrame:
+    """``df`` with ``test``: true for exactly ceil(share * rows) of them, those first by a hash of the key (or ``order``),
+    then by key, then by a hash of the row's number.
 
-    The threshold is found by counting: rows are grouped by the order's leading bits, and only the group in which the
-    threshold falls is ranked, so no task sorts the table."""
+    The threshold is found by counting: the order's range is cut in parts, several for each ``block`` rows, and the part
+    in which the threshold falls is cut again until ``block`` rows are left, which one task ranks. Where one order has
+    more rows than that, the hash of the row's number goes on in its place. Columns may have any names but ``test``."""
     if not 0 < share < 1:
         raise ValueError("share is between 0 and 1, both excluded")
     order = F.xxhash64(key, F.lit(seed)) if order is None else order
-    keyed = materialise(df.withColumn("__order", order.cast("long")), "split")
+    mark, tie = free_names(df, "order", "tie")
+    number = F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))
+    keyed = materialise(df.withColumn(mark, F.coalesce(order.cast("long"), F.lit(0))).withColumn(tie, number), "split")
     n = keyed.count()
-    wanted = -(-int(round(share * n * 1e9)) // 10**9)
-    block = F.shiftright("__order", 44)
-    sizes = keyed.groupBy(block.alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect()  # 2**20 groups at most
-    before, edge = 0, None
-    for r in sizes:
-        if before + r["n"] >= wanted:
-            edge = r["b"]
+    wanted, before, edge, bounds = -(-int(round(share * n * 1e9)) // 10**9), 0, keyed, {}
+    for column in (mark, tie):
+        low, high, rows = edge.agg(F.min(column), F.max(column), F.count("*")).first()
+        while rows > block and low < high:
+            step = -(-(high - low + 1) // min(4096, 4 * rows // block + 2))
+            part = F.floor((F.col(column).cast("decimal(20,0)") - F.lit(Decimal(low))) / F.lit(Decimal(step)))
+            here = None
+            for r in edge.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():  # 4096 at most
+                here = r["part"]
+                if before + r["n"] >= wanted:
+                    break
+                before += r["n"]
+            edge = edge.filter(part == F.lit(here))
+            low, high, rows = edge.agg(F.min(column), F.max(column), F.count("*")).first()
+        bounds[column] = (low, high)
+        if rows <= block:
             break
-        before += r["n"]
-    inside = keyed.filter(block == edge).withColumn("__rank", F.row_number().over(Window.orderBy("__order", key)))
-    chosen = inside.withColumn("test", F.col("__rank") <= wanted - before).drop("__rank")
-    rest = keyed.filter(block != edge).withColumn("test", block < edge)
-    return rest.unionByName(chosen).drop("__order")
+    inside, first, by = F.lit(True), F.lit(False), [mark, key, tie]
+    for column, (low, high) in bounds.items():
+        first = first | (inside & (F.col(column) < low))
+        inside = inside & F.col(column).between(low, high)
+        by = [mark, tie] if column == tie else by
+    ranked = keyed.filter(inside).withColumn("test", F.row_number().over(Window.orderBy(*by)) <= wanted - before)
+    return keyed.filter(~inside).withColumn("test", first).unionByName(ranked).drop(mark, tie)
 
 
 def importances(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 10, seed: int = 42) -> list[tuple[str, float]]:

@@ -93,21 +93,23 @@ def chi_square(observed: DataFrame, by: str, of: str) -> DataFrame:
 
 def chi_square_cells(observed: DataFrame, by: str, of: str) -> DataFrame:
     """For each cell its Pearson residual; ``contribution``, its residual's square as a percentage of chi square; and
-    ``square_share``, its squared count as a percentage of all cells', to three decimals."""
+    ``square_share``, 100 times its squared count by the sum of all counts, to three decimals."""
     whole = expected_counts(observed, by, of).withColumn("residual", (F.col("n") - F.col("expected")) / F.sqrt("expected"))
-    sums = whole.agg(F.sum(F.pow("residual", F.lit(2))).alias("__chi2"), F.sum(F.col("n") * F.col("n")).alias("__squares"))
+    sums = whole.agg(F.sum(F.pow("residual", F.lit(2))).alias("__chi2"), F.sum("n").alias("__total"))
     whole = whole.crossJoin(F.broadcast(sums))  # one row
-    return whole.select(by, of, "n", "expected", "residual", F.try_divide(100 * F.pow("residual", F.lit(2)), F.col("__chi2")).alias("contribution"), F.round(100 * F.col("n") * F.col("n") / F.col("__squares"), 3).alias("square_share"))
+    return whole.select(by, of, "n", "expected", "residual", F.try_divide(100 * F.pow("residual", F.lit(2)), F.col("__chi2")).alias("contribution"), F.round(100 * F.col("n") * F.col("n") / F.col("__total"), 3).alias("square_share"))
 
 
-def mid_ranks(values: DataFrame, block: int = 4096) -> DataFrame:
+def mid_ranks(values: DataFrame, block: int = 100_000) -> DataFrame:
     """``values`` (feature, group, value) counted by distinct value, with ``rank``, the mean of the ranks that equal
     values take, and ``ties``, how many there are.
 
     Distinct values are counted first, and those counts ranked: by a running sum inside blocks of a range partitioning
-    and over the blocks' totals, so that no task holds a feature whole."""
+    and over the blocks' totals, so that no task holds a feature whole; a block has about ``block`` distinct values."""
     counted = values.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("ties"))
-    bounds = counted.groupBy("feature").agg(F.percentile_approx("value", [i / 64 for i in range(1, 64)], block).alias("cuts"))
+    most = counted.groupBy("feature").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = max(2, -(-most // block))
+    bounds = counted.groupBy("feature").agg(F.percentile_approx("value", [i / parts for i in range(1, parts)], max(10_000, 10 * parts)).alias("cuts"))
     placed = counted.join(F.broadcast(bounds), "feature").withColumn("block", F.size(F.filter("cuts", lambda x: x < F.col("value")))).drop("cuts")
     totals = placed.groupBy("feature", "block").agg(F.sum("ties").alias("n"))
     earlier = Window.partitionBy("feature").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from somatrix.functions import text
+from somatrix.functions import shape, text
 from somatrix.operators import facts, neighbors, raster, selection, stats
 from somatrix.plans.views import CELLS_SQL, DENSE, FEATURES, PX_SQL, SPARSE, cells, foreground, px
 from somatrix.tables import materialise, table
@@ -414,7 +414,7 @@ def chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CELLS_SQL.strip()}{_EXPECTED}SELECT g AS "group", k AS cluster, CAST(n AS BIGINT) AS n, round((n - expected) / sqrt(expected), 6) + 0.0 AS residual, round(100 * (n - expected) * (n - expected) / expected / sum((n - expected) * (n - expected) / expected) OVER (), 4) AS contribution,
-round(100.0 * n * n / sum(n * n) OVER (), 3) AS square_share FROM e""")
+round(100.0 * n * n / sum(n) OVER (), 3) AS square_share FROM e""")
 def chi_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stats.chi_square_cells(_observed(spark, sf_dir), "group", "cluster")
     return found.select("group", "cluster", "n", (F.round("residual", 6) + 0.0).alias("residual"), F.round("contribution", 4).alias("contribution"), "square_share")
@@ -575,3 +575,109 @@ def forest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = materialise(selection.exact_split(frame, 0.3, "vec_id"), "split")
     predicted = selection.forest_predictions(split.filter("not test"), split.filter("test"), names, "label", trees=20, depth=5)
     return rounded(stats.class_report(predicted.withColumn("label", F.col("label").cast("string"))), "precision", "recall", "f1")
+
+
+# Small operators that the queries above don't reach
+
+
+@query(_components_sql(NEAR8, """
+SELECT img, label AS cell, round(4 * pi() * area / ((2 * height + 2 * width) * (2 * height + 2 * width)), 6) AS circularity, round(area / (2 * height + 2 * width), 6) AS compactness FROM stats"""))
+def shape_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Circularity and compactness, with the box's outline for a perimeter."""
+    found = raster.component_stats(_labelled(spark, sf_dir, 8))
+    outline = 2 * F.col("height") + 2 * F.col("width")
+    ratios = [F.round(f(F.col("area"), outline), 6).alias(f.__name__) for f in (shape.circularity, shape.compactness)]
+    return found.select("img", F.col("label").alias("cell"), *ratios)
+
+
+@query(_cells_sql("SELECT cell, quantity AS \"cell quantity\", total AS \"cell total\" FROM cells"))
+def spaced_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = cells(spark, sf_dir).select("cell", F.col("quantity").alias("cell_quantity"), F.col("total").alias("cell_total"))
+    return facts.spaced_names(facts.require_columns(named, ["cell", "cell_quantity"]))
+
+
+@query(_cells_sql("SELECT cell, discount, tax, balance FROM cells"))
+def column_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature columns by position, without those of a name part and a prefix."""
+    whole = cells(spark, sf_dir).select("cell", "group", "quantity", "price", "discount", "tax", "balance", "total")
+    return whole.select("cell", *facts.feature_columns(whole, 4, ("total",), ("UMAP_",)))
+
+
+@query(_cells_sql("SELECT c.cell, c.cluster, CAST(x.cluster AS VARCHAR) AS label FROM cells c LEFT JOIN (SELECT cell, cluster FROM cells WHERE cluster > 2) x USING (cell)"))
+def attach_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results go back to their cells by key, not by position."""
+    whole = cells(spark, sf_dir).select("cell", "cluster")
+    return facts.by_name(whole, whole.filter("cluster > 2").select("cell", F.col("cluster").cast("string").alias("label")), "cell")
+
+
+@query(_cells_sql("SELECT \"group\", round(greatest(least(avg(balance) / 5000, 1), -1), 6) AS clamped FROM cells GROUP BY \"group\""))
+def clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = cells(spark, sf_dir).groupBy("group").agg((F.avg("balance") / 5000).alias("x"))
+    return means.select("group", F.round(stats.clamped(F.col("x")), 6).alias("clamped"))
+
+
+@query("SELECT s_suppkey, 'a' AS first, CAST(s_nationkey AS VARCHAR) AS second, 3 AS n FROM supplier")
+def comma_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.concat(F.lit("a , "), F.col("s_nationkey").cast("string"), F.lit(",c"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.listed(given).alias("v")).select("s_suppkey", F.col("v")[0].alias("first"), F.col("v")[1].alias("second"), F.size("v").alias("n"))
+
+
+@query(_px_sql(""", pair AS (SELECT img, r, c, CAST(floor(greatest(v, 0) * 255) AS INTEGER) AS a, CAST(floor(abs(v) * 100) AS INTEGER) AS b FROM px)
+SELECT img, count(*) AS pixels, CAST(sum(CAST(round_even(0.3 * a + 0.7 * b, 0) AS INTEGER)) AS BIGINT) AS blended, CAST(sum(CASE WHEN a = 0 AND b = 0 THEN 0 ELSE 255 END) AS BIGINT) AS alpha FROM pair GROUP BY img"""))
+def blend_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted means of two channels, and transparency where both are black."""
+    pair = px(spark, sf_dir).select("img", F.floor(F.greatest("v", F.lit(0.0)) * 255).cast("int").alias("old"), F.floor(F.abs("v") * 100).cast("int").alias("new"))
+    mixed = raster.blend(pair, "old", "new", 0.3).withColumns({"b": F.col("old"), "g": F.col("new"), "r": F.col("new")})
+    return raster.alpha_of(mixed).groupBy("img").agg(F.count("*").alias("pixels"), F.sum("blended").alias("blended"), F.sum("alpha").alias("alpha"))
+
+
+@query(_px_sql(" SELECT img, CAST(r + 3 AS BIGINT) AS r, CAST(c + 2 AS BIGINT) AS c FROM sparse"))
+def pad_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = raster.pad(foreground(spark, sf_dir, SPARSE), 3, 2)
+    return moved.select("img", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
+
+
+@query(_px_sql(""", p AS (SELECT img, CAST(floor(abs(v) * 255) AS INTEGER) AS a, CAST(c * 4 AS INTEGER) AS b, CAST(r % 256 AS INTEGER) AS d FROM px)
+SELECT img, mask, count(*) AS pixels FROM (SELECT img, 'low' AS mask FROM p WHERE a BETWEEN 0 AND 60 AND b BETWEEN 0 AND 120 AND d BETWEEN 0 AND 255
+UNION ALL SELECT img, 'mid' FROM p WHERE a BETWEEN 40 AND 130 AND b BETWEEN 100 AND 255 AND d BETWEEN 5 AND 200) GROUP BY img, mask"""))
+def colour_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = px(spark, sf_dir).select("img", "r", "c", F.floor(F.abs("v") * 255).cast("int").alias("blue"), (F.col("c") * 4).cast("int").alias("green"), (F.col("r") % 256).cast("int").alias("red"))
+    found = raster.colour_masks(pixels, {"low": ((0, 60), (0, 120), (0, 255)), "mid": ((40, 130), (100, 255), (5, 200))})
+    return found.groupBy("img", "mask").agg(F.count("*").alias("pixels"))
+
+
+@query(_cells_sql("""SELECT cluster, CASE WHEN cluster = -1 THEN '0,0,0' ELSE concat_ws(',', CAST(floor(255 * least(greatest(abs(2 * cluster / k - 0.5), 0), 1)) AS INTEGER), CAST(floor(255 * sin(pi() * cluster / k) + 1e-9) AS INTEGER), CAST(floor(255 * cos(pi() / 2 * cluster / k) + 1e-9) AS INTEGER)) END AS colour
+FROM (SELECT DISTINCT cluster, (SELECT count(DISTINCT cluster) FROM cells) AS k FROM cells)"""))
+def rainbow_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A colour for each cluster, by its number's place among the clusters; noise is black."""
+    clusters = cells(spark, sf_dir).select("cluster").distinct()
+    k = clusters.count()
+    each = [F.floor(255 * x + 1e-9).cast("int") for x in raster.rainbow(F.col("cluster") / k)]
+    return clusters.select("cluster", F.when(F.col("cluster") == -1, F.lit("0,0,0")).otherwise(text.colour_text(*each)).alias("colour"))
+
+
+@query(_cells_sql("SELECT cell, 'R' || subject || '_' || \"group\" || '_' || treatment || '_' || tissue || '_' || region || '.tif' AS name FROM cells"))
+def name_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(spark, sf_dir).select("cell", text.image_name(F.concat(F.lit("R"), "subject"), *map(F.col, ("group", "treatment", "tissue", "region"))).alias("name"))
+
+
+@query(_cells_sql("SELECT cell, row_number() OVER (ORDER BY cell) AS place FROM cells QUALIFY place <= 100"))
+def sorted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred cells in order of number: a top-k report."""
+    first = cells(spark, sf_dir).select("cell").orderBy("cell").limit(100)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("cell")))
+
+
+@query(_px_sql(""", other AS (SELECT img, max(r) + 1 AS h, max(c) + 1 AS w FROM px WHERE img % 2 = 0 OR r < 3 GROUP BY img)
+SELECT size.img, CAST(size.h AS BIGINT) AS h, CAST(size.w AS BIGINT) AS w FROM size JOIN other USING (img, h, w)"""))
+def same_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = px(spark, sf_dir)
+    whole, other = raster.extent(pixels), raster.extent(pixels.filter("img % 2 = 0 or r < 3"))
+    return facts.same_size(whole, other).select("img", F.col("h").cast("long").alias("h"), F.col("w").cast("long").alias("w"))
+
+
+@query(_cells_sql("""SELECT f.feature, max(CASE WHEN g = 'BUILDING' THEN x END) AS "BUILDING", max(CASE WHEN g = 'MACHINERY' THEN x END) AS "MACHINERY" FROM (
+SELECT "group" AS g, 'price' AS feature, round(avg(price), 4) AS x FROM cells GROUP BY g UNION ALL SELECT "group", 'total', round(avg(total), 4) FROM cells GROUP BY "group") f GROUP BY f.feature"""))
+def transposed_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = rounded(stats.group_means(cells(spark, sf_dir), "group", ("price", "total")), "price", "total")
+    return facts.transposed(means, "group", ["BUILDING", "MACHINERY"])

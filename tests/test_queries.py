@@ -8,11 +8,12 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from somatrix.functions import text
 from somatrix.functions.shape import ratio
 from somatrix.functions.survival import upper_gamma
-from somatrix.operators import clustering, facts, measure, neighbors, raster
+from somatrix.operators import clustering, facts, measure, neighbors, raster, selection
 from somatrix.operators.graph import components
 from somatrix.plans import queries as plans
 
@@ -213,3 +214,20 @@ def test_feature_files(spark, tmp_path):
     facts_table = spark.createDataFrame([("CA1", "R1", 1), ("HILUS", "R1", 2)], "region string, subject string, cell int")
     tables.write_facts(facts_table, str(tmp_path / "facts"))
     assert spark.read.parquet(str(tmp_path / "facts")).filter("region = 'CA1'").count() == 1
+
+
+def test_exact_split(spark):
+    """Ties, one order for many rows, and blocks far smaller than the table."""
+    rows = spark.createDataFrame([(i, i % 3, i % 7) for i in range(2000)], "id long, order long, test_key long").repartition(3)
+    for order in (F.col("order"), F.lit(5), F.col("id") * 1_000_003 % 5000 - 2500, F.when(F.col("id") < 5, F.lit(2**62)).otherwise(F.lit(-(2**63)))):
+        found = selection.exact_split(rows, 0.3, "id", order=order, block=50).withColumn("by", order)
+        assert found.count() == 2000 and found.filter("test").count() == 600 and found.columns == ["id", "order", "test_key", "test", "by"]
+        assert found.filter("test").agg(F.max("by")).first()[0] <= found.filter("not test").agg(F.min("by")).first()[0]
+    assert selection.exact_split(rows.limit(0), 0.3, "id").count() == 0
+
+
+def test_free_names(spark):
+    from somatrix.tables import free_names
+
+    df = spark.createDataFrame([(1, 2)], "a int, _A int")
+    assert free_names(df, "a", "b", "b") == ["__a", "b", "_b"]
