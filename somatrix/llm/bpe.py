@@ -28,7 +28,7 @@ from somatrix.tables import table
 
 #: Chunks that a memo holds at most, the longest chunk that it takes, pairs of tokens and edges of tokens that
 #: other memos hold, and bytes of text in an output batch.
-MEMO, LONGEST, PAIRS, EDGES, PIECE = 100_000, 32, 100_000, 20_000, 2 << 20
+MEMO, LONGEST, PAIRS, EDGES, PIECE = 200_000, 48, 200_000, 100_000, 2 << 20
 #: Above every rank.
 NEVER = 1 << 60
 #: In the tables of halves: not looked up yet, and none.
@@ -46,7 +46,7 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
 
 
 class Memo(dict):
-    """Encodings of short chunks; forgets all when it holds ``MEMO``, some 30 MB at most."""
+    """Encodings of short chunks; forgets all when it holds ``MEMO``, some 60 MB as a rule."""
 
     def __init__(self, f):
         self.f = f
