@@ -3,7 +3,9 @@
 Fingerprints alone miss most edited copies at that similarity. An exact cover, prefix filtering, lists the rest: in any
 order of all shingles, two sets of similarity s share one of their first n - ceil(s n) + 1. The order here puts shingles
 that a sample has often last, so that common passages are in few prefixes; the sample changes the work, never the
-result. Candidates are compared by their whole sets.
+result. Candidates are compared by sketches first: a bit a class of hashes, set where a set has an odd number of them.
+Each shingle that only one of two sets has changes one bit, so sketches differ in no more bits than there are such shingles;
+for similar sets of m and n these are (m + n) / 9 at most. What passes is compared by whole sets.
 
 A list of one shingle's documents isn't compared pair by pair. In each round a few of its documents, drawn by a hash, are
 compared with all others of it that aren't joined to them yet; only pairs that such rounds leave apart are compared each.
@@ -31,6 +33,8 @@ ORDER_DOCUMENTS, COMMON, MOST_COMMON = 50_000, 3, 200_000
 #: Documents of a list that a round compares with the others, and how many pairs may be left apart, for each row of the
 #: lists, when all of them are compared.
 HUBS, APART = 2, 8
+#: 64-bit numbers of a sketch.
+SKETCH = 16
 MIX = np.random.default_rng(5).integers(0, 2**63, WIDTH + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -66,6 +70,23 @@ def shingle_sets(slim: DataFrame) -> DataFrame:
     return slim.select("key", "text").mapInArrow(run, "key long, n long, shingles array<long>")
 
 
+def sketches(slim: DataFrame) -> DataFrame:
+    """(key, n, sketch) of rows (key, text): the size of the shingle set, and its parities as an array of longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            found, sizes = [], []
+            for text in batch.column("text"):
+                s = shingle_set(text.as_py())
+                odd = np.bincount((s % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+                found.append(np.packbits(odd.astype(bool)).view(np.int64))
+                sizes.append(len(s))
+            columns = [batch.column("key"), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "sketch"])
+
+    return slim.select("key", "text").mapInArrow(run, "key long, n long, sketch array<long>")
+
+
 def _common(slim: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are common in a sample, ascending, and in how many of its documents each is."""
     draw = F.pmod(F.xxhash64("key", F.lit("order")), F.lit(1 << 30)) / float(1 << 30)
@@ -111,9 +132,19 @@ def prefix_lists(slim: DataFrame) -> DataFrame:
     return materialise(prefixes(slim).withColumn("times", times).filter("times > 1").drop("times"), "near_lists")
 
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets are similar; ``texts`` is (key, text), each key once."""
-    pairs = materialise(pairs.distinct(), "near_pairs")
+def _sketches_allow(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b), each once, that neither sizes nor sketches rule out."""
+    left = sketched.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("left"))
+    right = sketched.select(F.col("key").alias("b"), "n", F.col("sketch").alias("right"))
+    differ = sum((F.bit_count(F.col("left")[i].bitwiseXOR(F.col("right")[i])) for i in range(SKETCH)), F.lit(0))
+    may = (UNDER * F.least("m", "n") >= OVER * F.greatest("m", "n")) & ((OVER + UNDER) * differ <= F.col("m") + F.col("n"))
+    return pairs.distinct().join(left, "a").join(right, "b").filter(may).select("a", "b")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets are similar; ``texts`` is (key, text), each key once, and ``sketched``
+    their ``sketches``."""
+    pairs = materialise(_sketches_allow(pairs, sketched), "near_pairs")
     asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     sets = materialise(shingle_sets(texts.join(asked, "key", "left_semi")), "near_sets")
     left = sets.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("shingles").alias("left"))
@@ -155,6 +186,7 @@ def similar_groups(lists: DataFrame, texts: DataFrame, candidates: DataFrame) ->
     """(node, root): the groups that links of similarity 0.8 or more join, among all pairs. ``candidates`` (a, b) are
     compared in the first round."""
     links, roots, turn = None, None, 0
+    sketched = materialise(sketches(texts), "near_sketches")
     n_rows = lists.count()
     while True:
         rooted = lists.withColumn("root", F.col("key")) if roots is None else materialise(_rooted(lists, roots), "near_rooted")
@@ -164,11 +196,11 @@ def similar_groups(lists: DataFrame, texts: DataFrame, candidates: DataFrame) ->
             if apart <= APART * n_rows or fresh == 0:
                 break
         pairs = _hub_pairs(rooted, turn)
-        found = similar(pairs.unionByName(candidates) if turn == 0 else pairs, texts)
+        found = similar(pairs.unionByName(candidates) if turn == 0 else pairs, texts, sketched)
         fresh = found.count()
         links = found if links is None else links.unionByName(found)
         roots = components(links)
         if turn:
             release(rooted)
         turn += 1
-    return components(links.unionByName(similar(_pairs_apart(rooted), texts))) if apart else roots
+    return components(links.unionByName(similar(_pairs_apart(rooted), texts, sketched))) if apart else roots
