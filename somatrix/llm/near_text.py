@@ -141,18 +141,32 @@ def _sketches_allow(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     return pairs.distinct().join(left, "a").join(right, "b").filter(may).select("a", "b")
 
 
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of rows (a, b, left, right) whose texts' whole sets are similar; b's rows come together."""
+    last, right = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        near = np.zeros(batch.num_rows, bool)
+        b = np.asarray(batch.column("b"))
+        for i in range(batch.num_rows):
+            if b[i] != last:
+                last, right = b[i], shingle_set(batch.column("right")[i].as_py())
+            left = shingle_set(batch.column("left")[i].as_py())
+            both = len(np.intersect1d(left, right, assume_unique=True))
+            near[i] = UNDER * both >= OVER * (len(left) + len(right) - both)
+        yield batch.select(["a", "b"]).filter(pa.array(near))
+
+
 def similar(pairs: DataFrame, texts: DataFrame, sketched: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets are similar; ``texts`` is (key, text), each key once, and ``sketched``
-    their ``sketches``."""
+    their ``sketches``. Texts travel, not their sets: hashes don't compress."""
     pairs = materialise(_sketches_allow(pairs, sketched), "near_pairs")
     asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = materialise(shingle_sets(texts.join(asked, "key", "left_semi")), "near_sets")
-    left = sets.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("key").alias("b"), "n", F.col("shingles").alias("right"))
-    both = F.size(F.array_intersect("left", "right"))
-    near = pairs.join(left, "a").join(right, "b").filter(UNDER * both >= OVER * (F.col("m") + F.col("n") - both))
-    links = materialise(near.select("a", "b"), "near_links")
-    release(sets)
+    read = materialise(texts.join(asked, "key", "left_semi"), "near_asked")
+    left = read.select(F.col("key").alias("a"), F.col("text").alias("left"))
+    right = read.select(F.col("key").alias("b"), F.col("text").alias("right"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    links = materialise(met.mapInArrow(_compared, "a long, b long"), "near_links")
+    release(read)
     release(pairs)
     return links
 
