@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from somatrix.operators.raster import label_square
+
 #: The eight neighbours, clockwise from the east, as (row, column).
 RING = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
 CELL_FEATURES = ("area", "perimeter", "circularity", "compactness", "orientation", "feret_diameter", "eccentricity", "aspect_ratio")
@@ -64,6 +66,22 @@ def outline(mask: np.ndarray) -> np.ndarray:
     return points
 
 
+def _components(mask: np.ndarray, eight: bool) -> np.ndarray:
+    """The mask with a number above 0 for each of its components."""
+    r, c = np.nonzero(mask)
+    numbered = np.zeros(mask.shape, np.int64)
+    if len(r):
+        numbered[r, c] = label_square(pd.DataFrame({"r": r, "c": c}), eight) + 1
+    return numbered
+
+
+def outlines(mask: np.ndarray) -> list[np.ndarray]:
+    """The outer border of each component of the mask with its holes filled: what lies in a hole has none of its own."""
+    around = _components(~np.pad(mask.astype(bool), 1), eight=False)
+    numbered = _components((around != around[0, 0])[1:-1, 1:-1], eight=True)
+    return [outline(numbered == k) for k in np.unique(numbered[numbered > 0])]
+
+
 def length(points: np.ndarray) -> float:
     """Of the closed line through the points."""
     return float(np.hypot(*(np.roll(points, -1, axis=0) - points).T).sum()) if len(points) > 1 else 0.0
@@ -180,21 +198,23 @@ def ratio(a: float, b: float) -> float:
 
 
 def shape(mask: np.ndarray) -> dict[str, float]:
-    """``CELL_FEATURES`` of the mask; all 0 for an empty one. Eccentricity is the fitted ellipse's axis ratio."""
+    """``CELL_FEATURES`` of the mask; all 0 for an empty one. Eccentricity is the fitted ellipse's axis ratio. The
+    perimeter is that of all outlines, the rest is of the one around the largest area (of equal ones the first)."""
     area = int(mask.sum())
     if not area:
         return dict.fromkeys(CELL_FEATURES, 0.0)
-    line = outline(mask)
-    perimeter = length(line)
+    lines = outlines(mask)
+    line = max(lines, key=polygon_area)
+    perimeter = sum(map(length, lines))
     feret, angle = least_rectangle(convex_hull(line))
     width, height = np.ptp(line, axis=0) + 1
     return dict(zip(CELL_FEATURES, (float(area), perimeter, ratio(4 * math.pi * area, perimeter**2), ratio(area, perimeter), angle, feret, axis_ratio(line), width / height), strict=True))
 
 
 def hull_shape(mask: np.ndarray) -> dict[str, float]:
-    line = outline(mask)
-    if not len(line):
+    if not mask.any():
         return dict.fromkeys(HULL_FEATURES, 0.0)
+    line = max(outlines(mask), key=polygon_area)
     hull = convex_hull(line)
     feret, angle = least_rectangle(hull)
     area, perimeter = filled_area(hull), length(hull)
@@ -202,7 +222,9 @@ def hull_shape(mask: np.ndarray) -> dict[str, float]:
 
 
 def measure(pixels: DataFrame) -> DataFrame:
-    """One row for each cell of ``pixels`` (img, cell, r, c): its shape, its hull's, and its skeleton's size.
+    """One row for each cell of ``pixels`` (img, cell, r, c): its shape, its hull's, its skeleton's size, the centroid of its
+    largest outline (``centre_r``, ``centre_c``, null without an area) and the corners of its hull's approximation within 0.02 of the
+    hull's perimeter (``hull_corners``), all in the coordinates of ``pixels``.
 
     A cell without pixels has no row. ``flag`` says why features are 0: few points for an ellipse, or no outline."""
     kinds = dict(pixels.dtypes)
@@ -215,8 +237,27 @@ def measure(pixels: DataFrame) -> DataFrame:
         row = shape(mask) | hull_shape(mask)
         row["solidity"], row["convexity"] = ratio(row["area"], row["hull_area"]), ratio(row["perimeter"], row["hull_perimeter"])
         row["skeleton_area"] = float(thin(mask).sum())
+        line = max(outlines(mask), key=polygon_area)
+        centre = centroid(line)
+        row["centre_c"], row["centre_r"] = (None, None) if centre is None else (int(centre[0] + c.min()), int(centre[1] + r.min()))
+        corners = simplify(convex_hull(line), 0.02 * row["hull_perimeter"])
+        row["hull_corners"] = [{"r": int(y + r.min()), "c": int(x + c.min())} for x, y in corners]
         flag = "few points" if row["eccentricity"] == 0 else None
         return pd.DataFrame([{"img": frame["img"].iloc[0], "cell": frame["cell"].iloc[0], **row, "flag": flag}])
 
     types = ", ".join(f"{n} double" for n in names)
-    return pixels.groupBy("img", "cell").applyInPandas(one, f"img {kinds['img']}, cell {kinds['cell']}, {types}, flag string")
+    return pixels.groupBy("img", "cell").applyInPandas(one, f"img {kinds['img']}, cell {kinds['cell']}, {types}, centre_r long, centre_c long, hull_corners array<struct<r: long, c: long>>, flag string")
+
+
+def skeletons(pixels: DataFrame) -> DataFrame:
+    """(key, r, c): the thinned pixels of each cell of ``pixels`` (key, r, c)."""
+    kind = dict(pixels.dtypes)["key"]
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        r, c = frame["r"].to_numpy(), frame["c"].to_numpy()
+        mask = np.zeros((np.ptp(r) + 1, np.ptp(c) + 1), bool)
+        mask[r - r.min(), c - c.min()] = True
+        left_r, left_c = np.nonzero(thin(mask))
+        return pd.DataFrame({"key": [frame["key"].iloc[0]] * len(left_r), "r": left_r + r.min(), "c": left_c + c.min()})
+
+    return pixels.groupBy("key").applyInPandas(one, f"key {kind}, r long, c long")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somatrix.operators import clustering, measure, raster, stats
+from somatrix.operators import cells, clustering, measure, raster, stats
 from somatrix.plans.queries import points, rounded
-from somatrix.plans.views import SPARSE, foreground
+from somatrix.plans.views import DENSE, SPARSE, foreground
 from somatrix.tables import table
 
 
@@ -16,7 +16,14 @@ def measure_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = raster.label_components(foreground(spark, sf_dir, SPARSE), 8)
     boxes = raster.number_cells(raster.component_stats(labelled), least=3)
     cropped = labelled.join(boxes.select("img", "label", "cell"), ["img", "label"]).select("img", "cell", "r", "c")
-    found = measure.measure(cropped)
+    found = measure.measure(cropped).withColumn("hull_corners", F.size("hull_corners"))
+    return rounded(found, *[c for c, kind in found.dtypes if kind == "double"])
+
+
+def cell_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact row of each component of the raster with three pixels or more, with kernels and rings that suit its size."""
+    found = cells.cell_facts(foreground(spark, sf_dir, DENSE), 3, iterations=1, frame=0, spur=0, sizes=(2, 4, 8, 16), first=2, step=2)
+    found = found.withColumn("hull_corners", F.size("hull_corners"))
     return rounded(found, *[c for c, kind in found.dtypes if kind == "double"])
 
 
@@ -35,4 +42,4 @@ def umap_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clustering.umap_layout(points(spark, sf_dir), 10, 0.1, epochs=6), "umap_1", "umap_2")
 
 
-QUERIES = {f.__name__: f for f in (measure_cells, hdbscan_labels, hdbscan_report, umap_embed)}
+QUERIES = {f.__name__: f for f in (measure_cells, cell_facts, hdbscan_labels, hdbscan_report, umap_embed)}

@@ -96,6 +96,39 @@ def test_measure(spark):
     assert found[1]["area"] == 12 and found[1]["hull_area"] == 12 and found[1]["solidity"] == 1 and found[2]["flag"] == "few points"
 
 
+def test_outlines():
+    """A frame around a dot has one outline; a second object has its own, and the larger one gives the shape."""
+    mask = np.zeros((40, 60), bool)
+    mask[5:26, 5:26] = True
+    mask[8:23, 8:23] = False
+    mask[14:17, 14:17] = True
+    mask[30:33, 40:51] = True
+    assert sorted(measure.length(x) for x in measure.outlines(mask)) == [2 * (10 + 2), 4 * 20]
+    found = measure.shape(mask)
+    assert found["perimeter"] == 104 and found["aspect_ratio"] == 1 and found["area"] == mask.sum()
+
+
+def test_cell_facts(spark):
+    """A disc with four straight arms, a bar without a soma, and a dot that is no cell."""
+    from somatrix.operators import cells
+
+    star = {(r + 70, c + 80) for r in range(-60, 61) for c in range(-60, 61) if r * r + c * c <= 144 or min(abs(r), abs(c)) <= 1}
+    bar = {(r, c) for r in range(150, 155) for c in range(10, 90)}
+    pixels = [("a", *p) for p in star | bar | {(190, 5)}] + [("b", *p) for p in star]
+    out = {(r["img"], r["Cell"]): r.asDict() for r in cells.cell_facts(spark.createDataFrame(pixels, "img string, r long, c long"), least=100).collect()}
+    assert set(out) == {("a", 1), ("a", 2), ("b", 1)}
+    a, b, thin = out["a", 1], out["b", 1], out["a", 2]
+    assert a.pop("Fractal_dimension") == pytest.approx(b.pop("Fractal_dimension")) and -2 < thin.pop("Fractal_dimension") < 0
+    assert {k: v for k, v in a.items() if k != "img"} == {k: v for k, v in b.items() if k != "img"}
+    assert a["cell_positions"] == "(20, 10, 141, 131)" and a["Cell_area"] == len(star) and a["Cell_aspect_ratio"] == 1
+    assert (a["End_Points"], a["Initial_Points"], a["Junctions"]) == (4, 4, 0) and a["ratio_branches"] == 1
+    assert a["Soma_area"] > 400 and abs(a["Soma_aspect_ratio"] - 1) < 0.1 and (a["centre_r"], a["centre_c"]) == (60, 60)
+    assert 84 <= a["Sholl_max_distance"] <= 87 and a["Sholl_circles"] == 6 and a["Sholl_crossing_processes"] in (12, 16)
+    assert len(a["hull_corners"]) == 8 or len(a["hull_corners"]) == 4
+    assert thin["Soma_area"] == 0 and thin["Sholl_circles"] is None and thin["Cell_area"] == 400 and thin["Convex_Hull_area"] == 400
+    assert len(a) == 3 + 33 + 3
+
+
 def test_neighbour_classes(spark):
     plus = {(10, c) for c in range(21)} | {(r, 10) for r in range(21)}
     kinds = {r["kind"]: r["count"] for r in raster.neighbour_class(table(spark, plus)).groupBy("kind").count().collect()}
