@@ -160,14 +160,15 @@ def curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
     return best[1], best[2]
 
 
-def umap_layout(points: DataFrame, n_neighbors: int, min_dist: float, seed: int = 24, epochs: int = 50, negatives: int = 5) -> DataFrame:
+def umap_layout(points: DataFrame, n_neighbors: int, min_dist: float, seed: int = 24, epochs: int = 50, negatives: int = 5, near: DataFrame | None = None) -> DataFrame:
     """(id, umap_1, umap_2): a layout of the fuzzy graph of ``points`` (id, vec).
 
     The graph is relational. Each epoch moves all points at once: attraction along edges by joins and sums, repulsion
     from ``negatives`` points that a hash of (id, epoch) draws. Unlike a sequential descent this spreads over tasks, and
-    the same seed gives the same layout; coordinates differ from those of other implementations."""
+    the same seed gives the same layout; coordinates differ from those of other implementations. ``near`` gives the
+    neighbours where ``n_neighbors`` or more are known already."""
     a, b = curve(min_dist)
-    near = materialise(knn(points, n_neighbors), "neighbours")
+    near = materialise(knn(points, n_neighbors), "neighbours") if near is None else near.filter(F.col("rank") <= n_neighbors)
     graph = fuzzy_union(memberships(near, n_neighbors))
     both = materialise(graph.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(graph.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w")), "graph")
     ids = points.select("id")
@@ -200,6 +201,28 @@ def umap_layout(points: DataFrame, n_neighbors: int, min_dist: float, seed: int
     return place.select("id", F.col("x").alias("umap_1"), F.col("y").alias("umap_2"))
 
 
+def umap_grid(points: DataFrame, neighbours: tuple[int, ...] = (10, 15, 20, 30, 50), distances: tuple[float, ...] = (0.01, 0.05, 0.1), **options) -> DataFrame:
+    """(id, umap_1, umap_2, n_neighbors, min_dist): a layout for each combination, over one table of neighbours."""
+    near = materialise(knn(points, max(neighbours)), "neighbours")
+    found = None
+    for k, distance in grid(neighbours, distances):
+        one = umap_layout(points, k, distance, near=near, **options).withColumns({"n_neighbors": F.lit(k), "min_dist": F.lit(distance)})
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def umap_hdbscan_grid(points: DataFrame, neighbours: tuple[int, ...], distances: tuple[float, ...], sizes: tuple[int, ...], samples: tuple[int, ...], **options) -> DataFrame:
+    """(id, cluster, n_neighbors, min_dist, min_cluster_size, min_samples): each layout of a grid, made once, clustered with
+    each combination of the other two."""
+    laid = materialise(umap_grid(points, neighbours, distances, **options), "layouts")
+    found = None
+    for k, distance in grid(neighbours, distances):
+        flat = laid.filter((F.col("n_neighbors") == k) & (F.col("min_dist") == distance)).select("id", F.array("umap_1", "umap_2").alias("vec"))
+        one = hdbscan_grid(flat, sizes, samples).withColumns({"n_neighbors": F.lit(k), "min_dist": F.lit(distance)})
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def grid(*lists: tuple) -> list[tuple]:
     """All combinations of parameter values, the last one changing fastest."""
     out: list[tuple] = [()]
