@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from somatrix.llm.common import by_bytes, small
 from somatrix.tables import table
@@ -273,6 +274,19 @@ def _encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_c
     return slim.mapInArrow(run, ", ".join(f"{n} {types.get(n, 'string')}" for n in names))
 
 
+def with_counts(df: DataFrame, ranks_path: str, pattern: str, text_col: str, name: str = "n_tokens") -> DataFrame:
+    """``df`` with the number of tokens of one of its columns, which may hold nulls (no tokens). Edge cases as in ``encode``."""
+    shared = _share(df, ranks_path, pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(shared)
+        for batch in small(batches, text_col):
+            counts = [len(model.encode(x or "")) // 4 for x in batch.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, StructType([*df.schema, StructField(name, LongType())]))
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row of ``docs``: its id, ``n_tokens``, ``ids``, and SHA-256 of the ids and of the bytes they decode to.
     Edge cases as in ``encode``."""

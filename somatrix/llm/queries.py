@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from somatrix.llm import bpe, decontaminate, exact_dedup, language_id, pii, quality, sharding, simhash, substring_dedup, toxicity
+from somatrix.llm import bpe, chat_format, decontaminate, exact_dedup, filter_audit, language_id, merkle, pii, quality, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_language_id": language_id.op9_language_id,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_chat_formatting": chat_format.op11_chat_formatting,
+    "op12_filter_interaction_audit": filter_audit.op12_filter_interaction_audit,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op6_benchmark_decontamination": decontaminate.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op12_filter_interaction_audit": filter_audit.OP12_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }
