@@ -9,6 +9,8 @@ for similar sets of m and n these are (m + n) / 9 at most. What passes is compar
 
 A list of one shingle's documents isn't compared pair by pair. In each round a few of its documents, drawn by a hash, are
 compared with all others of it that aren't joined to them yet; only pairs that such rounds leave apart are compared each.
+Where a list has more of them than its documents have shingles left in their prefixes, it is split by a second shingle
+first, and by a third: sets of that similarity also share two of their first n - ceil(s n) + 2, and so on.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ ORDER_DOCUMENTS, COMMON, MOST_COMMON = 50_000, 3, 200_000
 #: Documents of a list that a round compares with the others, and how many pairs may be left apart, for each row of the
 #: lists, when all of them are compared.
 HUBS, APART = 2, 8
+#: Shingles by which a list of documents left apart is split at most.
+SHARED = 3
 #: 64-bit numbers of a sketch.
 SKETCH = 16
 MIX = np.random.default_rng(5).integers(0, 2**63, WIDTH + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,8 +57,28 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(mixed ^ (mixed >> np.uint64(32)))
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(id_col, text_col)
+def row_key(*parts) -> Column:
+    return F.xxhash64(*parts)
+
+
+def with_keys(docs: DataFrame, mark: str, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """``docs`` with a 64-bit key in ``mark``, equal for rows of equal id and text alone; and whether any key repeats.
+
+    Where rows of one key differ, by SHA-256 of their text or by id, they get other keys, until none do.
+    """
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    whole = F.concat_ws(" ", F.col(id_col).isNull().cast("string"), F.col(id_col).cast("string"), F.col(text_col).isNull().cast("string"), digest)
+    keyed, turn = docs.withColumn(mark, row_key(id_col, text_col)), 0
+    while True:
+        seen = keyed.groupBy(mark).agg(F.count("*").alias("times"), F.min(whole).alias("one"), F.max(whole).alias("other")).filter("times > 1")
+        seen = materialise(seen.select(mark, (F.col("one") != F.col("other")).alias("clash")), "near_keys")
+        clashes = seen.filter("clash")
+        if clashes.isEmpty():
+            return keyed, not seen.isEmpty()
+        turn += 1
+        joined = keyed.join(clashes, mark, "left")
+        other = F.when(F.col("clash"), row_key(F.col(mark), F.lit(turn), whole)).otherwise(F.col(mark))
+        keyed = joined.withColumn(mark, other).select(*docs.columns, mark)
 
 
 def shingle_sets(slim: DataFrame) -> DataFrame:
@@ -98,22 +122,24 @@ def _common(slim: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return names[order], rows["n"].to_numpy(np.int64)[order]
 
 
-def prefixes(slim: DataFrame) -> DataFrame:
-    """(s, key, n, at): the shingles of each document's prefix, with the set's size and their places in the order."""
-    shared = slim.sparkSession.sparkContext.broadcast(_common(slim))
+def _prefix(text: str | None, order: tuple[np.ndarray, np.ndarray], shared: int) -> tuple[np.ndarray, int]:
+    """Of a text's shingles in their order those among which similar sets share ``shared``, and how many there are."""
+    names, counts = order
+    s = shingle_set(text)
+    rank = np.zeros(len(s), np.int64)
+    if len(names):
+        place = np.minimum(np.searchsorted(names, s), len(names) - 1)
+        rank = np.where(names[place] == s, counts[place], 0)
+    return s[np.argsort(rank, kind="stable")][: len(s) + shared + -OVER * len(s) // UNDER], len(s)
+
+
+def prefixes(slim: DataFrame, order) -> DataFrame:
+    """(s, key, n, at): the shingles of each document's prefix, with the set's size and their places in the order, which
+    is a broadcast of what ``_common`` gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts = shared.value
         for batch in small(batches):
-            found, sizes = [], []
-            for text in batch.column("text"):
-                s = shingle_set(text.as_py())
-                rank = np.zeros(len(s), np.int64)
-                if len(names):
-                    place = np.minimum(np.searchsorted(names, s), len(names) - 1)
-                    rank = np.where(names[place] == s, counts[place], 0)
-                found.append(s[np.argsort(rank, kind="stable")][: len(s) + 1 + -OVER * len(s) // UNDER])
-                sizes.append(len(s))
+            found, sizes = map(list, zip(*(_prefix(text.as_py(), order.value, 1) for text in batch.column("text")), strict=True))
             lengths = [len(x) for x in found]
             columns = [
                 np.concatenate(found).view(np.int64),
@@ -126,10 +152,41 @@ def prefixes(slim: DataFrame) -> DataFrame:
     return slim.select("key", "text").mapInArrow(run, "s long, key long, n long, at long")
 
 
-def prefix_lists(slim: DataFrame) -> DataFrame:
+def shared_order(slim: DataFrame):
+    """The order of shingles for all tasks."""
+    return slim.sparkSession.sparkContext.broadcast(_common(slim))
+
+
+def prefix_lists(slim: DataFrame, order) -> DataFrame:
     """The rows of ``prefixes`` whose shingle two or more rows have."""
+    return materialise(_met(prefixes(slim, order)), "near_lists")
+
+
+def _met(lists: DataFrame) -> DataFrame:
     times = F.count("*").over(Window.partitionBy("s"))
-    return materialise(prefixes(slim).withColumn("times", times).filter("times > 1").drop("times"), "near_lists")
+    return lists.withColumn("times", times).filter("times > 1").drop("times")
+
+
+def _split(lists: DataFrame, texts: DataFrame, order, shared: int) -> DataFrame:
+    """``lists`` (s, key, n, at, root), whose documents share ``shared - 1`` shingles, split by each further one: rows of
+    the same columns, s named after all the shingles shared, at the place of the last."""
+    mine = lists.groupBy("key", "n", "root").agg(F.collect_list(F.struct("s", "at")).alias("places"))
+    mine = mine.join(texts, "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            for key, n, root, places, text in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "root", "places", "text")), strict=True):
+                prefix, _ = _prefix(text, order.value, shared)
+                for place in places:
+                    further = prefix[place["at"] + 1 :]
+                    if len(further):
+                        named = (further ^ np.uint64(place["s"] & (2**64 - 1))) * MIX[0]
+                        named = (named ^ (named >> np.uint64(31))) * MIX[1] + further
+                        k = len(further)
+                        columns = [named.view(np.int64), np.full(k, key), np.full(k, n), place["at"] + 1 + np.arange(k), np.full(k, root)]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["s", "key", "n", "at", "root"])
+
+    return _met(mine.select("key", "n", "root", "places", "text").mapInArrow(run, "s long, key long, n long, at long, root long"))
 
 
 def _sketches_allow(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
@@ -171,9 +228,9 @@ def similar(pairs: DataFrame, texts: DataFrame, sketched: DataFrame) -> DataFram
     return links
 
 
-def _could_be_similar() -> Column:
-    """What two sets can share from here on, were this shingle the first that they share, has to suffice."""
-    left = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2"))
+def _could_be_similar(shared: int = 1) -> Column:
+    """What two sets can share, were these the first that they share, has to suffice."""
+    left = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) + (shared - 1)
     return (OVER + UNDER) * left >= OVER * (F.col("n") + F.col("n_2"))
 
 
@@ -190,13 +247,38 @@ def _hub_pairs(rooted: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("key", "key_2").alias("a"), F.greatest("key", "key_2").alias("b"))
 
 
-def _pairs_apart(rooted: DataFrame) -> DataFrame:
+def _pairs_apart(rooted: DataFrame, shared: int) -> DataFrame:
     other = rooted.select("s", *(F.col(c).alias(f"{c}_2") for c in ("key", "n", "at", "root")))
-    met = rooted.join(other, "s").filter("key < key_2 and root <> root_2").filter(_could_be_similar())
+    met = rooted.join(other, "s").filter("key < key_2 and root <> root_2").filter(_could_be_similar(shared))
     return met.select(F.col("key").alias("a"), F.col("key_2").alias("b"))
 
 
-def similar_groups(lists: DataFrame, texts: DataFrame, candidates: DataFrame) -> DataFrame:
+def _apart(rooted: DataFrame) -> DataFrame:
+    """(s, apart, splits): for each list the pairs of documents that nothing joins yet, and the rows that splitting it by a
+    further shingle would make."""
+    each = rooted.groupBy("s", "root").agg(F.count("*").alias("k"), F.sum(F.floor(F.col("n") * (UNDER - OVER) / UNDER) + SHARED).alias("rows"))
+    k = F.col("k").cast("double")
+    return each.groupBy("s").agg(((F.sum(k) * F.sum(k) - F.sum(k * k)) / 2).alias("apart"), F.sum("rows").alias("splits"))
+
+
+def pairs_left(rooted: DataFrame, texts: DataFrame, order) -> DataFrame:
+    """(a, b): pairs of documents of one list (s, key, n, at, root) that nothing joins yet, all that can be similar.
+
+    A list with more such pairs than splitting it by a further shingle makes rows is split, up to ``SHARED`` times."""
+    found = None
+    for shared in range(1, SHARED + 1):
+        counts = materialise(_apart(rooted).filter("apart > 0"), "near_apart")
+        many = counts.filter(F.col("apart") > F.col("splits")).select("s") if shared < SHARED else counts.filter("false").select("s")
+        few = counts.join(many, "s", "left_anti").select("s")
+        pairs = _pairs_apart(rooted.join(few, "s", "left_semi"), shared)
+        found = pairs if found is None else found.unionByName(pairs)
+        if many.isEmpty():
+            break
+        rooted = materialise(_split(rooted.join(many, "s", "left_semi"), texts, order, shared + 1), "near_split")
+    return found
+
+
+def similar_groups(lists: DataFrame, texts: DataFrame, candidates: DataFrame, order) -> DataFrame:
     """(node, root): the groups that links of similarity 0.8 or more join, among all pairs. ``candidates`` (a, b) are
     compared in the first round."""
     links, roots, turn = None, None, 0
@@ -205,8 +287,7 @@ def similar_groups(lists: DataFrame, texts: DataFrame, candidates: DataFrame) ->
     while True:
         rooted = lists.withColumn("root", F.col("key")) if roots is None else materialise(_rooted(lists, roots), "near_rooted")
         if roots is not None:
-            each = rooted.groupBy("s", "root").agg(F.count("*").alias("k")).groupBy("s").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("twice"))
-            apart = (each.agg(F.sum(F.col("twice").cast("double"))).first()[0] or 0.0) / 2
+            apart = _apart(rooted).agg(F.sum("apart")).first()[0] or 0.0
             if apart <= APART * n_rows or fresh == 0:
                 break
         pairs = _hub_pairs(rooted, turn)
@@ -217,4 +298,4 @@ def similar_groups(lists: DataFrame, texts: DataFrame, candidates: DataFrame) ->
         if turn:
             release(rooted)
         turn += 1
-    return components(links.unionByName(similar(_pairs_apart(rooted), texts, sketched))) if apart else roots
+    return components(links.unionByName(similar(pairs_left(rooted, texts, order), texts, sketched))) if apart else roots

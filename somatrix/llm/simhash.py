@@ -206,19 +206,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     other texts are different documents, of which each group keeps its own. An empty table gives no rows; further columns
     may have any names.
     """
-    slim = docs.select(near_text.row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    mark = free_names(docs, "near_key")[0]
+    keyed, repeated = near_text.with_keys(docs, mark, id_col, text_col)
+    slim = keyed.select(F.col(mark).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = slim.select("key", "text")
-    repeated = not slim.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").isEmpty()
     if repeated:
         texts = materialise(texts.dropDuplicates(["key"]), "near_texts")
-    lists = near_text.prefix_lists(texts)
-    roots = near_text.similar_groups(lists, texts, _candidates(texts))
+    order = near_text.shared_order(texts)
+    lists = near_text.prefix_lists(texts, order)
+    roots = near_text.similar_groups(lists, texts, _candidates(texts), order)
     release(lists)
     named = materialise(slim.select("key", "id").join(roots, slim["key"] == roots["node"]).select("root", "key", "id"), "near_named")
     kept = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("kept"))
-    mark = free_names(docs, "near_key")[0]
     gone = materialise(named.join(kept, "root").filter("key <> kept").select(F.col("key").alias(mark)).distinct(), "near_gone")
-    left = docs.withColumn(mark, near_text.row_key(id_col, text_col)).join(gone, mark, "left_anti")
+    left = keyed.join(gone, mark, "left_anti")
     return (left.dropDuplicates([mark]) if repeated else left).select(*docs.columns)
 
 

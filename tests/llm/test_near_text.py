@@ -2,7 +2,9 @@
 
 import random
 
-from somatrix.llm import simhash
+from pyspark.sql import functions as F
+
+from somatrix.llm import near_text, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -63,3 +65,38 @@ def test_pipeline_drops_edited_copies(spark, sf_dir):
     near = spark.createDataFrame([(10**9 + i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r["doc_id"] for r in c.drop_near_copies(spark, docs.unionByName(near), sf_dir).collect()}
     assert {10**9, 10**9 + 2, 10**9 + 3} <= kept and 10**9 + 1 not in kept
+
+
+def test_documents_of_one_key_are_told_apart(spark, monkeypatch):
+    """Keys that meet by chance lose no row."""
+    monkeypatch.setattr(near_text, "row_key", lambda *parts: F.xxhash64(*parts) if len(parts) > 2 else F.pmod(F.xxhash64(*parts), F.lit(5)))
+    table = [(i, f"text {i} of its own words a{i} b{i} c{i}") for i in range(30)] + [(3, "text 3 of its own words a3 b3 c3"), (None, "x"), (0, "x"), (None, None), (40, "")]
+    keyed, repeated = near_text.with_keys(spark.createDataFrame(table, SCHEMA), "k", "doc_id", "text")
+    keys = {(r["doc_id"], r["text"]): r["k"] for r in keyed.collect()}
+    assert repeated and len(set(keys.values())) == len(keys) == 34
+    assert simhash.near_dedup(spark.createDataFrame(table, SCHEMA)).count() == 32
+
+
+def test_lists_of_unlike_documents_are_split(spark, monkeypatch):
+    """Many documents share a passage and nothing else; the pairs to compare stay far below all pairs, and none is lost."""
+    monkeypatch.setattr(near_text, "COMMON", 10**9)  # so that the passage isn't put last
+    monkeypatch.setattr(near_text, "APART", 0)
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(12))
+    table = []
+    for i in range(150):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        table.append((len(table), f"{' '.join(own)} {passage}"))
+        if i % 10 == 0:
+            table.append((len(table), f"{' '.join(edited(rng, own, 1))} {passage}"))
+    docs = spark.createDataFrame(table, SCHEMA)
+    texts = docs.select(F.col("doc_id").alias("key"), "text")
+    order = near_text.shared_order(texts)
+    lists = near_text.prefix_lists(texts, order).withColumn("root", F.col("key"))
+    pairs = {(r["a"], r["b"]) for r in near_text.pairs_left(lists, texts, order).collect()}
+    alike = {(i, i + 1) for i in range(len(table) - 1) if table[i][1].split()[2:30:9] == table[i + 1][1].split()[2:30:9]}
+    longest = lists.groupBy("s").count().agg(F.max("count")).first()[0]
+    assert longest > 25 and len(pairs) < longest * (longest - 1) / 2
+    want = brute_kept(table)
+    assert {(i, i + 1) for i in range(len(table)) if i in want and i + 1 < len(table) and i + 1 not in want} <= pairs and len(alike) >= 10
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(docs).collect()) == want
