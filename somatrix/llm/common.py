@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+#: A group of more than one row in so many is large; fewer groups than this are.
+COMMON = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: Column) -> DataFrame:
+    """``rows`` with the columns of their group: a left join with ``groups`` by the text ``key`` that no large group
+    burdens a task with. ``size`` counts a group's rows, ``total`` all rows.
+
+    The large groups, fewer than ``COMMON``, are broadcast; their rows then go by ``spread``, a text that is no key.
+    """
+    rest = [c for c in groups.columns if c != key]
+    large = groups.filter(F.col(size) > total // COMMON).select(key, F.struct(*rest).alias("large_group"))
+    small = groups.filter(F.col(size) <= total // COMMON).select(F.col(key).alias("small_key"), F.struct(*rest).alias("small_group"))
+    met = rows.join(F.broadcast(large), key, "left")
+    met = met.withColumn("small_key", F.when(F.col("large_group").isNull(), F.col(key)).otherwise(spread)).join(small, "small_key", "left")
+    return met.select(*rows.columns, F.coalesce("large_group", "small_group").alias("group")).select(*rows.columns, *[f"group.{c}" for c in rest])
+
+
 def by_bytes(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` with about ``most`` bytes each, so that memory doesn't follow a batch's longest texts."""
     start = size = 0

@@ -3,7 +3,7 @@
 Terms are counted over the whole corpus first. A benchmark window with a term that no document has can't match; of each
 other window, the rarest terms are indexed: postings (term, document, position). A window's posting lists are
 intersected from the rarest on, each shifted by the term's offset in the item, so that a match is one equal (document,
-diagonal); what survives all lists is compared word by word. A common term's list is dealt over ``SALTS`` tasks.
+diagonal); what survives all lists is compared word by word. A long list is dealt in parts of ``PART`` postings.
 """
 
 from __future__ import annotations
@@ -16,10 +16,8 @@ from somatrix.tables import free_names, materialise, table
 
 #: Everything below U+0080 but digits and a-z; A-Z is lower-cased before.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Parts that the list of a window's rarest term is dealt in, by document.
-SALTS = 16
-#: The index's entry for a document's end, whose position is the number of its words. No word is empty.
-END = ""
+#: Postings, about, of each of the parts that a term's list is dealt in, by document.
+PART = 100_000
 
 
 def words(text: Column) -> Column:
@@ -41,47 +39,52 @@ def window_terms(wins: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n): how often each of ``terms`` (one column, ``term``) is in all of ``docs``, where it is."""
-    vocabulary = materialise(terms.distinct(), "vocabulary")  # written, so that its size is known before the join
-    each = docs.select(F.explode(words(F.col(text_col))).alias("term")).join(vocabulary, "term", "left_semi")
-    return materialise(each.groupBy("term").agg(F.count("*").alias("n")), "term_counts")
+    """(term, n): how often each of ``terms`` (one column, ``term``) is in all of ``docs``, where it is.
+
+    Words are counted inside tasks first, so that what is shuffled are a task's distinct words."""
+    each = docs.select(F.explode(words(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return materialise(each.join(terms.distinct(), "term", "left_semi"), "term_counts")
+
+
+def row_mark(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (term, id, mark, pos) of the words in ``terms`` (one column, ``term``), and of each row's END.
+    """Postings (term, id, mark, pos, parts) of the words in ``terms`` (term, n); a list of n is to be dealt in ``parts``.
 
     id and mark, a hash of the text, tell rows apart that repeat an id.
     """
-    entries = materialise(terms.select("term").union(docs.sparkSession.createDataFrame([(END,)], "term string")).distinct(), "index_terms")
-    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), words(F.col(text_col)).alias("ws"))
-    each = read.select("id", "mark", F.posexplode(F.concat("ws", F.array(F.lit(END)))).alias("pos", "term"))
-    return materialise(each.join(entries, "term").select("term", "id", "mark", "pos"), "postings")
+    entries = materialise(terms.select("term", F.ceil(F.col("n") / PART).cast("int").alias("parts")).distinct(), "index_terms")
+    read = docs.select(F.col(id_col).alias("id"), row_mark(text_col).alias("mark"), words(F.col(text_col)).alias("ws"))
+    each = read.select("id", "mark", F.posexplode("ws").alias("pos", "term"))
+    return materialise(each.join(entries, "term").select("term", "id", "mark", "pos", "parts"), "postings")
 
 
 def _listed(postings: DataFrame, plans: DataFrame) -> DataFrame:
     """Where each plan's rarest term is: (plan columns, id, mark, diagonal), a window of the item beginning ``diagonal``
     words after the document, less the window's place in the item."""
-    dealt = postings.withColumn("salt", F.pmod(F.xxhash64("id", "mark"), F.lit(SALTS)).cast("int")).withColumnRenamed("term", "term1")
-    copied = plans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(copied, ["term1", "salt"]).drop("salt").withColumn("diagonal", F.col("pos") - F.col("offset1")).drop("pos")
+    dealt = postings.withColumn("part", F.pmod(F.xxhash64("id", "mark"), F.col("parts").cast("long"))).withColumnRenamed("term", "term1")
+    copied = plans.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n1") / PART) - 1))).drop("n1")
+    return dealt.join(copied, ["term1", "part"]).drop("part", "parts").withColumn("diagonal", F.col("pos") - F.col("offset1")).drop("pos")
 
 
-def phrase_matches(docs: DataFrame, wins: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: int = 3) -> tuple[DataFrame, DataFrame]:
-    """The rows' lengths (id, mark, n_words), and their exact matches (id, mark, hits), hits an array of structs
-    (start, item, n) for windows of n words that begin at word ``start``. ``terms`` lists are intersected for a window."""
+def phrase_matches(docs: DataFrame, wins: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: int = 3) -> DataFrame:
+    """Exact matches (id, mark, hits), one row for each text of an id that has any; hits is an array of structs (start, item,
+    n) for windows of n words that begin at word ``start``. ``terms`` lists are intersected for a window."""
     wins = materialise(wins, "windows")
     chosen = materialise(window_terms(wins), "window_terms")
     counts = term_counts(docs, chosen.select("term"), text_col)
     here = Window.partitionBy("item", "at", "win")
     known = chosen.join(counts, "term", "left").withColumn("absent", F.max(F.col("n").isNull()).over(here)).filter("not absent")
     ranked = known.withColumn("rank", F.row_number().over(here.orderBy("n", "term"))).filter(F.col("rank") <= terms)
-    named = [F.max(F.when(F.col("rank") == k, F.col(c))).alias(f"{c}{k}") for k in range(1, terms + 1) for c in ("term", "offset")]
+    named = [F.max(F.when(F.col("rank") == k, F.col(c))).alias(f"{c}{k}") for k in range(1, terms + 1) for c in ("term", "offset", "n")]
     plans = materialise(ranked.groupBy("item", "at", "win").agg(*named), "window_plans")
-    index = build_index(docs, plans.select(F.explode(F.array_compact(F.array(*[f"term{k}" for k in range(1, terms + 1)]))).alias("term")), id_col, text_col)
-    postings = index.filter(F.col("term") != END)
+    used = F.array(*[F.struct(F.col(f"term{k}").alias("term"), F.col(f"n{k}").alias("n")) for k in range(1, terms + 1)])
+    postings = build_index(docs, plans.select(F.inline(used)).filter("term is not null"), id_col, text_col)
 
     lists = [c for k in range(1, terms + 1) for c in (f"term{k}", f"offset{k}")]
-    met = _listed(postings, plans.select("item", *lists).distinct())
+    met = _listed(postings, plans.select("item", *lists, "n1").distinct())
     for k in range(2, terms + 1):
         other = postings.select(F.col("term").alias("p_term"), F.col("id").alias("p_id"), F.col("mark").alias("p_mark"), F.col("pos").alias("p_pos"))
         same = (met[f"term{k}"] == other["p_term"]) & (met["mark"] == other["p_mark"]) & (met["diagonal"] + met[f"offset{k}"] == other["p_pos"]) & met["id"].eqNullSafe(other["p_id"])
@@ -100,8 +103,7 @@ def phrase_matches(docs: DataFrame, wins: DataFrame, id_col: str = "doc_id", tex
     read = text.join(found, here).select("id", "mark", words(F.col("text")).alias("ws"), "places")
     hits = F.filter("places", lambda x: F.slice(F.col("ws"), x["start"] + 1, F.size(x["win"])) == x["win"])
     hits = F.transform(hits, lambda x: F.struct(x["start"].alias("start"), x["item"].alias("item"), F.size(x["win"]).alias("n")))
-    matches = read.select("id", "mark", hits.alias("hits")).filter(F.size("hits") > 0).dropDuplicates(["id", "mark"])
-    return index.filter(F.col("term") == END).select("id", "mark", F.col("pos").alias("n_words")), matches
+    return read.select("id", "mark", hits.alias("hits")).filter(F.size("hits") > 0).dropDuplicates(["id", "mark"])
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, span: int, terms: int = 3, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,7 +122,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, span: int, terms: i
     here = Window.partitionBy("item")
     known = chosen.join(counts, "term", "left").withColumn("absent", F.max(F.col("n").isNull()).over(here)).filter("not absent")
     ranked = materialise(known.withColumn("rank", F.row_number().over(here.orderBy("n", "term"))).filter(F.col("rank") <= terms), "item_ranks")
-    postings = build_index(docs, ranked.select("term"), id_col, text_col)
+    postings = build_index(docs, ranked.select("term", "n"), id_col, text_col)
     cell = F.floor(F.col("pos") / span)
     anchors = postings.join(ranked.filter("rank = 1").select("item", "term"), "term").select("item", "id", "mark", F.col("pos").alias("a_pos"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     rest = postings.join(ranked.select("item", "term", "rank"), "term").select("item", "id", "mark", "rank", "pos", cell.alias("cell"))
@@ -141,7 +143,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     benchmark items no hits. Very long texts are indexed whole. Repeated rows each get their row; ids may be null or repeat with other texts; further
     columns are ignored, whatever their names.
     """
-    lengths, matches = phrase_matches(docs, windows(benchmark, width), id_col, text_col)
+    matches = phrase_matches(docs, windows(benchmark, width), id_col, text_col)
+    lengths = docs.select(F.col(id_col).alias("id"), row_mark(text_col).alias("mark"), F.size(words(F.col(text_col))).alias("n_words"))
     hit = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["n"] - 1)))
     items = F.array_sort(F.array_compact(F.array_distinct(F.transform("hits", lambda h: h["item"]))))
     found = matches.select(F.col("id").alias("m_id"), F.col("mark").alias("m_mark"), F.size(F.array_distinct(hit)).alias("hit"), items.alias("items"))
@@ -161,7 +164,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark window; all columns stay as they are. Edge cases as in
     ``contamination``."""
-    _, matches = phrase_matches(docs, windows(benchmark, width), id_col, text_col)
+    matches = phrase_matches(docs, windows(benchmark, width), id_col, text_col)
     hit_id, hit_mark = free_names(docs, "hit_id", "hit_mark")
     found = matches.select(F.col("id").alias(hit_id), F.col("mark").alias(hit_mark))
     mark = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))

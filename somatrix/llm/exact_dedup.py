@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somatrix.llm.common import ascii_lower
+from somatrix.llm.common import ascii_lower, join_groups
 from somatrix.tables import free_names, materialise, table
 
 
@@ -28,7 +28,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Equal texts are first combined inside each task, then by (digest, salt), then the salt winners by digest.
     Each of these groupings has the whole text as a key besides its digest, so content is compared, not trusted to a
     hash, and a group's rows spread over ``salts`` tasks whatever its size. Once every digest is known to stand for
-    one content, rows find their group by digest; digests that stand for several are joined by content too.
+    one content, rows find their group by digest, those of large groups through a broadcast of these groups, fewer than a
+    thousand; digests that stand for several contents are joined by content too.
 
     Null text counts as empty. A null id never stays unless its whole group has null ids. Repeated rows (same id and
     text) each get their row; ``kept`` is true for all that carry the kept id. An empty table gives no rows. Further
@@ -42,7 +43,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     shared = slim.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
     if shared.isEmpty():
-        joined = rows.drop("content").join(slim.drop("mark", "chars"), "digest", "left")
+        total = slim.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+        own = F.concat(F.lit("-"), F.xxhash64("id").cast("string"))
+        joined = join_groups(rows.drop("content"), slim.drop("mark", "chars"), "digest", "group_size", total, own)
     else:  # one digest, several contents
         joined = rows.join(groups, ["digest", "content"], "left")
     return joined.select(
