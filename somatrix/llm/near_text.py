@@ -7,10 +7,10 @@ result. Candidates are compared by sketches first: a bit a class of hashes, set
 Each shingle that only one of two sets has changes one bit, so sketches differ in no more bits than there are such shingles;
 for similar sets of m and n these are (m + n) / 9 at most. What passes is compared by whole sets.
 
-A list of one shingle's documents isn't compared pair by pair. In each round a few of its documents, drawn by a hash, are
-compared with all others of it that aren't joined to them yet; only pairs that such rounds leave apart are compared each.
-Where a list has more of them than its documents have shingles left in their prefixes, it is split by a second shingle
-first, and by a third: sets of that similarity also share two of their first n - ceil(s n) + 2, and so on.
+A list of one shingle's documents isn't listed pair by pair. In each round a few of its documents, drawn by a hash, are
+compared with all others of it that aren't joined to them yet, as long as a round halves the pairs that are left apart.
+Of a list that keeps many of them, the sketches are then compared in blocks of documents against blocks, inside tasks,
+which give the pairs that sketches allow and no others.
 """
 
 from __future__ import annotations
@@ -32,11 +32,9 @@ WIDTH = 5
 OVER, UNDER = 4, 5
 #: Documents, about, whose shingles are counted for the order; how many make one common; and the most that are remembered.
 ORDER_DOCUMENTS, COMMON, MOST_COMMON = 50_000, 3, 200_000
-#: Documents of a list that a round compares with the others, and how many pairs may be left apart, for each row of the
-#: lists, when all of them are compared.
-HUBS, APART = 2, 8
-#: Shingles by which a list of documents left apart is split at most.
-SHARED = 3
+#: Documents of a list that a round compares with the others; how many pairs left apart, for each of its rows, a list may
+#: have that are listed; and documents of a block.
+HUBS, APART, BLOCK = 2, 8, 512
 #: 64-bit numbers of a sketch.
 SKETCH = 16
 MIX = np.random.default_rng(5).integers(0, 2**63, WIDTH + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,24 +120,22 @@ def _common(slim: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return names[order], rows["n"].to_numpy(np.int64)[order]
 
 
-def _prefix(text: str | None, order: tuple[np.ndarray, np.ndarray], shared: int) -> tuple[np.ndarray, int]:
-    """Of a text's shingles in their order those among which similar sets share ``shared``, and how many there are."""
-    names, counts = order
-    s = shingle_set(text)
-    rank = np.zeros(len(s), np.int64)
-    if len(names):
-        place = np.minimum(np.searchsorted(names, s), len(names) - 1)
-        rank = np.where(names[place] == s, counts[place], 0)
-    return s[np.argsort(rank, kind="stable")][: len(s) + shared + -OVER * len(s) // UNDER], len(s)
-
-
-def prefixes(slim: DataFrame, order) -> DataFrame:
-    """(s, key, n, at): the shingles of each document's prefix, with the set's size and their places in the order, which
-    is a broadcast of what ``_common`` gives."""
+def prefixes(slim: DataFrame) -> DataFrame:
+    """(s, key, n, at): the shingles of each document's prefix, with the set's size and their places in the order."""
+    shared = slim.sparkSession.sparkContext.broadcast(_common(slim))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = shared.value
         for batch in small(batches):
-            found, sizes = map(list, zip(*(_prefix(text.as_py(), order.value, 1) for text in batch.column("text")), strict=True))
+            found, sizes = [], []
+            for text in batch.column("text"):
+                s = shingle_set(text.as_py())
+                rank = np.zeros(len(s), np.int64)
+                if len(names):
+                    place = np.minimum(np.searchsorted(names, s), len(names) - 1)
+                    rank = np.where(names[place] == s, counts[place], 0)
+                found.append(s[np.argsort(rank, kind="stable")][: len(s) + 1 + -OVER * len(s) // UNDER])
+                sizes.append(len(s))
             lengths = [len(x) for x in found]
             columns = [
                 np.concatenate(found).view(np.int64),
@@ -152,41 +148,10 @@ def prefixes(slim: DataFrame, order) -> DataFrame:
     return slim.select("key", "text").mapInArrow(run, "s long, key long, n long, at long")
 
 
-def shared_order(slim: DataFrame):
-    """The order of shingles for all tasks."""
-    return slim.sparkSession.sparkContext.broadcast(_common(slim))
-
-
-def prefix_lists(slim: DataFrame, order) -> DataFrame:
+def prefix_lists(slim: DataFrame) -> DataFrame:
     """The rows of ``prefixes`` whose shingle two or more rows have."""
-    return materialise(_met(prefixes(slim, order)), "near_lists")
-
-
-def _met(lists: DataFrame) -> DataFrame:
     times = F.count("*").over(Window.partitionBy("s"))
-    return lists.withColumn("times", times).filter("times > 1").drop("times")
-
-
-def _split(lists: DataFrame, texts: DataFrame, order, shared: int) -> DataFrame:
-    """``lists`` (s, key, n, at, root), whose documents share ``shared - 1`` shingles, split by each further one: rows of
-    the same columns, s named after all the shingles shared, at the place of the last."""
-    mine = lists.groupBy("key", "n", "root").agg(F.collect_list(F.struct("s", "at")).alias("places"))
-    mine = mine.join(texts, "key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            for key, n, root, places, text in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "root", "places", "text")), strict=True):
-                prefix, _ = _prefix(text, order.value, shared)
-                for place in places:
-                    further = prefix[place["at"] + 1 :]
-                    if len(further):
-                        named = (further ^ np.uint64(place["s"] & (2**64 - 1))) * MIX[0]
-                        named = (named ^ (named >> np.uint64(31))) * MIX[1] + further
-                        k = len(further)
-                        columns = [named.view(np.int64), np.full(k, key), np.full(k, n), place["at"] + 1 + np.arange(k), np.full(k, root)]
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["s", "key", "n", "at", "root"])
-
-    return _met(mine.select("key", "n", "root", "places", "text").mapInArrow(run, "s long, key long, n long, at long, root long"))
+    return materialise(prefixes(slim).withColumn("times", times).filter("times > 1").drop("times"), "near_lists")
 
 
 def _sketches_allow(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
@@ -228,9 +193,9 @@ def similar(pairs: DataFrame, texts: DataFrame, sketched: DataFrame) -> DataFram
     return links
 
 
-def _could_be_similar(shared: int = 1) -> Column:
-    """What two sets can share, were these the first that they share, has to suffice."""
-    left = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) + (shared - 1)
+def _could_be_similar() -> Column:
+    """What two sets can share from here on, were this shingle the first that they share, has to suffice."""
+    left = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2"))
     return (OVER + UNDER) * left >= OVER * (F.col("n") + F.col("n_2"))
 
 
@@ -247,55 +212,72 @@ def _hub_pairs(rooted: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("key", "key_2").alias("a"), F.greatest("key", "key_2").alias("b"))
 
 
-def _pairs_apart(rooted: DataFrame, shared: int) -> DataFrame:
+def _pairs_apart(rooted: DataFrame) -> DataFrame:
     other = rooted.select("s", *(F.col(c).alias(f"{c}_2") for c in ("key", "n", "at", "root")))
-    met = rooted.join(other, "s").filter("key < key_2 and root <> root_2").filter(_could_be_similar(shared))
+    met = rooted.join(other, "s").filter("key < key_2 and root <> root_2").filter(_could_be_similar())
     return met.select(F.col("key").alias("a"), F.col("key_2").alias("b"))
 
 
 def _apart(rooted: DataFrame) -> DataFrame:
-    """(s, apart, splits): for each list the pairs of documents that nothing joins yet, and the rows that splitting it by a
-    further shingle would make."""
-    each = rooted.groupBy("s", "root").agg(F.count("*").alias("k"), F.sum(F.floor(F.col("n") * (UNDER - OVER) / UNDER) + SHARED).alias("rows"))
-    k = F.col("k").cast("double")
-    return each.groupBy("s").agg(((F.sum(k) * F.sum(k) - F.sum(k * k)) / 2).alias("apart"), F.sum("rows").alias("splits"))
-
-
-def pairs_left(rooted: DataFrame, texts: DataFrame, order) -> DataFrame:
+    """(s, apart, k): the pairs of a list's documents that nothing joins yet, and the list's rows."""
+    each = rooted.groupBy("s", "root").agg(F.count("*").alias("n"))
+    n = F.col("n").cast("double")
+    return each.groupBy("s").agg(((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).alias("apart"), F.sum("n").alias("k"))
+
+
+def _near_by_sketch(group: pa.Table) -> pa.Table:
+    """Pairs of a block's documents with another's, or with each other, that aren't joined and that sketches allow."""
+    key, n, root, block = (group[c].to_numpy() for c in ("key", "n", "root", "block"))
+    sketch = group["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(key), SKETCH)
+    one = np.flatnonzero(block == group["low"][0].as_py())
+    two = np.flatnonzero(block == group["high"][0].as_py())
+    a, b = [], []
+    for i in one:
+        differ = np.bitwise_count(sketch[two] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        may = (root[two] != root[i]) & (UNDER * np.minimum(n[two], n[i]) >= OVER * np.maximum(n[two], n[i]))
+        near = key[two][may & ((OVER + UNDER) * differ <= n[two] + n[i])]
+        a.append(np.minimum(near, key[i]))
+        b.append(np.maximum(near, key[i]))
+    a, b = np.concatenate(a), np.concatenate(b)
+    found = np.unique(np.stack([a, b]), axis=1)
+    return pa.table({"a": found[0], "b": found[1]})
+
+
+def pairs_left(rooted: DataFrame, sketched: DataFrame) -> DataFrame:
     """(a, b): pairs of documents of one list (s, key, n, at, root) that nothing joins yet, all that can be similar.
 
-    A list with more such pairs than splitting it by a further shingle makes rows is split, up to ``SHARED`` times."""
-    found = None
-    for shared in range(1, SHARED + 1):
-        counts = materialise(_apart(rooted).filter("apart > 0"), "near_apart")
-        many = counts.filter(F.col("apart") > F.col("splits")).select("s") if shared < SHARED else counts.filter("false").select("s")
-        few = counts.join(many, "s", "left_anti").select("s")
-        pairs = _pairs_apart(rooted.join(few, "s", "left_semi"), shared)
-        found = pairs if found is None else found.unionByName(pairs)
-        if many.isEmpty():
-            break
-        rooted = materialise(_split(rooted.join(many, "s", "left_semi"), texts, order, shared + 1), "near_split")
-    return found
+    Lists with few such pairs are joined with themselves. Of the others each document's sketch goes to as many tasks as
+    the list has blocks, to be compared there: the work is the square of a list's documents, the rows are so over
+    ``BLOCK``, and what comes out are near pairs.
+    """
+    counts = materialise(_apart(rooted).filter("apart > 0"), "near_apart")
+    few = counts.filter(F.col("apart") <= APART * F.col("k")).select("s")
+    many = counts.filter(F.col("apart") > APART * F.col("k")).select("s", F.ceil(F.col("k") / BLOCK).alias("blocks"))
+    large = rooted.select("s", "key", "root").join(many, "s").join(sketched, "key")
+    large = large.withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select("s", "key", "n", "root", "block", "sketch", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    near = large.groupBy("s", "low", "high").applyInArrow(_near_by_sketch, "a long, b long")
+    return _pairs_apart(rooted.join(few, "s", "left_semi")).unionByName(near)
 
 
-def similar_groups(lists: DataFrame, texts: DataFrame, candidates: DataFrame, order) -> DataFrame:
+def similar_groups(lists: DataFrame, texts: DataFrame, candidates: DataFrame) -> DataFrame:
     """(node, root): the groups that links of similarity 0.8 or more join, among all pairs. ``candidates`` (a, b) are
     compared in the first round."""
-    links, roots, turn = None, None, 0
     sketched = materialise(sketches(texts), "near_sketches")
-    n_rows = lists.count()
+    before, turn, rooted = None, 0, lists.withColumn("root", F.col("key"))
+    links = None
     while True:
-        rooted = lists.withColumn("root", F.col("key")) if roots is None else materialise(_rooted(lists, roots), "near_rooted")
-        if roots is not None:
-            apart = _apart(rooted).agg(F.sum("apart")).first()[0] or 0.0
-            if apart <= APART * n_rows or fresh == 0:
-                break
         pairs = _hub_pairs(rooted, turn)
         found = similar(pairs.unionByName(candidates) if turn == 0 else pairs, texts, sketched)
-        fresh = found.count()
         links = found if links is None else links.unionByName(found)
         roots = components(links)
         if turn:
             release(rooted)
-        turn += 1
-    return components(links.unionByName(similar(pairs_left(rooted, texts, order), texts, sketched))) if apart else roots
+        rooted = materialise(_rooted(lists, roots), "near_rooted")
+        apart = _apart(rooted).agg(F.sum("apart")).first()[0] or 0.0
+        if before is not None and 2 * apart > before or apart <= APART * lists.count():
+            break
+        before, turn = apart, turn + 1
+    if not apart:
+        return roots
+    return components(links.unionByName(similar(pairs_left(rooted, sketched), texts, sketched)))
