@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from somatrix.functions.shape import ratio
 from somatrix.functions.text import DIMENSIONS, category, cell_id, extension_rank
-from somatrix.tables import free_names
+from somatrix.tables import free_names, materialise
 
 #: Rows of a dimension table that are sent to every executor at most; larger ones are joined by shuffle.
 SMALL = 100_000
@@ -132,3 +132,15 @@ def transposed(df: DataFrame, key: str, values: list) -> DataFrame:
     features = [c for c in df.columns if c != key]
     long = df.select(key, *[F.col(f).cast("double").alias(f) for f in features]).unpivot([key], features, "feature", "value")
     return long.groupBy("feature").pivot(key, values).agg(F.first("value"))
+
+
+def numbered(df: DataFrame, by: str, place: str = "place") -> DataFrame:
+    """``df`` sorted by a column, null first, with each row's ``place``, from 1: rows are dealt by ranges of the column and
+    numbered inside their part, after the rows of the parts before. Equal values are in any order, in one part or several."""
+    part, before, tie = free_names(df, "part", "before", "tie")
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(F.col(by).asc_nulls_first(), F.col(tie))
+    dealt = materialise(dealt.withColumn(part, F.spark_partition_id()), "sorted")
+    counts = dealt.groupBy(part).agg(F.count("*").alias(before))  # a row for each part
+    starts = counts.select(part, F.coalesce(F.sum(before).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(F.col(by).asc_nulls_first(), tie))
+    return dealt.withColumn(place, inside).join(starts, part).withColumn(place, F.col(place) + F.col(before)).drop(part, before, tie)

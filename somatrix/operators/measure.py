@@ -178,19 +178,19 @@ def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:
     return points[keep[:-1]]
 
 
-def filled_area(hull: np.ndarray) -> int:
-    """Whole pixels inside a convex polygon or on its border."""
-    if len(hull) < 3:
-        return 0 if not len(hull) else int(np.abs(hull[-1] - hull[0]).max()) + 1
-    total = 0
-    for y in range(int(hull[:, 1].min()), int(hull[:, 1].max()) + 1):
-        low, high = math.inf, -math.inf
-        for (x1, y1), (x2, y2) in zip(hull, np.roll(hull, -1, axis=0), strict=True):
-            if min(y1, y2) <= y <= max(y1, y2):
-                ends = (x1, x2) if y1 == y2 else (x1 + (x2 - x1) * (y - y1) / (y2 - y1),)
-                low, high = min(low, *ends), max(high, *ends)
-        total += math.floor(high + 1e-9) - math.ceil(low - 1e-9) + 1
-    return total
+def filled(hull: np.ndarray) -> np.ndarray:
+    """The mask of a convex polygon, its corner of least x and y at the border: whole pixels inside it, and those that its
+    sides, drawn as lines, run through."""
+    x, y = (hull - hull.min(axis=0)).T
+    low, high = np.full(y.max() + 1, math.inf), np.full(y.max() + 1, -math.inf)
+    for x1, y1, x2, y2 in zip(x, y, np.roll(x, -1), np.roll(y, -1), strict=True):
+        n = int(max(abs(x2 - x1), abs(y2 - y1), 1))
+        at = np.arange(n + 1) / n
+        across, down = np.floor(x1 + at * (x2 - x1) + 0.5), np.floor(y1 + at * (y2 - y1) + 0.5).astype(int)
+        np.minimum.at(low, down, across)
+        np.maximum.at(high, down, across)
+    columns = np.arange(x.max() + 1)
+    return (columns >= low[:, None]) & (columns <= high[:, None])
 
 
 def ratio(a: float, b: float) -> float:
@@ -212,13 +212,14 @@ def shape(mask: np.ndarray) -> dict[str, float]:
 
 
 def hull_shape(mask: np.ndarray) -> dict[str, float]:
+    """``HULL_FEATURES``: those of the outline of the filled hull of the mask's largest outline, as the published ones."""
     if not mask.any():
         return dict.fromkeys(HULL_FEATURES, 0.0)
-    line = max(outlines(mask), key=polygon_area)
-    hull = convex_hull(line)
-    feret, angle = least_rectangle(hull)
-    area, perimeter = filled_area(hull), length(hull)
-    return dict(zip(HULL_FEATURES, (float(area), perimeter, ratio(area, perimeter), axis_ratio(hull), feret, angle), strict=True))
+    whole = filled(convex_hull(max(outlines(mask), key=polygon_area)))
+    line = outline(whole)
+    feret, angle = least_rectangle(convex_hull(line))
+    area, perimeter = int(whole.sum()), length(line)
+    return dict(zip(HULL_FEATURES, (float(area), perimeter, ratio(area, perimeter), axis_ratio(line), feret, angle), strict=True))
 
 
 def measure(pixels: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ by ``img``. Neighbourhoods are equi-joins over exploded offsets, so they shuffle
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -243,8 +245,13 @@ def overlay(layers: DataFrame) -> DataFrame:
 
 
 def blend(layers: DataFrame, old: str, new: str, alpha: float = 0.3) -> DataFrame:
-    """Weighted mean of two channel columns, rounded half to even: ``blended``."""
-    return layers.withColumn("blended", F.bround(alpha * F.col(old) + (1 - alpha) * F.col(new)).cast("int"))
+    """Weighted mean of two channel columns of whole numbers, rounded half to even: ``blended``.
+
+    Weights are decimals, so a half is a half. The published call works in binary fractions of a width that depends on the
+    build, beside which halves fall either way."""
+    weight = Decimal(str(alpha))
+    mean = F.lit(weight) * F.col(old).cast("decimal(9,0)") + F.lit(1 - weight) * F.col(new).cast("decimal(9,0)")
+    return layers.withColumn("blended", F.bround(mean).cast("int"))
 
 
 def alpha_of(pixels: DataFrame, background: str = "transparent") -> DataFrame:

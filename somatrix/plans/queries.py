@@ -661,11 +661,10 @@ def name_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).select("cell", text.image_name(F.concat(F.lit("R"), "subject"), *map(F.col, ("group", "treatment", "tissue", "region"))).alias("name"))
 
 
-@query(_cells_sql("SELECT cell, row_number() OVER (ORDER BY cell) AS place FROM cells QUALIFY place <= 100"))
+@query(_cells_sql("SELECT cell, row_number() OVER (ORDER BY cell) AS place FROM cells"))
 def sorted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred cells in order of number: a top-k report."""
-    first = cells(spark, sf_dir).select("cell").orderBy("cell").limit(100)
-    return first.withColumn("place", F.row_number().over(Window.orderBy("cell")))
+    """All cells in order of number."""
+    return facts.numbered(cells(spark, sf_dir).select("cell"), "cell")
 
 
 @query(_px_sql(""", other AS (SELECT img, max(r) + 1 AS h, max(c) + 1 AS w FROM px WHERE img % 2 = 0 OR r < 3 GROUP BY img)

@@ -2,6 +2,7 @@
 
 import glob
 import math
+from decimal import ROUND_HALF_EVEN, Decimal
 from pathlib import Path
 
 import duckdb
@@ -71,7 +72,7 @@ def test_shapes():
     square[10:50, 10:50] = True
     s = measure.shape(square)
     assert s["area"] == 1600 and s["perimeter"] == 4 * 39 and s["aspect_ratio"] == 1 and s["feret_diameter"] == 39
-    assert measure.filled_area(measure.convex_hull(measure.outline(square))) == 1600
+    assert measure.filled(measure.convex_hull(measure.outline(square))).sum() == 1600
     bar = np.zeros((60, 60), bool)
     bar[20:25, 5:46] = True
     assert measure.shape(bar)["aspect_ratio"] == 41 / 5
@@ -275,3 +276,33 @@ def test_free_names(spark):
 
     df = spark.createDataFrame([(1, 2)], "a int, _A int")
     assert free_names(df, "a", "b", "b") == ["__a", "b", "_b"]
+
+
+def test_blend_of_all_pairs(spark):
+    pairs = [(a, b) for a in range(256) for b in range(256)]
+    got = raster.blend(spark.createDataFrame(pairs, "a int, b int"), "a", "b", 0.3).collect()
+    exact = lambda a, b: int((Decimal(3 * a + 7 * b) / 10).quantize(Decimal(1), ROUND_HALF_EVEN))
+    assert all(r["blended"] == exact(r["a"], r["b"]) for r in got) and len(got) == 65536
+
+
+def test_numbered(spark):
+    rows = [(i * 7919 % 1000, i) for i in range(1000)] + [(None, -1)]
+    got = facts.numbered(spark.createDataFrame(rows, "part int, before int").repartition(5), "part").collect()
+    assert sorted((r["place"], r["part"]) for r in got) == [(1, None)] + [(k + 2, k) for k in range(1000)]
+    assert facts.numbered(spark.createDataFrame([], "x int"), "x").count() == 0
+
+
+def test_hull_by_its_mask():
+    """The perimeter and axes of the filled hull's outline: of a disc, an ellipse and a triangle."""
+    y, x = np.mgrid[-70:71, -70:71]
+    of = lambda mask: measure.hull_shape(mask)
+    disc, ellipse, triangle = x**2 + y**2 <= 625, (x / 60) ** 2 + (y / 30) ** 2 <= 1, (x >= 0) & (y >= 0) & (x + 3 * y <= 90)
+    assert of(disc)["hull_perimeter"] == pytest.approx(164.9, abs=2) and of(disc)["hull_eccentricity"] == pytest.approx(1, abs=0.02)
+    assert of(ellipse)["hull_perimeter"] == pytest.approx(303.6, abs=3) and of(ellipse)["hull_eccentricity"] == pytest.approx(0.5, abs=0.02)
+    found = of(triangle)
+    mask = measure.filled(measure.convex_hull(measure.outline(triangle)))
+    assert found["hull_area"] == mask.sum() >= triangle.sum() and found["hull_perimeter"] == measure.length(measure.outline(mask))
+    assert found["hull_eccentricity"] == measure.axis_ratio(measure.outline(mask)) > 0  # three corners have an ellipse too
+    line = measure.hull_shape(np.ones((1, 9), bool))
+    assert line["hull_area"] == 9 and line["hull_perimeter"] == 16
+    assert measure.hull_shape(np.ones((1, 1), bool))["hull_area"] == 1
