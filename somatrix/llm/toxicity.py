@@ -24,6 +24,8 @@ from somatrix.tables import materialise, release, table
 #: hash of the id; the most features; and the word starts that are features besides whole words.
 MAX_TOXIC, FEATURES, STARTS = 4000, 4096, (3, 4, 5, 6, 7, 8)
 STEPS, RATE, DECAY, CUT = 40, 0.25, 4e-3, 0.3
+#: Sums of tasks that the driver gets at most in one step.
+SUMS = 32
 #: A feature is in this many confirmed toxic documents, and by this many standard errors, and this many times, more
 #: frequent there than in unlabelled text, of which the prior's share is toxic too.
 FEWEST, SURE, LIFT = 3, 4.0, 3.0
@@ -124,13 +126,14 @@ def part_of_risk(toxic: np.ndarray, n: np.ndarray, row: np.ndarray, at: np.ndarr
     return out
 
 
-def risk(sets: DataFrame, w: np.ndarray) -> np.ndarray:
-    """``part_of_risk`` summed over all of ``sets`` (toxic, at, n)."""
-    shared = sets.sparkSession.sparkContext.broadcast(w)
+def risk(sets: DataFrame, w: np.ndarray, tasks: int) -> np.ndarray:
+    """``part_of_risk`` summed over all of ``sets`` (toxic, at, n), which ``tasks`` tasks read. Their sums are added in
+    ``SUMS`` groups first where there are more, so that what comes to the driver doesn't follow their number."""
+    shared, size = sets.sparkSession.sparkContext.broadcast(w), 2 * len(w) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        total = np.zeros((2, 2 * len(w) + 1))
+        total = np.zeros((2, size))
         for batch in batches:
             lists = batch.column("at")
             sizes = np.diff(lists.offsets.to_numpy())
@@ -138,9 +141,19 @@ def risk(sets: DataFrame, w: np.ndarray) -> np.ndarray:
             total += part_of_risk(toxic, n, np.repeat(np.arange(len(n)), sizes), lists.flatten().to_numpy(), w)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
-    parts = sets.mapInArrow(run, "part binary").collect()  # one a task, of fixed size
+    def added(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * size)
+        for batch in group:
+            for part in batch.column("part"):
+                total += np.frombuffer(part.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+    parts = sets.mapInArrow(run, "part binary")
+    if tasks > SUMS:
+        parts = parts.repartition(SUMS).mapInArrow(added, "part binary")
+    parts = parts.collect()  # SUMS at most, of fixed size
     shared.unpersist()
-    return sum((np.frombuffer(r["part"]).reshape(2, -1) for r in parts), np.zeros((2, 2 * len(w) + 1)))
+    return sum((np.frombuffer(r["part"]).reshape(2, -1) for r in parts), np.zeros((2, size)))
 
 
 def nn_pu(of_risk, width: int, n_unlabelled: int, n_toxic: int, prior: float) -> np.ndarray:
@@ -193,7 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, float] | None:
     rows = training.withColumn("toxic", F.lit(0)).select("toxic", "text").unionByName(confirmed.withColumn("toxic", F.lit(1)))
     sets = materialise(feature_sets(rows, chosen), "toxicity_sets")
     prior = min(max(n_toxic / n, 1e-4), 0.9)
-    w = nn_pu(lambda at: risk(sets, at), len(chosen), n_free, n_confirmed, prior)
+    tasks = sets.rdd.getNumPartitions()
+    w = nn_pu(lambda at: risk(sets, at, tasks), len(chosen), n_free, n_confirmed, prior)
     release(sets)
     release(confirmed)
     return dict(zip([*chosen, ""], w.tolist(), strict=True))

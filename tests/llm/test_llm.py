@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from test_near_text import brute_kept
 
@@ -368,12 +369,16 @@ def test_toxic_features_match(spark, edge):
     assert counted == {f: n for f, n in want.items() if n >= toxicity.FEWEST}
 
 
-def test_risk_sums(spark):
-    """Sums over Spark's rows are those over all rows at once."""
+@pytest.mark.parametrize("tasks", [3, 100])
+def test_risk_sums(spark, tasks, monkeypatch):
+    """Sums over Spark's rows are those over all rows at once; the driver gets no more of them than it may."""
     rng = random.Random(2)
     rows = [(rng.randrange(2), sorted(rng.sample(range(6), rng.randrange(4))), rng.randrange(1, 9)) for _ in range(40)]
     w = np.linspace(-1, 1, 7)
-    whole = toxicity.risk(spark.createDataFrame(rows, "toxic int, at array<int>, n long").repartition(3), w)
+    got, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: got.append(collect(self)) or got[-1])
+    whole = toxicity.risk(spark.createDataFrame(rows, "toxic int, at array<int>, n long").repartition(tasks), w, tasks)
+    assert [len(x) for x in got] == [min(tasks, toxicity.SUMS)]
     want = np.zeros(15)
     for y, at, n in rows:
         if y:
