@@ -120,7 +120,7 @@ def part_of_risk(toxic: np.ndarray, n: np.ndarray, row: np.ndarray, at: np.ndarr
         mine = np.where(toxic == kind, n, 0)
         out[kind, 0] = (mine * np.logaddexp(0, z)).sum()
         for k, slope in enumerate((mine * sigmoid(z), -mine * sigmoid(-z))):
-            grad = np.bincount(at, slope[row], minlength=width)
+            grad = np.bincount(at, slope[row], minlength=width).astype(float)  # of nothing it is of integers
             grad[-1] = slope.sum()
             out[kind, 1 + k * width : 1 + (k + 1) * width] = grad
     return out
