@@ -2,136 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from somatrix.operators.neighbors import core_distances, fuzzy_union, knn, memberships, minimum_spanning_forest, mutual_reachability
+from somatrix.operators import hierarchy
+from somatrix.operators.neighbors import fuzzy_union, knn, memberships, spanning_tree
 from somatrix.tables import materialise
 
-#: Points up to which the tree of merges, which is sequential, is cut in one task.
-TREE_LIMIT = 2_000_000
-
-
-def condensed_labels(ids: np.ndarray, edges: pd.DataFrame, least: int, allow_single: bool) -> np.ndarray:
-    """Cluster of each id, -1 for noise: single-linkage merges over the spanning edges, splits into parts smaller than
-    ``least`` taken as points that fall out, and of nested clusters those of most excess of mass."""
-    n = len(ids)
-    place = {x: i for i, x in enumerate(ids)}
-    order = edges.sort_values(["w", "src", "dst"])
-    root, top = list(range(2 * n)), list(range(n))
-    children: dict[int, tuple[int, int, float]] = {}
-    size = [1] * n
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for a, b, w in zip(order["src"], order["dst"], order["w"], strict=True):
-        x, y = find(place[a]), find(place[b])
-        if x != y:
-            new = len(size)
-            size.append(size[x] + size[y])
-            if new >= len(root):
-                root.append(new)
-            root[x] = root[y] = new
-            children[new] = (x, y, w)
-    tops = sorted({find(i) for i in range(n)})
-    if len(tops) > 1:  # a forest: what isn't connected parts at infinite distance
-        joined = tops[0]
-        for t in tops[1:]:
-            new = len(size)
-            size.append(size[joined] + size[t])
-            children[new] = (joined, t, np.inf)
-            joined = new
-        tops = [joined]
-
-    labels, stability, parent, born, members = np.full(n, -1), {0: 0.0}, {0: -1}, {0: 0.0}, {0: []}
-    if not n:
-        return labels
-
-    def leaves(node: int) -> Iterator[int]:
-        stack = [node]
-        while stack:
-            x = stack.pop()
-            if x < n:
-                yield x
-            else:
-                stack += children[x][:2]
-
-    stack, n_clusters = [(tops[0], 0)], 1
-    while stack:
-        node, cluster = stack.pop()
-        if node < n:
-            members[cluster].append(node)
-            continue
-        a, b, w = children[node]
-        at = 1 / w if w > 0 else 1e12
-        big = [x for x in (a, b) if size[x] >= least]
-        gone = size[node] if len(big) == 2 else sum(size[x] for x in (a, b) if x not in big)
-        stability[cluster] += gone * max(0.0, at - born[cluster])
-        for x in (a, b):
-            if x not in big:
-                members[cluster] += list(leaves(x))
-        if len(big) == 2:
-            for x in big:
-                parent[n_clusters], born[n_clusters], stability[n_clusters], members[n_clusters] = cluster, at, 0.0, []
-                stack.append((x, n_clusters))
-                n_clusters += 1
-        elif big:
-            stack.append((big[0], cluster))
-    below: dict[int, list[int]] = {}
-    for c, p in parent.items():
-        below.setdefault(p, []).append(c)
-    chosen = dict.fromkeys(range(n_clusters), False)
-    best = dict(stability)
-    for c in reversed(range(n_clusters)):
-        own = sum(best[x] for x in below.get(c, []))
-        if (c or allow_single) and (stability[c] >= own or not below.get(c)):
-            chosen[c] = True
-        else:
-            best[c] = own
-    number, stack = 0, [0]
-    while stack:
-        c = stack.pop()
-        if chosen[c]:
-            inside = [c]
-            for x in inside:
-                inside += below.get(x, [])
-            for x in inside:
-                labels[members[x]] = number
-            number += 1
-        else:
-            stack += sorted(below.get(c, []), reverse=True)
-    return labels
-
 
 def hdbscan(points: DataFrame, min_cluster_size: int, min_samples: int, k: int | None = None, allow_single_cluster: bool = True, near: DataFrame | None = None) -> DataFrame:
-    """(id, cluster) of ``points`` (id, vec); noise is -1, clusters count from 0.
+    """(id, cluster) of ``points`` (id, vec); noise is -1, clusters count from 0 in order of their least ids.
 
-    Neighbours, mutual reachability and the spanning forest are Spark joins over the graph of the ``k`` nearest
-    neighbours (at least twice ``min_samples``); with fewer than all neighbours, clusters further apart than those are
-    taken as unconnected. Only the merges, one row a point, are cut in a single task, which refuses more than
-    ``TREE_LIMIT`` points. ``near`` gives the neighbours where they are known already."""
+    The spanning tree is that of the graph of the ``k`` nearest neighbours (at least twice ``min_samples``), whose parts are
+    then joined by their lightest mutual reachability, found exactly among all points. Merges are contracted in rounds
+    (``hierarchy``). ``near`` gives the neighbours where they are known already. ``min_samples`` above the number of points
+    counts as that number."""
     n = points.count()
-    if n > TREE_LIMIT:
-        raise ValueError(f"the tree of merges is cut in one task, which takes {TREE_LIMIT} points at most")
+    samples = max(1, min(min_samples, n))
     if near is None:
-        near = materialise(knn(points, min(max(n - 1, 1), k or max(2 * min_samples, 15))), "neighbours")
-    forest = minimum_spanning_forest(mutual_reachability(near, core_distances(near, min_samples)))
-    kind = dict(points.dtypes)["id"]
-    rows = points.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(-1.0).alias("w")).unionByName(forest)
-
-    def cut(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(frame.loc[frame["w"] < 0, "src"].to_numpy())
-        return pd.DataFrame({"id": ids, "cluster": condensed_labels(ids, frame[frame["w"] >= 0], min_cluster_size, allow_single_cluster)})
-
-    return rows.withColumn("tree", F.lit(1)).groupBy("tree").applyInPandas(cut, f"id {kind}, cluster int")
+        near = materialise(knn(points, min(max(n - 1, 1), max(k or 15, 2 * samples))), "neighbours")
+    tree = materialise(spanning_tree(points, near, samples), "tree")
+    return hierarchy.labels(points.select("id"), tree, min_cluster_size, allow_single_cluster)
 
 
 def hdbscan_grid(points: DataFrame, sizes: tuple[int, ...], samples: tuple[int, ...]) -> DataFrame:

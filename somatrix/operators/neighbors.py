@@ -91,6 +91,60 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
     return taken.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w")
 
 
+def lightest_between(points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(u, v, w, part, other): for each part of ``points`` (id, vec, core, part) its edge of least mutual reachability to another
+    part, ties by the ends' ids, u < v. Exact: all points are compared, in blocks, as in ``knn``; each pair of blocks hands on
+    one edge a part."""
+    blocks = max(1, -(-points.count() // block))
+    keyed = points.select("id", "vec", "core", "part", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = keyed.select("id", "vec", "core", "part", F.col("block").alias("a"), every.alias("b"), F.lit(0).alias("side"))
+    right = keyed.select("id", "vec", "core", "part", every.alias("a"), F.col("block").alias("b"), F.lit(1).alias("side"))
+
+    def lightest(rows: pd.DataFrame) -> pd.DataFrame:
+        ours, theirs = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        out = [pd.DataFrame({"u": [], "v": [], "w": [], "part": [], "other": []})]
+        if len(ours) and len(theirs):
+            x, y = (np.stack(side["vec"].to_numpy()).astype(np.float64) for side in (ours, theirs))
+            core_x, core_y = ours["core"].to_numpy(), theirs["core"].to_numpy()
+            id_x, id_y, part_x, part_y = ours["id"].to_numpy(), theirs["id"].to_numpy(), ours["part"].to_numpy(), theirs["part"].to_numpy()
+            squares = (y**2).sum(axis=1)
+            for at in range(0, len(x), 256):
+                own = (x[at : at + 256] ** 2).sum(axis=1)
+                rough = own[:, None] + squares - 2 * x[at : at + 256] @ y.T
+                rough = np.maximum(np.maximum(rough, core_x[at : at + 256, None] ** 2), core_y**2)
+                rough[part_x[at : at + 256, None] == part_y] = np.inf
+                limit = rough.min(axis=1) + 1e-9 * (own + squares.max())  # room for what the products round off
+                i, j = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+                i += at
+                w = np.maximum(np.maximum(np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1)), core_x[i]), core_y[j])
+                low = id_x[i] < id_y[j]
+                found = pd.DataFrame({"u": np.where(low, id_x[i], id_y[j]), "v": np.where(low, id_y[j], id_x[i]), "w": w, "part": part_x[i], "other": part_y[j]})
+                out.append(found.sort_values(["w", "u", "v"]).drop_duplicates("part"))
+        return pd.concat(out[1:] or out).sort_values(["w", "u", "v"]).drop_duplicates("part")
+
+    kind, part = dict(points.dtypes)["id"], dict(points.dtypes)["part"]
+    each = left.unionByName(right).groupBy("a", "b").applyInPandas(lightest, f"u {kind}, v {kind}, w double, part {part}, other {part}")
+    return each.groupBy("part").agg(F.min(F.struct("w", "u", "v", "other")).alias("e")).select("e.u", "e.v", "e.w", "part", "e.other")
+
+
+def spanning_tree(points: DataFrame, near: DataFrame, samples: int) -> DataFrame:
+    """(src, dst, w): the minimum spanning forest of mutual reachability over ``near``, and where that leaves parts of
+    ``points`` (id, vec) apart, the lightest edges that join them: rounds of an exact search among all points, each of which
+    at least halves the parts."""
+    cores = materialise(core_distances(near, samples), "cores")
+    tree = materialise(minimum_spanning_forest(mutual_reachability(near, cores)), "forest")
+    parts = components(tree.select("src", "dst")).select(F.col("node").alias("id"), F.col("root").alias("part"))
+    known = points.select("id", "vec").join(cores, "id", "left").join(parts, "id", "left")
+    known = materialise(known.select("id", "vec", F.coalesce("core", F.lit(0.0)).alias("core"), F.coalesce("part", "id").alias("part")), "parts")
+    while known.select("part").distinct().limit(2).count() > 1:
+        best = materialise(lightest_between(known), "lightest")
+        tree = tree.unionByName(best.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w").distinct())
+        roots = components(best.select("part", "other")).withColumnRenamed("node", "part")
+        known = materialise(known.join(roots, "part").select("id", "vec", "core", F.col("root").alias("part")), "parts")
+    return tree
+
+
 def memberships(neighbours: DataFrame, k: int) -> DataFrame:
     """(src, dst, w): each point's fuzzy membership of its neighbours: 1 up to the nearest one's distance, then falling so
     that a point's memberships sum to log2(k)."""
