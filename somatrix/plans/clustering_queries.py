@@ -31,6 +31,11 @@ def hdbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.hdbscan(points(spark, sf_dir), 5, 5)
 
 
+def hdbscan_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``hdbscan_labels``, but all points together aren't a cluster, so that parts and noise show."""
+    return clustering.hdbscan(points(spark, sf_dir), 5, 5, allow_single_cluster=False)
+
+
 def hdbscan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How clusters and labels meet."""
     found = clustering.hdbscan(points(spark, sf_dir), 5, 5)
@@ -42,4 +47,4 @@ def umap_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clustering.umap_layout(points(spark, sf_dir), 10, 0.1, epochs=6), "umap_1", "umap_2")
 
 
-QUERIES = {f.__name__: f for f in (measure_cells, cell_facts, hdbscan_labels, hdbscan_report, umap_embed)}
+QUERIES = {f.__name__: f for f in (measure_cells, cell_facts, hdbscan_labels, hdbscan_nested, hdbscan_report, umap_embed)}
