@@ -1,7 +1,7 @@
 """Quality by co-training: a classifier of the text's content and one of the page's metadata teach each other.
 
-Both start from the labelled documents. In each round either one labels the unlabelled documents that it is surest of,
-for the other one's next fit. Each view's scores are then calibrated on labelled documents that neither has seen, and
+Both start from the labelled documents. In each round either one scores all unlabelled documents and labels those that it
+is surest of, for the other one's next fit. Each view's scores are then calibrated on labelled documents that neither has seen, and
 their calibrated log-odds are added.
 """
 
@@ -10,17 +10,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from somatrix.llm.common import held_out, small
-from somatrix.tables import materialise, table
+from somatrix.tables import materialise, release, table
 
-#: About how many labelled and unlabelled documents the views are fitted on, drawn by a hash of the id; what part of the
-#: labelled ones is kept for calibration; rounds, and the share of the unlabelled pool that a view labels in each, for
-#: each class in proportion to its frequency.
-MAX_LABELLED, MAX_UNLABELLED, CALIBRATION, ROUNDS, SHARE = 5000, 4000, 5, 4, 0.05
+#: About how many labelled documents the views are fitted on, and how many of those that a view labels in a round, drawn
+#: from all of these; what part of the labelled ones is kept for calibration; rounds, and the share of the unlabelled
+#: documents that a view labels in each, for each class in proportion to its frequency.
+MAX_LABELLED, MAX_GIVEN, CALIBRATION, ROUNDS, SHARE = 5000, 1000, 5, 4, 0.05
+#: Scores are told apart by bins of this width within this distance of zero; those of one bin are labelled together.
+BIN, FARTHEST = 1 / 512, 64
 #: Buckets of byte trigrams and of metadata values.
 TEXT_BUCKETS, META_BUCKETS = 1024, 256
 STEPS, RATE, DECAY, CUT = 150, 0.05, 1e-4, 0.5
@@ -73,8 +76,8 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     first, second = np.zeros_like(w), np.zeros_like(w)
     weight = weight / max(weight.sum(), 1e-9)
     for step in range(1, STEPS + 1):
-        slope = (sigmoid(x @ w[:-1] + w[-1]) - y) * weight
-        gradient = np.r_[x.T @ slope + DECAY * w[:-1], slope.sum()]
+        slope = (sigmoid(x @ w[:-1].astype(x.dtype) + w[-1]) - y) * weight
+        gradient = np.r_[x.T @ slope.astype(x.dtype) + DECAY * w[:-1], slope.sum()]
         first += 0.1 * (gradient - first)
         second += 0.001 * (gradient**2 - second)
         w -= RATE * 4 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -90,29 +93,114 @@ def scale(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array([max(w[0], 0.0) / unit, w[1]])
 
 
-def co_train(views: list[np.ndarray], label: np.ndarray) -> dict[str, np.ndarray] | None:
-    """``label`` is -1 where unlabelled. Each view's weights, its calibration, and the log-odds of the base rate."""
-    known = np.flatnonzero(label >= 0)
-    aside = known[::CALIBRATION]
-    seed, pool = np.setdiff1d(known, aside), np.flatnonzero(label < 0)
+def bins(z: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((z + FARTHEST) / BIN), 0, 2 * FARTHEST / BIN - 1).astype(np.int64)
+
+
+def limits(counts: np.ndarray, rate: float) -> tuple[int, int]:
+    """The least bin of those labelled 1 and the greatest of those labelled 0: ``SHARE`` of all that ``counts`` holds, the bin
+    that passes it included. One bin is never labelled both ways, and a class without a whole document not at all."""
+    total = int(counts.sum())
+    high, low = int(total * SHARE * rate), int(total * SHARE * (1 - rate))
+    first = len(counts) - 1 - int(np.searchsorted(np.cumsum(counts[::-1]), high)) if high else len(counts)
+    last = int(np.searchsorted(np.cumsum(counts), low)) if low else -1
+    return first, min(last, first - 1)
+
+
+def given(stages: list, content: np.ndarray, meta: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the documents with ``content`` (a row each) and ``meta`` (buckets, of the document ``owner``): which no stage before
+    the last one labelled, and the bins of their scores by the last one's views. A stage is both views' weights and limits."""
+    free, found = np.ones(len(content), bool), np.zeros((2, len(content)), np.int64)
+    for k, (weights, bounds) in enumerate(stages):
+        z = content @ weights[0][:-1].astype(np.float32) + weights[0][-1]
+        found = np.stack([bins(z), bins(np.bincount(owner, weights[1][meta], len(content)) + weights[1][-1])])
+        if k + 1 < len(stages):
+            for view, (first, last) in zip(found, bounds, strict=True):
+                free &= (view < first) & (view > last)
+    return free, found
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    content = np.frombuffer(b"".join(batch.column("content").to_pylist()), np.float16).reshape(batch.num_rows, -1).astype(np.float32)
+    lists = batch.column("meta")
+    return content, lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+
+
+def tally(pool: DataFrame, stages: list) -> np.ndarray:
+    """(2, bins): how many of the documents of ``pool`` (content, meta) that are still unlabelled each view of the last stage
+    puts in each bin. Tasks count; sums, one a bin at most, come to the driver."""
+    shared, width = pool.sparkSession.sparkContext.broadcast(stages), int(2 * FARTHEST / BIN)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * width, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                free, found = given(shared.value, *_unpacked(batch))
+                total += np.bincount((found[:, free] + np.array([[0], [width]])).ravel(), minlength=2 * width)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bin", "n"])
+
+    out = np.zeros(2 * width, np.int64)
+    for r in pool.select("content", "meta").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        out[r["bin"]] = r["n"]
+    return out.reshape(2, width)
+
+
+def drawn(pool: DataFrame, stages: list, rates: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each view of the last stage: content, metadata and label of documents of ``pool`` (content, meta, draw) that it labels
+    by its limits, each label's documents drawn at its rate of ``rates`` (2 views, 2 labels)."""
+    shared = pool.sparkSession.sparkContext.broadcast((stages, rates))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stages, rates = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                free, found = given(stages, *_unpacked(batch))
+                draw = batch.column("draw").to_numpy()
+                for view, (first, last) in enumerate(stages[-1][1]):
+                    for label, sure in enumerate((found[view] <= last, found[view] >= first)):
+                        kept = pa.array(np.flatnonzero(free & sure & (draw < rates[view][label])))
+                        columns = [batch.column(c).take(kept) for c in ("content", "meta")]
+                        yield pa.RecordBatch.from_arrays([pa.array([view] * len(kept), pa.int32()), pa.array([label] * len(kept), pa.int32()), *columns], ["view", "label", "content", "meta"])
+
+    rows = pool.select("content", "meta", "draw").mapInArrow(run, "view int, label int, content binary, meta array<int>").toPandas()
+    rows = rows.sort_values(["view", "label", "content"], kind="stable")
+    return [(*_matrices(rows[rows["view"] == view]), rows.loc[rows["view"] == view, "label"].to_numpy(float)) for view in range(2)]
+
+
+def _matrices(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    content = np.zeros((len(rows), TEXT_BUCKETS + N_STATS), np.float32)
+    meta = np.zeros((len(rows), META_BUCKETS), np.float32)
+    for i, (raw, at) in enumerate(zip(rows["content"], rows["meta"], strict=True)):
+        content[i], meta[i, at] = np.frombuffer(raw, np.float16), 1
+    return content, meta
+
+
+def co_train(views: list[np.ndarray], label: np.ndarray, pool: DataFrame) -> dict[str, np.ndarray] | None:
+    """Each view's weights, its calibration, and the log-odds of the base rate, from labelled rows and ``pool`` (content, meta,
+    draw), the unlabelled documents, all of which are scored twice a round: to find what is surest, and to draw from it."""
+    every = np.arange(len(label))
+    aside, seed = every[::CALIBRATION], np.setdiff1d(every, every[::CALIBRATION])
     if not len(seed) or label[seed].min() == label[seed].max():
         return None
     rate = label[seed].mean()
-    own = [(seed, label[seed].astype(float)) for _ in views]
-    weights = []
+    own = [(x[seed], label[seed].astype(float)) for x in views]
+    weights, stages = [], []
     for turn in range(ROUNDS + 1):
-        weights = [logistic(x[at], y, np.ones(len(at))) for x, (at, y) in zip(views, own, strict=True)]
-        if turn == ROUNDS or not len(pool):
+        weights = [logistic(x, y, np.ones(len(y))) for x, y in own]
+        if turn == ROUNDS:
+            break
+        counts = tally(pool, [*stages, (weights, None)])
+        stages.append((weights, [limits(c, rate) for c in counts]))
+        rates = np.zeros((2, 2))
+        for view, (first, last) in enumerate(stages[-1][1]):
+            sure = counts[view][: last + 1].sum(), counts[view][first:].sum()
+            rates[view] = [MAX_GIVEN * share / max(int(n), 1) for n, share in zip(sure, (1 - rate, rate), strict=True)]
+        if not counts.sum():
             break
-        given = []
-        for x, w in zip(views, weights, strict=True):
-            z = x[pool] @ w[:-1] + w[-1]
-            order = np.argsort(z, kind="stable")
-            high, low = int(len(pool) * SHARE * rate), int(len(pool) * SHARE * (1 - rate))
-            high, low = order[len(order) - high :], order[:low]
-            given.append((np.r_[pool[high], pool[low]], np.r_[np.ones(len(high)), np.zeros(len(low))]))
-        own = [(np.r_[at, given[1 - k][0]], np.r_[y, given[1 - k][1]]) for k, (at, y) in enumerate(own)]
-        pool = np.setdiff1d(pool, np.concatenate([g[0] for g in given]))
+        for view, (content, meta, y) in enumerate(drawn(pool, stages, rates)):  # what one view labels teaches the other
+            x, known = own[1 - view]
+            own[1 - view] = np.concatenate([x, (meta, content)[view]]), np.r_[known, y]
     fitted = {f"w{k}": w for k, w in enumerate(weights)}
     for k, (x, w) in enumerate(zip(views, weights, strict=True)):
         fitted[f"c{k}"] = scale(x[aside] @ w[:-1] + w[-1], label[aside].astype(float))
@@ -125,34 +213,34 @@ def _views(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), metadata_view(F.col("source"), F.col("lang"), F.col("n_chars"), text).alias("meta"))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
-    """The model of ``docs`` (doc_id, text, source, lang, n_chars) and ``labels`` (doc_id, quality), from rows outside the
-    held-out fold. None where their labels don't have both classes. Samples are bounded by this module's parameters."""
-    own = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    own = own.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
-    few = own.filter(draw < MAX_LABELLED / max(own.count(), 1))
-    training = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    drawn = training.filter(draw < (MAX_UNLABELLED + MAX_LABELLED) / max(training.count(), 1)).select("doc_id")
-    ids = materialise(drawn.join(few, "doc_id", "full").distinct(), "quality_sample_ids")
-    kept = ids.join(own.select("doc_id").withColumn("any", F.lit(1)), "doc_id", "left").filter("quality is not null or any is null")
-    sample = materialise(_views(training).join(F.broadcast(kept.select("doc_id", "quality")), "doc_id"), "quality_sample")
+def _features(docs: DataFrame) -> DataFrame:
+    """(doc_id, meta, content): both views of each document, small enough to be stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             content = [text_view(x).astype(np.float16).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), batch.column("meta"), pa.array(content, pa.binary())], ["doc_id", "quality", "meta", "content"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("meta"), pa.array(content, pa.binary())], ["doc_id", "meta", "content"])
 
-    slim = sample.select("doc_id", F.col("quality").cast("int").alias("quality"), "meta", "text")
-    rows = slim.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, quality int, meta array<int>, content binary").orderBy("doc_id", "content").toPandas()
-    if not len(rows):
-        return None
-    content = np.stack([np.frombuffer(x, np.float16) for x in rows["content"]]).astype(np.float32)
-    meta = np.zeros((len(rows), META_BUCKETS), np.float32)
-    for i, at in enumerate(rows["meta"]):
-        meta[i, at] = 1
-    label = rows["quality"].fillna(-1).to_numpy().astype(int)
-    return co_train([content, meta], np.minimum(label, 1))
+    slim = _views(docs).select("doc_id", F.array_distinct("meta").alias("meta"), "text")
+    return slim.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, meta array<int>, content binary")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
+    """The model of ``docs`` (doc_id, text, source, lang, n_chars) and ``labels`` (doc_id, quality), from rows outside the
+    held-out fold; unlabelled documents are all others of these, those without an id too. None where labels don't have both
+    classes. What the driver holds is bounded by this module's parameters."""
+    own = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    own = materialise(own.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")), "quality_labels")
+    training = docs.filter(~held_out(F.col("doc_id")))
+    rows = materialise(_features(training).join(own, "doc_id", "left").withColumn("draw", F.rand(24)), "quality_features")
+    known = rows.filter("quality is not null")
+    few = known.filter(F.col("draw") < MAX_LABELLED / max(known.count(), 1))
+    few = few.select("doc_id", "quality", "content", "meta").toPandas().sort_values(["doc_id", "content"], kind="stable")
+    pool = rows.filter("quality is null")
+    model = co_train(list(_matrices(few)), np.minimum(few["quality"].to_numpy(int), 1), pool) if len(few) else None
+    release(rows)
+    release(own)
+    return model
 
 
 def score_quality(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:

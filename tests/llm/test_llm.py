@@ -397,6 +397,36 @@ def test_quality(spark, edge, empty):
     assert quality.score_quality(empty, model).count() == 0 and quality.fit(docs, labels.filter("false")) is None
 
 
+def test_quality_pool(spark):
+    """Counts and draws of all unlabelled documents, over two rounds, are those of plain numpy."""
+    rng = np.random.default_rng(3)
+    content = rng.random((300, quality.TEXT_BUCKETS + quality.N_STATS)).astype(np.float16)
+    meta = [sorted({int(x) for x in rng.integers(0, quality.META_BUCKETS, 4)}) for _ in range(300)]
+    pool = spark.createDataFrame([(c.tobytes(), m, i / 300) for i, (c, m) in enumerate(zip(content, meta, strict=True))], "content binary, meta array<int>, draw double").repartition(7)
+    weights = [[rng.normal(0, 0.2, content.shape[1] + 1), rng.normal(0, 1, quality.META_BUCKETS + 1)] for _ in range(2)]
+
+    def scores(w):
+        return np.stack([content.astype(np.float32) @ w[0][:-1].astype(np.float32) + w[0][-1], [w[1][m].sum() + w[1][-1] for m in meta]])
+
+    counts = quality.tally(pool, [(weights[0], None)])
+    assert counts.sum(axis=1).tolist() == [300, 300]
+    bounds = [quality.limits(c, 0.4) for c in counts]
+    free = np.ones(300, bool)
+    for z, (first, last), n in zip(quality.bins(scores(weights[0])), bounds, counts, strict=True):
+        assert n[first:].sum() >= 6 > n[first + 1 :].sum() and n[: last + 1].sum() >= 9 > n[:last].sum()
+        free &= (z < first) & (z > last)
+    stages = [(weights[0], bounds), (weights[1], None)]
+    again = quality.tally(pool, stages)
+    assert again.sum(axis=1).tolist() == [free.sum()] * 2
+    stages[1] = weights[1], [quality.limits(c, 0.4) for c in again]
+    for view, (found, tags, y) in enumerate(quality.drawn(pool, stages, np.array([[1, 1], [0.5, 0.5]]))):
+        z, (first, last) = quality.bins(scores(weights[1]))[view], stages[1][1][view]
+        sure = free & ((z >= first) | (z <= last)) & (np.arange(300) / 300 < (1, 0.5)[view])
+        assert sorted(map(bytes, found.astype(np.float16))) == sorted(map(bytes, content[sure])) and y.sum() == (z[sure] >= first).sum()
+        assert sorted(tags.sum(axis=1)) == sorted(len(meta[i]) for i in np.flatnonzero(sure))
+    assert quality.limits(np.zeros(10, int), 0.4) == (10, -1) and quality.limits(np.array([0, 900, 0]), 0.5) == (1, 0)
+
+
 def test_language(spark, edge, empty, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language_id.fit_mixture(language_id.training_rows(docs))
