@@ -1,7 +1,7 @@
 """Quality by co-training: a classifier of the text's content and one of the page's metadata teach each other.
 
-Both start from the labelled documents. In each round either one scores all unlabelled documents and labels those that it
-is surest of, for the other one's next fit. Each view's scores are then calibrated on labelled documents that neither has seen, and
+Both start from the labelled documents. In each round either one scores all documents and labels those unlabelled ones that
+it is surest of, for the other one's next fit. Each view's scores are then calibrated on labelled documents that neither has seen, and
 their calibrated log-odds are added.
 """
 
@@ -19,8 +19,8 @@ from somatrix.llm.common import held_out, small
 from somatrix.tables import materialise, release, table
 
 #: About how many labelled documents the views are fitted on, and how many of those that a view labels in a round, drawn
-#: from all of these; what part of the labelled ones is kept for calibration; rounds, and the share of the unlabelled
-#: documents that a view labels in each, for each class in proportion to its frequency.
+#: from all of these; what part of the labelled ones is kept for calibration; rounds, and the share of the
+#: documents that a view is sure of in each, for each class in proportion to its frequency.
 MAX_LABELLED, MAX_GIVEN, CALIBRATION, ROUNDS, SHARE = 5000, 1000, 5, 4, 0.05
 #: Scores are told apart by bins of this width within this distance of zero; those of one bin are labelled together.
 BIN, FARTHEST = 1 / 512, 64
@@ -127,7 +127,7 @@ def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def tally(pool: DataFrame, stages: list) -> np.ndarray:
-    """(2, bins): how many of the documents of ``pool`` (content, meta) that are still unlabelled each view of the last stage
+    """(2, bins): how many of the documents of ``pool`` (content, meta) that no stage was sure of yet each view of the last stage
     puts in each bin. Tasks count; sums, one a bin at most, come to the driver."""
     shared, width = pool.sparkSession.sparkContext.broadcast(stages), int(2 * FARTHEST / BIN)
 
@@ -146,9 +146,10 @@ def tally(pool: DataFrame, stages: list) -> np.ndarray:
     return out.reshape(2, width)
 
 
-def drawn(pool: DataFrame, stages: list, rates: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each view of the last stage: content, metadata and label of documents of ``pool`` (content, meta, draw) that it labels
-    by its limits, each label's documents drawn at its rate of ``rates`` (2 views, 2 labels)."""
+def drawn(pool: DataFrame, stages: list, rates: np.ndarray, labelled: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each view of the last stage: content, metadata and label of documents of ``pool`` (doc_id, content, meta, draw) that it
+    labels by its limits, each label's documents drawn at its rate of ``rates`` (2 views, 2 labels); those drawn that have a
+    label of their own, in ``labelled`` (doc_id), are left out."""
     shared = pool.sparkSession.sparkContext.broadcast((stages, rates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +161,15 @@ def drawn(pool: DataFrame, stages: list, rates: np.ndarray) -> list[tuple[np.nda
                 for view, (first, last) in enumerate(stages[-1][1]):
                     for label, sure in enumerate((found[view] <= last, found[view] >= first)):
                         kept = pa.array(np.flatnonzero(free & sure & (draw < rates[view][label])))
-                        columns = [batch.column(c).take(kept) for c in ("content", "meta")]
-                        yield pa.RecordBatch.from_arrays([pa.array([view] * len(kept), pa.int32()), pa.array([label] * len(kept), pa.int32()), *columns], ["view", "label", "content", "meta"])
-
-    rows = pool.select("content", "meta", "draw").mapInArrow(run, "view int, label int, content binary, meta array<int>").toPandas()
+                        columns = [batch.column(c).take(kept) for c in ("doc_id", "content", "meta")]
+                        yield pa.RecordBatch.from_arrays([pa.array([view] * len(kept), pa.int32()), pa.array([label] * len(kept), pa.int32()), *columns], ["view", "label", "doc_id", "content", "meta"])
+
+    kind = dict(pool.dtypes)["doc_id"]
+    rows = pool.select("doc_id", "content", "meta", "draw").mapInArrow(run, f"view int, label int, doc_id {kind}, content binary, meta array<int>").toPandas()
+    ids = [(x if isinstance(x, str) else int(x),) for x in rows["doc_id"].dropna().unique()]
+    if ids:  # as many as were drawn
+        met = labelled.join(F.broadcast(labelled.sparkSession.createDataFrame(ids, f"doc_id {kind}")), "doc_id", "left_semi")
+        rows = rows[~rows["doc_id"].isin([r["doc_id"] for r in met.select("doc_id").distinct().collect()])]
     rows = rows.sort_values(["view", "label", "content"], kind="stable")
     return [(*_matrices(rows[rows["view"] == view]), rows.loc[rows["view"] == view, "label"].to_numpy(float)) for view in range(2)]
 
@@ -176,9 +182,10 @@ def _matrices(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return content, meta
 
 
-def co_train(views: list[np.ndarray], label: np.ndarray, pool: DataFrame) -> dict[str, np.ndarray] | None:
-    """Each view's weights, its calibration, and the log-odds of the base rate, from labelled rows and ``pool`` (content, meta,
-    draw), the unlabelled documents, all of which are scored twice a round: to find what is surest, and to draw from it."""
+def co_train(views: list[np.ndarray], label: np.ndarray, pool: DataFrame, labelled: DataFrame) -> dict[str, np.ndarray] | None:
+    """Each view's weights, its calibration, and the log-odds of the base rate, from labelled rows and ``pool`` (doc_id,
+    content, meta, draw), all documents, which are scored twice a round: to find what is surest, and to draw from it those
+    without a label in ``labelled`` (doc_id)."""
     every = np.arange(len(label))
     aside, seed = every[::CALIBRATION], np.setdiff1d(every, every[::CALIBRATION])
     if not len(seed) or label[seed].min() == label[seed].max():
@@ -198,7 +205,7 @@ def co_train(views: list[np.ndarray], label: np.ndarray, pool: DataFrame) -> dic
             rates[view] = [MAX_GIVEN * share / max(int(n), 1) for n, share in zip(sure, (1 - rate, rate), strict=True)]
         if not counts.sum():
             break
-        for view, (content, meta, y) in enumerate(drawn(pool, stages, rates)):  # what one view labels teaches the other
+        for view, (content, meta, y) in enumerate(drawn(pool, stages, rates, labelled)):  # what one view labels teaches the other
             x, known = own[1 - view]
             own[1 - view] = np.concatenate([x, (meta, content)[view]]), np.r_[known, y]
     fitted = {f"w{k}": w for k, w in enumerate(weights)}
@@ -227,17 +234,17 @@ def _features(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
     """The model of ``docs`` (doc_id, text, source, lang, n_chars) and ``labels`` (doc_id, quality), from rows outside the
-    held-out fold; unlabelled documents are all others of these, those without an id too. None where labels don't have both
-    classes. What the driver holds is bounded by this module's parameters."""
+    held-out fold; unlabelled documents are all others of these, those without an id too. Their features are stored without a
+    shuffle. None where labels don't have both classes. What the driver holds is bounded by this module's parameters."""
     own = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     own = materialise(own.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")), "quality_labels")
     training = docs.filter(~held_out(F.col("doc_id")))
-    rows = materialise(_features(training).join(own, "doc_id", "left").withColumn("draw", F.rand(24)), "quality_features")
-    known = rows.filter("quality is not null")
-    few = known.filter(F.col("draw") < MAX_LABELLED / max(known.count(), 1))
+    rows = materialise(_features(training).withColumn("draw", F.rand(24)), "quality_features")
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
+    few = rows.join(F.broadcast(own.filter(draw < MAX_LABELLED / max(own.count(), 1))), "doc_id")  # some MAX_LABELLED ids
+    few = few.filter(F.col("draw") < MAX_LABELLED / max(few.count(), 1))  # fewer where ids repeat
     few = few.select("doc_id", "quality", "content", "meta").toPandas().sort_values(["doc_id", "content"], kind="stable")
-    pool = rows.filter("quality is null")
-    model = co_train(list(_matrices(few)), np.minimum(few["quality"].to_numpy(int), 1), pool) if len(few) else None
+    model = co_train(list(_matrices(few)), np.minimum(few["quality"].to_numpy(int), 1), rows, own) if len(few) else None
     release(rows)
     release(own)
     return model

@@ -402,7 +402,7 @@ def test_quality_pool(spark):
     rng = np.random.default_rng(3)
     content = rng.random((300, quality.TEXT_BUCKETS + quality.N_STATS)).astype(np.float16)
     meta = [sorted({int(x) for x in rng.integers(0, quality.META_BUCKETS, 4)}) for _ in range(300)]
-    pool = spark.createDataFrame([(c.tobytes(), m, i / 300) for i, (c, m) in enumerate(zip(content, meta, strict=True))], "content binary, meta array<int>, draw double").repartition(7)
+    pool = spark.createDataFrame([(i, c.tobytes(), m, i / 300) for i, (c, m) in enumerate(zip(content, meta, strict=True))], "doc_id long, content binary, meta array<int>, draw double").repartition(7)
     weights = [[rng.normal(0, 0.2, content.shape[1] + 1), rng.normal(0, 1, quality.META_BUCKETS + 1)] for _ in range(2)]
 
     def scores(w):
@@ -419,9 +419,9 @@ def test_quality_pool(spark):
     again = quality.tally(pool, stages)
     assert again.sum(axis=1).tolist() == [free.sum()] * 2
     stages[1] = weights[1], [quality.limits(c, 0.4) for c in again]
-    for view, (found, tags, y) in enumerate(quality.drawn(pool, stages, np.array([[1, 1], [0.5, 0.5]]))):
+    for view, (found, tags, y) in enumerate(quality.drawn(pool, stages, np.array([[1, 1], [0.5, 0.5]]), spark.range(0, 300, 3).toDF("doc_id"))):
         z, (first, last) = quality.bins(scores(weights[1]))[view], stages[1][1][view]
-        sure = free & ((z >= first) | (z <= last)) & (np.arange(300) / 300 < (1, 0.5)[view])
+        sure = free & ((z >= first) | (z <= last)) & (np.arange(300) / 300 < (1, 0.5)[view]) & (np.arange(300) % 3 > 0)
         assert sorted(map(bytes, found.astype(np.float16))) == sorted(map(bytes, content[sure])) and y.sum() == (z[sure] >= first).sum()
         assert sorted(tags.sum(axis=1)) == sorted(len(meta[i]) for i in np.flatnonzero(sure))
     assert quality.limits(np.zeros(10, int), 0.4) == (10, -1) and quality.limits(np.array([0, 900, 0]), 0.5) == (1, 0)
