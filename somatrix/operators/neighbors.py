@@ -147,23 +147,31 @@ def spanning_tree(points: DataFrame, near: DataFrame, samples: int) -> DataFrame
 
 def memberships(neighbours: DataFrame, k: int) -> DataFrame:
     """(src, dst, w): each point's fuzzy membership of its neighbours: 1 up to the nearest one's distance, then falling so
-    that a point's memberships sum to log2(k)."""
-
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        d = rows["d"].to_numpy()
-        near = d[d > 0].min() if (d > 0).any() else 0.0
-        over, goal = np.maximum(d - near, 0), np.log2(k)
-        low, high, sigma = 0.0, np.inf, 1.0
+    that a point's memberships sum to log2(k). Each point's distances are one array; a batch of arrays is solved at once."""
+
+    @F.pandas_udf("array<double>")
+    def smooth(distances: pd.Series) -> pd.Series:
+        sizes = distances.map(len).to_numpy()
+        there = np.arange(sizes.max()) < sizes[:, None]
+        d = np.full(there.shape, np.inf)
+        d[there] = np.concatenate(distances.to_numpy())
+        near = np.where(d > 0, d, np.inf).min(axis=1)
+        over, goal = np.maximum(d - np.where(np.isfinite(near), near, 0.0)[:, None], 0), np.log2(k)
+        low, high, sigma, done = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d)), np.zeros(len(d), bool)
         for _ in range(64):
-            total = np.exp(-over / sigma).sum()
-            if abs(total - goal) < 1e-5:
+            total = np.exp(-over / sigma[:, None]).sum(axis=1)
+            done |= np.abs(total - goal) < 1e-5
+            if done.all():
                 break
-            low, high = (low, sigma) if total > goal else (sigma, high)
-            sigma = (low + high) / 2 if np.isfinite(high) else sigma * 2
-        return pd.DataFrame({"src": rows["src"], "dst": rows["dst"], "w": np.exp(-over / max(sigma, 1e-3 * max(d.mean(), 1e-12)))})
-
-    kind = dict(neighbours.dtypes)["src"]
-    return neighbours.groupBy("src").applyInPandas(smooth, f"src {kind}, dst {kind}, w double")
+            low, high = np.where(~done & (total <= goal), sigma, low), np.where(~done & (total > goal), sigma, high)
+            sigma = np.where(done, sigma, np.where(np.isfinite(high), (low + high) / 2, sigma * 2))
+        mean = np.where(there, d, 0).sum(axis=1) / sizes
+        w = np.exp(-over / np.maximum(sigma, 1e-3 * np.maximum(mean, 1e-12))[:, None])
+        return pd.Series([row[:size] for row, size in zip(w, sizes, strict=True)])
+
+    lists = neighbours.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("d", "dst"))).alias("near"))
+    solved = lists.withColumn("w", smooth(F.col("near.d")))
+    return solved.select("src", F.explode(F.arrays_zip(F.col("near.dst").alias("dst"), F.col("w").alias("w"))).alias("x")).select("src", "x.dst", "x.w")
 
 
 def fuzzy_union(directed: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from somatrix.functions.survival import chi_square_survival, normal_survival
+from somatrix.tables import materialise
 
 
 def counts(facts: DataFrame, by: str, of: str) -> DataFrame:
@@ -100,29 +100,88 @@ def chi_square_cells(observed: DataFrame, by: str, of: str) -> DataFrame:
     return whole.select(by, of, "n", "expected", "residual", F.try_divide(100 * F.pow("residual", F.lit(2)), F.col("__chi2")).alias("contribution"), F.round(100 * F.col("n") * F.col("n") / F.col("__total"), 3).alias("square_share"))
 
 
+def _running(counted: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """``counted`` (keys, value, ties, one row a value) with ``before``: how many are smaller within the same keys.
+
+    Rows are dealt by ranges of (keys, value), about ``block`` a range, which Spark bounds by a sample of its own; a running sum
+    inside a range goes on from the totals of the ranges before it. No task holds one key whole."""
+    counted = materialise(counted, "counted")
+    parts = max(1, -(-counted.count() // block))
+    dealt = materialise(counted.repartitionByRange(parts, *keys, "value").withColumn("part", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy(*keys, "part").agg(F.sum("ties").alias("n"))  # a row for each range and key that meet
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    within = Window.partitionBy(*keys, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn("inside", F.coalesce(F.sum("ties").over(within), F.lit(0))).join(starts, [*keys, "part"])
+    return summed.select(*keys, "value", "ties", (F.col("start") + F.col("inside")).alias("before"))
+
+
 def mid_ranks(values: DataFrame, block: int = 100_000) -> DataFrame:
     """``values`` (feature, group, value) counted by distinct value, with ``rank``, the mean of the ranks that equal
-    values take, and ``ties``, how many there are.
-
-    Distinct values are counted first, and those counts ranked: by a running sum inside blocks of a range partitioning
-    and over the blocks' totals, so that no task holds a feature whole; a block has about ``block`` distinct values."""
-    counted = values.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("ties"))
-    most = counted.groupBy("feature").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    parts = max(2, -(-most // block))
-    bounds = counted.groupBy("feature").agg(F.percentile_approx("value", [i / parts for i in range(1, parts)], max(10_000, 10 * parts)).alias("cuts"))
-    placed = counted.join(F.broadcast(bounds), "feature").withColumn("block", F.size(F.filter("cuts", lambda x: x < F.col("value")))).drop("cuts")
-    totals = placed.groupBy("feature", "block").agg(F.sum("ties").alias("n"))
-    earlier = Window.partitionBy("feature").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("feature", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    within = Window.partitionBy("feature", "block").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn("before", F.coalesce(F.sum("ties").over(within), F.lit(0))).join(starts, ["feature", "block"])
-    ranked = ranked.select("feature", "value", "ties", (F.col("start") + F.col("before") + (F.col("ties") + 1) / 2).alias("rank"))
+    values take, and ``ties``, how many there are. Distinct values are counted first, and those counts ranked."""
+    values = values.filter(F.col("value").isNotNull())
+    counted = values.groupBy("feature", "value").agg(F.count("*").alias("ties"))
+    ranked = _running(counted, ["feature"], block).select("feature", "value", "ties", (F.col("before") + (F.col("ties") + 1) / 2).alias("rank"))
     return values.groupBy("feature", "group", "value").agg(F.count("*").alias("n")).join(ranked, ["feature", "value"])
 
 
+def quartiles(values: DataFrame, block: int = 100_000) -> DataFrame:
+    """(feature, group, n, least, q1, median, q3, most, mean, deviation) from rows (feature, group, value) without null.
+
+    Exact, by running counts of distinct values: a quantile lies between the two values about (n - 1) times its share, in
+    proportion. ``deviation`` is the sample's; of one value it is null."""
+    keys, values = ["feature", "group"], values.filter(F.col("value").isNotNull())
+    runs = _running(values.groupBy(*keys, "value").agg(F.count("*").alias("ties")), keys, block)
+    whole = values.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("deviation"))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("ties")), F.col("value")))
+
+    found = []
+    for share, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")):
+        exact = (F.col("n") - 1) * share
+        low, high = at(F.floor(exact)), at(F.ceil(exact))
+        found.append((low + (high - low) * (F.max(exact) - F.floor(F.max(exact)))).alias(name))
+    cut = runs.join(whole.select(*keys, "n"), keys).groupBy(*keys).agg(*found)
+    return whole.join(cut, keys).select(*keys, "n", "least", "q1", "median", "q3", "most", "mean", "deviation")
+
+
+def densities(values: DataFrame, places: int = 512, cut: float = 0.0) -> DataFrame:
+    """(feature, group, place, x, density): what a violin draws, a Gaussian kernel density at ``places`` even steps from the
+    least to the largest value, ``cut`` bandwidths beyond both.
+
+    The bandwidth is 0.9 n^-0.2 times the lesser of the sample's deviation and the quartiles' distance by 1.34 (of one of them
+    where the other is 0); groups of one value or of equal ones have no rows. Values are first counted at the steps, each
+    shared between the two next to it, so that a group is ``places`` numbers, whatever its size."""
+    found = materialise(quartiles(values), "quartiles")
+    spread = (F.col("q3") - F.col("q1")) / 1.34
+    width = F.when(F.least("deviation", spread) > 0, F.least("deviation", spread)).otherwise(F.greatest("deviation", spread))
+    found = found.withColumn("width", 0.9 * width * F.pow(F.col("n").cast("double"), F.lit(-0.2))).filter("width > 0")
+    found = found.withColumn("first", F.col("least") - cut * F.col("width")).withColumn("step", (F.col("most") + cut * F.col("width") - F.col("first")) / (places - 1))
+    steps = found.select("feature", "group", "first", "step")
+    counted = values.filter(F.col("value").isNotNull()).groupBy("feature", "group", "value").agg(F.count("*").alias("k")).join(steps, ["feature", "group"])
+    counted = counted.withColumn("at", (F.col("value") - F.col("first")) / F.col("step")).withColumn("low", F.least(F.floor("at"), F.lit(places - 2)).cast("int"))
+    part = F.col("at") - F.col("low")
+    shared = counted.select("feature", "group", F.inline(F.array(F.struct(F.col("low").alias("place"), (F.col("k") * (1 - part)).alias("w")), F.struct((F.col("low") + 1).alias("place"), (F.col("k") * part).alias("w")))))
+    weights = shared.groupBy("feature", "group", "place").agg(F.sum("w").alias("w")).groupBy("feature", "group").agg(F.map_from_entries(F.collect_list(F.struct("place", "w"))).alias("at"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda i: F.coalesce(F.try_element_at("at", i), F.lit(0.0)))
+
+    @F.pandas_udf("array<double>")
+    def smooth(weights: pd.Series, step: pd.Series, width: pd.Series, n: pd.Series) -> pd.Series:
+        apart, out = np.arange(places), []
+        for w, s, h, k in zip(weights, step, width, n, strict=True):
+            bell = np.exp(-0.5 * (apart * s / h) ** 2) / (k * h * np.sqrt(2 * np.pi))
+            out.append(np.convolve(w, np.r_[bell[:0:-1], bell])[places - 1 : 2 * places - 1])
+        return pd.Series(out)
+
+    drawn = found.join(weights, ["feature", "group"]).withColumn("all", smooth(dense, "step", "width", "n"))
+    each = drawn.select("feature", "group", "first", "step", F.posexplode("all").alias("place", "density"))
+    return each.select("feature", "group", "place", (F.col("first") + F.col("place") * F.col("step")).alias("x"), "density")
+
+
 def _rank_sums(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(feature, group, n, rank_sum), and for each feature N and the sum of t^3 - t over its ties."""
-    ranked = mid_ranks(values)
+    ranked = materialise(mid_ranks(values), "ranks")
     groups = ranked.groupBy("feature", "group").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("rank_sum"))
     t = F.col("ties").cast("double")
     ties = ranked.groupBy("feature", "value").agg(F.first("ties").alias("ties")).groupBy("feature").agg(F.sum("ties").cast("double").alias("total"), F.sum(t * t * t - t).alias("tied"))
@@ -150,6 +209,11 @@ def dunn(values: DataFrame) -> DataFrame:
     return whole.withColumn("m", m).select("feature", "g1", "g2", "z", F.least(F.lit(1.0), 2 * normal_survival(F.abs("z")) * F.col("m")).alias("p"))
 
 
+def significant(pairs: DataFrame, level: float = 0.05) -> DataFrame:
+    """Pairs of groups whose corrected p is below ``level``; those without a p aren't among them."""
+    return pairs.filter(F.col("p") < level)
+
+
 def group_distances(means: DataFrame, by: str, features: tuple[str, ...]) -> DataFrame:
     """(a, b, distance): Euclidean distances between group means, a < b. As many rows as pairs of groups."""
     a = means.select(F.col(by).alias("a"), F.array(*features).alias("x"), F.lit(1).alias("one"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from somatrix.functions import shape, text
-from somatrix.operators import facts, neighbors, raster, selection, stats
+from somatrix.operators import descent, facts, neighbors, raster, selection, stats
 from somatrix.plans.views import CELLS_SQL, DENSE, FEATURES, PX_SQL, SPARSE, cells, foreground, px
 from somatrix.tables import materialise, table
 
@@ -447,6 +447,57 @@ def dunn_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.dunn(_event_values(spark, sf_dir)).select("feature", "g1", "g2", (F.round("z", 4) + 0.0).alias("z"))
 
 
+#: The upper tail of chi square, for even degrees of freedom, as a finite sum; that of |z| by a series of positive terms.
+_TAIL = "exp(-x / 2) * list_sum(list_transform(range(0, CAST(df / 2 AS BIGINT)), lambda i: power(x / 2, i) / gamma(i + 1)))"
+_TWO_SIDED = "1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 120), lambda i: exp(2 * i * ln(2) + lgamma(i + 1) - lgamma(2 * i + 2)) * power(x, 2 * i + 1)))"
+
+
+@query(f"""WITH {CELLS_SQL.strip()}{_EXPECTED}, s AS (SELECT sum((n - expected) * (n - expected) / expected) AS x, CAST((count(DISTINCT g) - 1) * (count(DISTINCT k) - 1) AS INTEGER) AS df FROM e)
+SELECT df, round({_TAIL}, 6) AS p FROM s""")
+def chi_square_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.chi_square(_observed(spark, sf_dir), "group", "cluster").select("df", "p"), "p", places=6)
+
+
+@query(_RANKS + f""", h AS (SELECT (12 / (total * (total + 1)) * sum(rank_sum * rank_sum / n) - 3 * (total + 1)) / (1 - tied / (total * total * total - total)) AS x, CAST(count(*) - 1 AS INTEGER) AS df FROM s, t GROUP BY total, tied)
+SELECT 'value' AS feature, df, round({_TAIL}, 6) AS p FROM h""")
+def kruskal_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.kruskal_wallis(_event_values(spark, sf_dir)).drop("h"), "p", places=6)
+
+
+@query(_RANKS + f""", z AS (SELECT a.g AS g1, b.g AS g2, abs(a.rank_sum / a.n - b.rank_sum / b.n) / sqrt((total * (total + 1) / 12 - tied / (12 * (total - 1))) * (1.0 / a.n + 1.0 / b.n)) / sqrt(2) AS x FROM s a JOIN s b ON a.g < b.g, t),
+q AS (SELECT g1, g2, least(1.0, ({_TWO_SIDED}) * count(*) OVER ()) AS p FROM z)
+SELECT 'value' AS feature, g1, g2, round(p, 6) AS p, p < 0.05 AS significant FROM q""")
+def dunn_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrected p of each pair of groups, and whether the pair is drawn as different."""
+    pairs = stats.dunn(_event_values(spark, sf_dir))
+    return pairs.select("feature", "g1", "g2", F.round("p", 6).alias("p"), (F.col("p") < 0.05).alias("significant"))
+
+
+_QUARTILES = """WITH v AS (SELECT event_type AS g, value FROM events WHERE value IS NOT NULL),
+q AS (SELECT g, count(*) AS n, min(value) AS least, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, max(value) AS most, avg(value) AS mean, stddev_samp(value) AS deviation FROM v GROUP BY g)
+"""
+
+
+def _raw_event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").filter("value is not null").select(F.lit("value").alias("feature"), F.col("event_type").alias("group"), "value")
+
+
+@query(_QUARTILES + """SELECT 'value' AS feature, g AS "group", n, least, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, most, round(mean, 6) AS mean, round(deviation, 6) AS deviation FROM q""")
+def violin_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.quartiles(_raw_event_values(spark, sf_dir)), "q1", "median", "q3", "mean", "deviation", places=6)
+
+
+@query(_QUARTILES + """, b AS (SELECT g, n, least AS start, (most - least) / 511 AS step, 0.9 * CASE WHEN least(deviation, (q3 - q1) / 1.34) > 0 THEN least(deviation, (q3 - q1) / 1.34) ELSE greatest(deviation, (q3 - q1) / 1.34) END * power(CAST(n AS DOUBLE), -0.2) AS width FROM q),
+c AS (SELECT v.g, (value - start) / step AS pos, CAST(least(floor((value - start) / step), 510) AS INTEGER) AS low FROM v JOIN b ON v.g = b.g),
+w AS (SELECT g, place, sum(w) AS w FROM (SELECT g, low AS place, 1 - (pos - low) AS w FROM c UNION ALL SELECT g, low + 1, pos - low FROM c) GROUP BY g, place),
+p AS (SELECT g, CAST(unnest(range(0, 512)) AS INTEGER) AS place FROM b)
+SELECT 'value' AS feature, p.g AS "group", p.place AS place, round(start + p.place * step, 6) AS x, round(sum(w * exp(-0.5 * power((p.place - w.place) * step / width, 2))) / (n * width * sqrt(2 * pi())), 8) AS density
+FROM p JOIN b ON p.g = b.g JOIN w ON w.g = p.g GROUP BY p.g, p.place, start, step, n, width""")
+def violin_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stats.densities(_raw_event_values(spark, sf_dir))
+    return found.select("feature", "group", "place", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
+
+
 _MEANS = f', m AS (SELECT "group" AS g, {", ".join(f"avg({f}) AS {f}" for f in FEATURES)} FROM cells GROUP BY g)\n'
 
 
@@ -512,6 +563,12 @@ def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(neighbors.knn(points(spark, sf_dir), 10), "d").select("src", "dst", "d", "rank")
 
 
+@query(None)
+def knn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near neighbours by descent; a test holds them against the exact ones."""
+    return rounded(descent.approximate_knn(points(spark, sf_dir), 10), "d")
+
+
 @query(_KNN_SQL + "SELECT id, round(core, 4) AS core FROM core")
 def core_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(neighbors.core_distances(neighbors.knn(points(spark, sf_dir), 10), 5), "core")
