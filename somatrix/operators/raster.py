@@ -196,14 +196,13 @@ def skeleton_features(classed: DataFrame) -> DataFrame:
     """Counts of objects for each image: end points, junctions, branches, initial points. The column named
     total_branches_length is a count too: objects of path pixels joined by edges, plus end points."""
 
-    def objects(kind: str, connectivity: int, name: str) -> DataFrame:
-        found = label_components(classed.filter(F.col("kind") == kind).select("img", "r", "c"), connectivity)
-        return found.groupBy("img").agg(F.countDistinct("label").alias(name))
-
-    whole = classed.select("img").distinct()
-    for kind, connectivity, name in (("end", 4, "end_points"), ("junction", 4, "junctions"), ("path", 8, "branches"), ("initial", 4, "initial_points"), ("path", 4, "path_objects")):
-        whole = whole.join(objects(kind, connectivity, name), "img", "left")
-    whole = whole.na.fill(0)
+    keyed = classed.select(F.struct("img", "kind").alias("img"), "r", "c")  # kinds of one image are labelled apart, at once
+    edges = label_components(keyed.filter("img.kind in ('end', 'junction', 'initial', 'path')"), 4)
+    corners = label_components(keyed.filter("img.kind = 'path'"), 8).withColumn("img", F.struct("img.img", F.lit("branch").alias("kind")))
+    counted = edges.unionByName(corners).groupBy("img").agg(F.countDistinct("label").alias("n")).select("img.img", "img.kind", "n")
+    names = {"end": "end_points", "junction": "junctions", "branch": "branches", "initial": "initial_points", "path": "path_objects"}
+    wide = counted.groupBy("img").agg(*[F.max(F.when(F.col("kind") == kind, F.col("n"))).alias(name) for kind, name in names.items()])
+    whole = classed.select("img").distinct().join(wide, "img", "left").na.fill(0, list(names.values()))
     return whole.withColumn("total_branches_length", F.col("path_objects") + F.col("end_points")).drop("path_objects").withColumn("ratio_branches", F.try_divide(F.col("end_points"), F.col("initial_points")))
 
 

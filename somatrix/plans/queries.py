@@ -121,7 +121,27 @@ def contact_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("img", "kind").agg(F.count("*").alias("pixels"))
 
 
-@query(None)
+#: Objects of ``nodes`` (img, kind, conn, r, c), by recursion: two of one image, kind and connectivity are linked where they touch.
+_WALK = """,
+coded AS (SELECT *, r * 2147483648 + c AS code FROM nodes),
+links AS (SELECT a.img, a.kind, a.conn, a.code AS a, b.code AS b FROM coded a JOIN coded b ON a.img = b.img AND a.kind = b.kind AND a.conn = b.conn AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.conn = 8 OR abs(a.r - b.r) + abs(a.c - b.c) <= 1)),
+walk AS (SELECT img, kind, conn, code, code AS reached FROM coded UNION SELECT w.img, w.kind, w.conn, w.code, l.b FROM walk w JOIN links l ON w.img = l.img AND w.kind = l.kind AND w.conn = l.conn AND w.reached = l.a),
+objects AS (SELECT img, kind, conn, code, CAST(min(reached) AS BIGINT) AS label FROM walk GROUP BY img, kind, conn, code)
+"""
+
+
+def _recursive(select: str) -> str:
+    return _px_sql(select).replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(_recursive(_CLASS + """, body AS (SELECT img, r, c FROM px WHERE v > 0.25),
+band AS (SELECT DISTINCT b.img, b.r + dr.d AS r, b.c + dc.d AS c FROM body b, (VALUES (-1), (0), (1)) dr(d), (VALUES (-1), (0), (1)) dc(d)),
+final AS (SELECT classed.img, classed.r, classed.c, CASE WHEN band.img IS NOT NULL THEN 'initial' ELSE kind END AS kind FROM classed LEFT JOIN band ON classed.img = band.img AND classed.r = band.r AND classed.c = band.c),
+nodes AS (SELECT img, kind, 4 AS conn, r, c FROM final WHERE kind <> 'isolated' UNION ALL SELECT img, kind, 8, r, c FROM final WHERE kind = 'path')""" + _WALK + """,
+n AS (SELECT img, kind, conn, count(DISTINCT label) AS n FROM objects GROUP BY img, kind, conn),
+wide AS (SELECT f.img, coalesce(max(n) FILTER (kind = 'end'), 0) AS end_points, coalesce(max(n) FILTER (kind = 'junction'), 0) AS junctions, coalesce(max(n) FILTER (conn = 8), 0) AS branches,
+  coalesce(max(n) FILTER (kind = 'initial'), 0) AS initial_points, coalesce(max(n) FILTER (kind = 'path' AND conn = 4), 0) AS paths FROM (SELECT DISTINCT img FROM final) f LEFT JOIN n ON f.img = n.img GROUP BY f.img)
+SELECT img, end_points, junctions, branches, initial_points, paths + end_points AS total_branches_length, end_points / nullif(initial_points, 0) AS ratio_branches FROM wide"""))
 def skeleton_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = px(spark, sf_dir)
     classed = materialise(raster.feature_class(foreground(spark, sf_dir, SPARSE), foreground(spark, sf_dir, 0.25), raster.extent(pixels)), "classed")
