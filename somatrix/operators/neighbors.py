@@ -188,6 +188,27 @@ def neighbourhood_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     return each.groupBy(F.col("src").alias("id")).agg((F.sum(F.col("x") * F.col("y")) / F.count("*")).alias("jaccard"))
 
 
+def local_dimension(points: DataFrame, near: DataFrame, share: float = 0.8, lists: int = 128) -> DataFrame:
+    """(id, dimension): how many principal directions of a point's neighbourhood, itself included, hold ``share`` of its variance
+    or more; 0 where all are copies. ``points`` is (id, vec), ``near`` a table of neighbours (src, dst). A task holds the
+    neighbourhoods of about ``lists`` points; a point without neighbours in ``near`` has no row."""
+    kind, groups = dict(points.dtypes)["id"], max(1, -(-near.select("src").distinct().count() // lists))
+    whole = near.select("src", "dst").unionByName(near.select("src", F.col("src").alias("dst"))).distinct()
+    placed = whole.join(points.select(F.col("id").alias("dst"), "vec"), "dst")
+
+    def directions(rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for name, part in rows.groupby("src")["vec"]:
+            x = np.stack(part.to_numpy()).astype(np.float64)
+            held = np.linalg.svd(x - x.mean(axis=0), compute_uv=False) ** 2
+            total = held.sum()
+            found.append((name, int(np.searchsorted(np.cumsum(held), share * total * (1 - 1e-12)) + 1) if total > 1e-24 * max(1.0, (x**2).sum()) else 0))
+        return pd.DataFrame(found, columns=["id", "dimension"])
+
+    at = F.pmod(F.xxhash64("src"), F.lit(groups)).alias("at")
+    return placed.groupBy(at).applyInPandas(directions, f"id {kind}, dimension int")
+
+
 def centroids(points: DataFrame, by: str, columns: tuple[str, ...], noise: int | None = -1) -> DataFrame:
     kept = points if noise is None else points.filter(F.col(by) != noise)
     return kept.groupBy(by).agg(*[F.avg(c).alias(c) for c in columns])

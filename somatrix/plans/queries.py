@@ -589,6 +589,12 @@ def knn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(descent.approximate_knn(points(spark, sf_dir), 10), "d")
 
 
+@query(None)
+def local_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = points(spark, sf_dir)
+    return neighbors.local_dimension(vectors, materialise(neighbors.knn(vectors, 15), "neighbours"))
+
+
 @query(_KNN_SQL + "SELECT id, round(core, 4) AS core FROM core")
 def core_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(neighbors.core_distances(neighbors.knn(points(spark, sf_dir), 10), 5), "core")

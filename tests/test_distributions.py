@@ -79,3 +79,17 @@ def test_memberships(spark):
     closest = near.filter("rank = 1").toPandas().merge(w, on=["src", "dst"])
     assert np.allclose(closest["w"], 1.0)
     assert (w[w["src"] == 900]["w"] == 1).all()
+
+
+def test_local_dimension(spark):
+    """A plane and a line in ten dimensions, and copies."""
+    rng = np.random.default_rng(8)
+    basis = np.linalg.qr(rng.standard_normal((10, 2)))[0]
+    plane, line = rng.random((120, 2)) @ basis.T, 50 + rng.random((40, 1)) * basis[:, 0]
+    x = np.vstack([plane, line, np.full((12, 10), 99.0)])
+    points = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, vec array<double>")
+    near = neighbors.knn(points, 10)
+    found = {r["id"]: r["dimension"] for r in neighbors.local_dimension(points, near, 0.999, lists=20).collect()}
+    assert len(found) == 172
+    assert {found[i] for i in range(120)} == {2} and {found[i] for i in range(120, 160)} == {1} and {found[i] for i in range(160, 172)} == {0}
+    assert neighbors.local_dimension(points, near.filter("false")).count() == 0
