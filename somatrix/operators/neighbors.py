@@ -4,54 +4,133 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from somatrix.operators.graph import components
 from somatrix.tables import materialise
 
-#: Vectors in a block. A task holds two blocks and their distances.
-BLOCK = 2048
+#: Blocks of rows where each then holds ``LEAST`` or more (blocks of columns are half as many), and the bytes of a block's vectors
+#: beyond which there are more. A task holds a block of rows and one of columns, a copy of both, and a tile of their distances.
+BLOCKS, LEAST, BLOCK_BYTES = 16, 640, 32 << 20
+#: Rows of a tile, the columns of a search's first one and of any, and numbers that are subtracted at once.
+ROWS, FIRST, COLUMNS, MEASURED = 512, 512, 4096, 1 << 22
+
+
+def _blocks(n: int, width: int, block: int | None, most: int) -> int:
+    """How many blocks ``n`` vectors of ``width`` numbers make: ``most`` as a rule; at most ``block`` vectors each, about, if that is given."""
+    if block is not None:
+        return max(1, -(-n // block))
+    share = BLOCKS // most
+    return max(1, min(most, -(-n // (LEAST * share))), -(-n // max(1, share * BLOCK_BYTES // (8 * max(1, width)))))
+
+
+def _met(left: DataFrame, right: DataFrame, block: int | None) -> GroupedData:
+    """Rows of both tables (id, vec, ...), grouped by a block of ``left`` and one of ``right``; ``side`` is 0 or 1. While blocks
+    are below their bound their number is fixed, so that each row travels as often, however many there are."""
+    size = F.count("*"), F.max(F.size("vec"))
+    (m, wide), (n, width) = left.agg(*size).first(), right.agg(*size).first()
+    rows, columns = _blocks(m, wide or 1, block, BLOCKS), _blocks(n, width or 1, block, BLOCKS // 2)
+    own = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    one = left.withColumn("a", own(rows)).withColumn("b", every(columns)).withColumn("side", F.lit(0))
+    other = right.withColumn("a", every(rows)).withColumn("b", own(columns)).withColumn("side", F.lit(1))
+    return one.unionByName(other).groupBy("a", "b")
+
+
+def _vectors(table: pa.Table) -> np.ndarray:
+    """The column ``vec`` as a matrix."""
+    flat = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(table.num_rows, -1)
+
+
+class Tiles:
+    """Squared distances between the rows of two matrices, tile by tile, by products in single precision where the numbers allow
+    it, and a bound of what those round off. Both are moved by one vector first, which changes no distance."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y, centre = x, y, x.mean(axis=0)
+        left, right = x - centre, y - centre
+        self.own, self.squares = (left**2).sum(axis=1), (right**2).sum(axis=1)
+        self.kind = np.float32 if 1e-20 < max(self.own.max(), self.squares.max()) < 1e30 else np.float64
+        self.left = np.column_stack([-2 * left, np.ones(len(x))]).astype(self.kind)
+        self.right = np.column_stack([right, self.squares]).astype(self.kind)
+        self.eps = (x.shape[1] + 16) * np.finfo(self.kind).eps
+
+    def rough(self, rows: slice, columns: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances less the rows' ``own``, and each row's bound of their error."""
+        room = self.eps * (self.own[rows] + 2 * self.squares[columns].max()) + 1e-36
+        return self.left[rows] @ self.right[columns].T, room
+
+    def exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i))
+        step = max(1, MEASURED // max(1, self.x.shape[1]))
+        for at in range(0, len(i), step):
+            part = slice(at, at + step)
+            out[part] = np.sqrt(((self.x[i[part]] - self.y[j[part]]) ** 2).sum(axis=1))
+        return out
+
+
+def _nearest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``x``, of ``y``, and distances: the ``k`` nearest rows of ``y`` with another id of each row of ``x``, by distance
+    and then id. ``others``, the ids of ``y``, ascend. A row's bound is the k-th distance found so far."""
+    tiles, out = Tiles(x, y), []
+    for at in range(0, len(x), ROWS):
+        rows = slice(at, min(at + ROWS, len(x)))
+        n = rows.stop - at
+        limit = np.full(n, np.inf)
+        i, j, d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        start = stop = 0
+        while stop < len(y):
+            start, stop = stop, min(stop + min(COLUMNS, max(FIRST, stop)), len(y))  # as many again, with the bound found so far
+            columns, wide = slice(start, stop), stop - start
+            rough, room = tiles.rough(rows, columns)
+            bound = limit - tiles.own[rows] + room
+            begun = np.isposinf(limit)
+            if begun.any() and wide > k:
+                own = np.flatnonzero(begun)
+                first = rough[own].copy()
+                first[ids[rows][own, None] == others[columns]] = np.inf
+                bound[own] = np.partition(first, k - 1, axis=1)[:, k - 1] + 2 * room[own]
+            hit = np.flatnonzero(rough <= bound[:, None].astype(tiles.kind))
+            if not len(hit):
+                continue
+            new_i, new_j = np.divmod(hit, wide)
+            new_j += start
+            apart = ids[at + new_i] != others[new_j]
+            new_i, new_j = new_i[apart], new_j[apart]
+            i, j, d = np.r_[i, new_i], np.r_[j, new_j], np.r_[d, tiles.exact(at + new_i, new_j)]
+            order = np.lexsort((j, d, i))
+            i, j, d = i[order], j[order], d[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j, d, place = (v[place < k] for v in (i, j, d, place))
+            last = place == k - 1
+            limit[i[last]] = np.where(d[last] > 0, d[last] ** 2, -np.inf)  # those that follow have larger ids
+        out.append((at + i, j, d))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
 
 
-def knn(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def knn(points: DataFrame, k: int, block: int | None = None) -> DataFrame:
     """(src, dst, d, rank): the ``k`` nearest other points of each point of ``points`` (id, vec), by Euclidean distance and
     then id.
 
-    Exact search compares all points, in blocks: the work is quadratic, no task holds more than two blocks, and each
-    pair of blocks hands on at most ``k`` candidates a point, which a window then ranks."""
-    n = points.count()
-    blocks = max(1, -(-n // block))
-    keyed = points.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    left = keyed.select("id", "vec", F.col("block").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(0).alias("side"))
-    right = keyed.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("a"), F.col("block").alias("b"), F.lit(1).alias("side"))
-
-    def nearest(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        ours, theirs = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        if not len(ours) or not len(theirs):
-            return pd.DataFrame({"src": [], "dst": [], "d": []})
-        x, y = (np.stack(side["vec"].to_numpy()).astype(np.float64) for side in (ours, theirs))
-        ours_id, theirs_id = ours["id"].to_numpy(), theirs["id"].to_numpy()
-        squares, out = (y**2).sum(axis=1), []
-        for at in range(0, len(x), 256):
-            part, names = x[at : at + 256], ours_id[at : at + 256]
-            own = (part**2).sum(axis=1)
-            rough = own[:, None] + squares - 2 * part @ y.T
-            rough[names[:, None] == theirs_id] = np.inf
-            most = min(k, len(y))
-            # no farther than the k-th, with room for what the products round off; then measured point by point
-            limit = np.partition(rough, most - 1, axis=1)[:, most - 1] + 1e-9 * (own + squares.max())
-            i, j = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
-            d = np.sqrt(((part[i] - y[j]) ** 2).sum(axis=1))
-            order = np.lexsort((theirs_id[j], d, i))
-            i, j, d = i[order], j[order], d[order]
-            kept = np.arange(len(i)) - np.searchsorted(i, i) < k
-            out.append(pd.DataFrame({"src": names[i[kept]], "dst": theirs_id[j[kept]], "d": d[kept]}))
-        return pd.concat(out)
-
-    kind = dict(points.dtypes)["id"]
-    candidates = left.unionByName(right).groupBy("a", "b").applyInPandas(nearest, f"src {kind}, dst {kind}, d double")
+    Exact search compares all points, in blocks: the work is quadratic, no task holds more than two blocks. Each pair of blocks
+    hands on at most ``k`` candidates a point, which a window then ranks. Rows that travel grow with the points, and with their
+    square only once blocks have reached their bound (a million points of 64 numbers)."""
+
+    def nearest(rows: pa.Table) -> pa.Table:
+        ours, theirs = (rows.filter(pc.equal(rows["side"], side)) for side in (0, 1))
+        if not ours.num_rows or not theirs.num_rows:
+            return pa.table([ours["id"][:0], theirs["id"][:0], pa.array([], pa.float64())], ["src", "dst", "d"])
+        theirs = theirs.sort_by("id")
+        ids, others = (side["id"].to_numpy() for side in (ours, theirs))
+        i, j, d = _nearest(_vectors(ours), ids, _vectors(theirs), others, k)
+        return pa.table([ours["id"].take(pa.array(i)), theirs["id"].take(pa.array(j)), pa.array(d)], ["src", "dst", "d"])
+
+    kind, slim = dict(points.dtypes)["id"], points.select("id", "vec")
+    candidates = _met(slim, slim, block).applyInArrow(nearest, f"src {kind}, dst {kind}, d double").repartition("src")
     ranked = candidates.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d", "dst")))
     return ranked.filter(F.col("rank") <= k)
 
@@ -91,57 +170,72 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
     return taken.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w")
 
 
-def lightest_between(points: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(u, v, w, part, other): for each part of ``points`` (id, vec, core, part) its edge of least mutual reachability to another
-    part, ties by the ends' ids, u < v. Exact: all points are compared, in blocks, as in ``knn``; each pair of blocks hands on
-    one edge a part."""
-    blocks = max(1, -(-points.count() // block))
-    keyed = points.select("id", "vec", "core", "part", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = keyed.select("id", "vec", "core", "part", F.col("block").alias("a"), every.alias("b"), F.lit(0).alias("side"))
-    right = keyed.select("id", "vec", "core", "part", every.alias("a"), F.col("block").alias("b"), F.lit(1).alias("side"))
-
-    def lightest(rows: pd.DataFrame) -> pd.DataFrame:
-        ours, theirs = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        out = [pd.DataFrame({"u": [], "v": [], "w": [], "part": [], "other": []})]
-        if len(ours) and len(theirs):
-            x, y = (np.stack(side["vec"].to_numpy()).astype(np.float64) for side in (ours, theirs))
-            core_x, core_y = ours["core"].to_numpy(), theirs["core"].to_numpy()
-            id_x, id_y, part_x, part_y = ours["id"].to_numpy(), theirs["id"].to_numpy(), ours["part"].to_numpy(), theirs["part"].to_numpy()
-            squares = (y**2).sum(axis=1)
-            for at in range(0, len(x), 256):
-                own = (x[at : at + 256] ** 2).sum(axis=1)
-                rough = own[:, None] + squares - 2 * x[at : at + 256] @ y.T
-                rough = np.maximum(np.maximum(rough, core_x[at : at + 256, None] ** 2), core_y**2)
-                rough[part_x[at : at + 256, None] == part_y] = np.inf
-                limit = rough.min(axis=1) + 1e-9 * (own + squares.max())  # room for what the products round off
-                i, j = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
-                i += at
-                w = np.maximum(np.maximum(np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1)), core_x[i]), core_y[j])
-                low = id_x[i] < id_y[j]
-                found = pd.DataFrame({"u": np.where(low, id_x[i], id_y[j]), "v": np.where(low, id_y[j], id_x[i]), "w": w, "part": part_x[i], "other": part_y[j]})
-                out.append(found.sort_values(["w", "u", "v"]).drop_duplicates("part"))
-        return pd.concat(out[1:] or out).sort_values(["w", "u", "v"]).drop_duplicates("part")
+def _lightest(ours: pa.Table, theirs: pa.Table) -> pd.DataFrame:
+    """(u, v, w, part, other): of each part of ``ours`` (id, vec, core, part) its lightest edge to another part in ``theirs``."""
+    tiles = Tiles(_vectors(ours), _vectors(theirs))
+    core_x, id_x, of_x = (ours[c].to_numpy() for c in ("core", "id", "part"))
+    core_y, id_y, of_y = (theirs[c].to_numpy() for c in ("core", "id", "part"))
+    names, number = np.unique(np.r_[of_x, of_y], return_inverse=True)
+    part_x, part_y = number[: len(of_x)], number[len(of_x) :]
+    best, out = np.full(len(names), np.inf), [pd.DataFrame({"u": id_x[:0], "v": id_x[:0], "w": [], "part": of_x[:0], "other": of_x[:0]})]
+    for at in range(0, len(id_x), ROWS):
+        for start in range(0, len(id_y), COLUMNS):
+            x, y = slice(at, min(at + ROWS, len(id_x))), slice(start, min(start + COLUMNS, len(id_y)))
+            rough, room = tiles.rough(x, y)
+            reach, least = core_y[y] ** 2, core_x[x] ** 2
+            room = room + tiles.eps * np.maximum(least, reach.max())
+            rough += tiles.own[x, None].astype(tiles.kind)
+            np.maximum(rough, reach.astype(tiles.kind), out=rough)
+            np.maximum(rough, least.astype(tiles.kind)[:, None], out=rough)
+            rough[part_x[x, None] == part_y[y]] = np.inf
+            limit = np.minimum(rough.min(axis=1) + room, best[part_x[x]] ** 2) + room  # a part's best edge so far bounds all its rows
+            i, j = np.nonzero((rough <= limit.astype(tiles.kind)[:, None]) & np.isfinite(rough))
+            i, j = i + at, j + start
+            w = np.maximum(np.maximum(tiles.exact(i, j), core_x[i]), core_y[j])
+            np.minimum.at(best, part_x[i], w)
+            kept = w <= best[part_x[i]]
+            i, j, w = i[kept], j[kept], w[kept]
+            low = id_x[i] < id_y[j]
+            found = pd.DataFrame({"u": np.where(low, id_x[i], id_y[j]), "v": np.where(low, id_y[j], id_x[i]), "w": w, "part": of_x[i], "other": of_y[j]})
+            out.append(found.sort_values(["w", "u", "v"]).drop_duplicates("part"))
+    return pd.concat(out[1:] or out).sort_values(["w", "u", "v"]).drop_duplicates("part")
+
+
+def lightest_between(points: DataFrame, but: object = None, block: int | None = None) -> DataFrame:
+    """(u, v, w, part, other): for each part of ``points`` (id, vec, core, part), ``but`` that one, its edge of least mutual
+    reachability to another part, ties by the ends' ids, u < v. Exact: the points of these parts are compared with all, in
+    blocks, as in ``knn``; each pair of blocks hands on one edge a part."""
+    slim = points.select("id", "vec", "core", "part")
+
+    def lightest(rows: pa.Table) -> pa.Table:
+        ours, theirs = (rows.filter(pc.equal(rows["side"], side)) for side in (0, 1))
+        kinds = [("u", rows["id"].type), ("v", rows["id"].type), ("w", pa.float64()), ("part", rows["part"].type), ("other", rows["part"].type)]
+        if not ours.num_rows or not theirs.num_rows:
+            return pa.schema(kinds).empty_table()
+        return pa.Table.from_pandas(_lightest(ours, theirs), pa.schema(kinds), preserve_index=False)
 
     kind, part = dict(points.dtypes)["id"], dict(points.dtypes)["part"]
-    each = left.unionByName(right).groupBy("a", "b").applyInPandas(lightest, f"u {kind}, v {kind}, w double, part {part}, other {part}")
+    asked = slim if but is None else slim.filter(F.col("part") != but)
+    each = _met(asked, slim, block).applyInArrow(lightest, f"u {kind}, v {kind}, w double, part {part}, other {part}")
     return each.groupBy("part").agg(F.min(F.struct("w", "u", "v", "other")).alias("e")).select("e.u", "e.v", "e.w", "part", "e.other")
 
 
 def spanning_tree(points: DataFrame, near: DataFrame, samples: int) -> DataFrame:
     """(src, dst, w): the minimum spanning forest of mutual reachability over ``near``, and where that leaves parts of
     ``points`` (id, vec) apart, the lightest edges that join them: rounds of an exact search among all points, each of which
-    at least halves the parts."""
+    at least halves the parts. The largest part doesn't search: the others' edges join all parts as well, and only theirs
+    are compared with all points."""
     cores = materialise(core_distances(near, samples), "cores")
     tree = materialise(minimum_spanning_forest(mutual_reachability(near, cores)), "forest")
     parts = components(tree.select("src", "dst")).select(F.col("node").alias("id"), F.col("root").alias("part"))
     known = points.select("id", "vec").join(cores, "id", "left").join(parts, "id", "left")
     known = materialise(known.select("id", "vec", F.coalesce("core", F.lit(0.0)).alias("core"), F.coalesce("part", "id").alias("part")), "parts")
     while known.select("part").distinct().limit(2).count() > 1:
-        best = materialise(lightest_between(known), "lightest")
+        largest = known.groupBy("part").agg(F.count("*").alias("n")).agg(F.max_by("part", F.struct("n", "part"))).first()[0]
+        best = materialise(lightest_between(known, largest), "lightest")
         tree = tree.unionByName(best.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w").distinct())
         roots = components(best.select("part", "other")).withColumnRenamed("node", "part")
-        known = materialise(known.join(roots, "part").select("id", "vec", "core", F.col("root").alias("part")), "parts")
+        known = materialise(known.join(roots, "part", "left").select("id", "vec", "core", F.coalesce("root", "part").alias("part")), "parts")
     return tree
 
 
