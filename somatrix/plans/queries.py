@@ -602,7 +602,7 @@ def core_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_KNN_SQL + "SELECT src, dst, round(greatest(d, a.core, b.core), 4) AS w FROM nn JOIN core a ON src = a.id JOIN core b ON dst = b.id")
 def mutual_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = neighbors.knn(points(spark, sf_dir), 10)
+    near = materialise(neighbors.knn(points(spark, sf_dir), 10), "neighbours")  # read three times
     return rounded(neighbors.mutual_reachability(near, neighbors.core_distances(near, 5)), "w")
 
 
