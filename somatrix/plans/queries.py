@@ -627,7 +627,7 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_KNN_SQL + """, even AS (SELECT src, dst FROM nn WHERE rank <= 5), both_ AS (SELECT src, dst, max(x) AS x, max(y) AS y FROM (SELECT src, dst, 1 AS x, 0 AS y FROM nn UNION ALL SELECT src, dst, 0, 1 FROM even) GROUP BY src, dst)
 SELECT src AS id, round(sum(x * y) / count(*), 6) AS jaccard FROM both_ GROUP BY src""")
 def neighborhood_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = neighbors.knn(points(spark, sf_dir), 10)
+    near = materialise(neighbors.knn(points(spark, sf_dir), 10), "neighbours")  # read twice
     return rounded(neighbors.neighbourhood_jaccard(near, near.filter("rank <= 5")), "jaccard", places=6)
 
 

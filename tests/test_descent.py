@@ -1,6 +1,7 @@
 """Approximate neighbours against the exact table."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +53,61 @@ def test_none_one_and_fewer_than_k(spark):
     assert descent.approximate_knn(frame(spark, []), 3).count() == 0
     assert descent.approximate_knn(frame(spark, [[1.0, 2.0]]), 3).count() == 0
     assert descent.approximate_knn(frame(spark, [[1.0], [2.0], [4.0]]), 9).count() == 6
+
+
+@pytest.mark.parametrize("shape", ["spread", "offset", "copies", "grid", "outlier", "tiny", "huge"])
+def test_exact_neighbours_by_tiles(monkeypatch, shape):
+    """Tiles of products in single precision rule out no neighbour: those of all pairs measured one by one, ties by id."""
+    monkeypatch.setattr(neighbors, "ROWS", 32)
+    monkeypatch.setattr(neighbors, "FIRST", 8)
+    monkeypatch.setattr(neighbors, "COLUMNS", 64)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 6))
+    if shape == "grid":
+        x = rng.integers(0, 3, (300, 6)).astype(float)
+    elif shape == "copies":
+        x[40:200] = x[40]
+    elif shape == "outlier":
+        x[7] *= 1e7
+    x = x * {"tiny": 1e-30, "huge": 1e40}.get(shape, 1) + (1e6 if shape == "offset" else 0)
+    ids = np.arange(300) * 3
+    i, j, d = neighbors._nearest(x[:250], ids[:250], x, ids, 5)
+    for at in range(250):
+        every = np.sqrt(((x[at] - x) ** 2).sum(axis=1))
+        want = [b for b in np.lexsort((ids, every)) if b != at][:5]
+        assert j[i == at].tolist() == want and d[i == at].tolist() == every[want].tolist()
+
+
+def test_rows_travel_as_often_however_many(spark):
+    """Rows that meet in blocks grow with the points, up to the bound of a block's memory."""
+    def travelled(n):
+        points = spark.range(n).select("id", F.array(F.col("id").cast("double")).alias("vec"))
+        met = neighbors._met(points, points, None).applyInArrow(lambda t: pa.table({"n": [t.num_rows]}), "n long")
+        return met.agg(F.sum("n")).first()[0] / n
+
+    assert travelled(12_000) == travelled(48_000) <= 24
+    assert neighbors._blocks(600_000, 64, None, neighbors.BLOCKS) == neighbors.BLOCKS
+    assert neighbors._blocks(10_000_000, 64, None, neighbors.BLOCKS) > neighbors.BLOCKS
+
+
+@pytest.mark.parametrize("name", ["mutual_reach", "neighborhood_jaccard"])
+def test_neighbours_are_searched_once(spark, sf_dir, name):
+    """Queries that read the neighbours more than once read a stored table."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsIn" not in plan
+
+
+def test_lightest_edges_between_parts(spark):
+    """Each part's least mutual reachability to another, but that of the part that doesn't search."""
+    rng = np.random.default_rng(9)
+    x, core, part = rng.integers(0, 9, (240, 3)).astype(float), rng.integers(0, 3, 240).astype(float), rng.integers(0, 5, 240)
+    rows = [(i, v.tolist(), float(c), int(p)) for i, (v, c, p) in enumerate(zip(x, core, part, strict=True))]
+    found = neighbors.lightest_between(spark.createDataFrame(rows, "id long, vec array<double>, core double, part long"), 3, block=50)
+    w = np.maximum(np.maximum(np.sqrt(((x[:, None] - x) ** 2).sum(axis=2)), core), core[:, None])
+    want = set()
+    for p in (0, 1, 2, 4):
+        best, u, v = min((w[i, j], min(i, j), max(i, j)) for i in np.flatnonzero(part == p) for j in np.flatnonzero(part != p))
+        want.add((u, v, best, p, part[v] if part[u] == p else part[u]))
+    assert {tuple(r) for r in found.collect()} == want
