@@ -10,7 +10,8 @@ for similar sets of m and n these are (m + n) / 9 at most. What passes is compar
 A list of one shingle's documents isn't listed pair by pair. In each round a few of its documents, drawn by a hash, are
 compared with all others of it that aren't joined to them yet, as long as a round halves the pairs that are left apart.
 Of a list that keeps many of them, the sketches are then compared in blocks of documents against blocks, inside tasks,
-which give the pairs that sketches allow and no others.
+which give the pairs that sketches allow and no others: first only a forest of these, fewer than documents, so that a group
+of near copies is joined without all its pairs, then what nothing joins yet.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ ORDER_DOCUMENTS, COMMON, MOST_COMMON = 50_000, 3, 200_000
 #: Documents of a list that a round compares with the others; how many pairs left apart, for each of its rows, a list may
 #: have that are listed; and documents of a block.
 HUBS, APART, BLOCK = 2, 8, 512
-#: 64-bit numbers of a sketch.
+#: Passes in which blocks give a forest of the pairs that sketches allow, before all that are left are given.
+FORESTS = 2
+#: 64-bit numbers of a sketch. Sets of more shingles than it has bits have a fine one as well.
 SKETCH = 16
 MIX = np.random.default_rng(5).integers(0, 2**63, WIDTH + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -92,21 +95,36 @@ def shingle_sets(slim: DataFrame) -> DataFrame:
     return slim.select("key", "text").mapInArrow(run, "key long, n long, shingles array<long>")
 
 
+def parities(shingles: np.ndarray, longs: int) -> np.ndarray:
+    """A bit for each class of hashes, set where the set has an odd number of them."""
+    odd = np.bincount((shingles % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def fine_size(n: int) -> int:
+    """64-bit numbers of a fine sketch: bits for every shingle, to the next power of two; 0 where the usual one has as many."""
+    longs = SKETCH
+    while 64 * longs < n:
+        longs *= 2
+    return longs if longs > SKETCH else 0
+
+
 def sketches(slim: DataFrame) -> DataFrame:
-    """(key, n, sketch) of rows (key, text): the size of the shingle set, and its parities as an array of longs."""
+    """(key, n, sketch, fine) of rows (key, text): the size of the shingle set, and its parities as arrays of longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            found, sizes = [], []
+            found, fine, sizes = [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py())
-                odd = np.bincount((s % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
-                found.append(np.packbits(odd.astype(bool)).view(np.int64))
+                longs = fine_size(len(s))
+                found.append(parities(s, SKETCH))
+                fine.append(parities(s, longs) if longs else np.empty(0, np.int64))
                 sizes.append(len(s))
-            columns = [batch.column("key"), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "sketch"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, fine)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int64()), *lists], ["key", "n", "sketch", "fine"])
 
-    return slim.select("key", "text").mapInArrow(run, "key long, n long, sketch array<long>")
+    return slim.select("key", "text").mapInArrow(run, "key long, n long, sketch array<long>, fine array<long>")
 
 
 def _common(slim: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -225,39 +243,69 @@ def _apart(rooted: DataFrame) -> DataFrame:
     return each.groupBy("s").agg(((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).alias("apart"), F.sum("n").alias("k"))
 
 
-def _near_by_sketch(group: pa.Table) -> pa.Table:
-    """Pairs of a block's documents with another's, or with each other, that aren't joined and that sketches allow."""
+def _fine_differ(one: np.ndarray, other: np.ndarray) -> int:
+    """In how many bits two fine sketches differ, the longer one folded to the length of the shorter one."""
+    while len(one) > len(other):
+        one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+    while len(other) > len(one):
+        other = other[: len(other) // 2] ^ other[len(other) // 2 :]
+    return int(np.bitwise_count((one ^ other).view(np.uint64)).sum(dtype=np.int64))  # of signed numbers it counts the absolute value's
+
+
+def _near_by_sketch(group: pa.Table, forest: bool) -> pa.Table:
+    """Pairs of a block's documents with another's, or with each other, that aren't joined and that sketches allow; as a
+    ``forest`` only those that join what those before leave apart."""
     key, n, root, block = (group[c].to_numpy() for c in ("key", "n", "root", "block"))
     sketch = group["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(key), SKETCH)
+    fine = group["fine"].combine_chunks()
+    bits, starts = fine.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(fine.value_lengths().to_numpy())]
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in top:
+            if top[x] in top:
+                top[x] = top[top[x]]
+            x = top[x]
+        return x
+
     one = np.flatnonzero(block == group["low"][0].as_py())
     two = np.flatnonzero(block == group["high"][0].as_py())
-    a, b = [], []
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i in one:
         differ = np.bitwise_count(sketch[two] ^ sketch[i]).sum(axis=1, dtype=np.int64)
         may = (root[two] != root[i]) & (UNDER * np.minimum(n[two], n[i]) >= OVER * np.maximum(n[two], n[i]))
-        near = key[two][may & ((OVER + UNDER) * differ <= n[two] + n[i])]
+        near = two[may & ((OVER + UNDER) * differ <= n[two] + n[i])]
+        kept = np.ones(len(near), bool)
+        own = bits[starts[i] : starts[i + 1]]
+        for at, j in enumerate(near.tolist()):
+            x, y = (find(int(root[i])), find(int(root[j]))) if forest else (0, 1)
+            other = bits[starts[j] : starts[j + 1]]
+            kept[at] = x != y and (not len(own) or not len(other) or (OVER + UNDER) * _fine_differ(own, other) <= n[i] + n[j])
+            if forest and kept[at]:
+                top[x] = y
+        near = key[near[kept]]
         a.append(np.minimum(near, key[i]))
         b.append(np.maximum(near, key[i]))
-    a, b = np.concatenate(a), np.concatenate(b)
-    found = np.unique(np.stack([a, b]), axis=1)
+    found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
     return pa.table({"a": found[0], "b": found[1]})
 
 
-def pairs_left(rooted: DataFrame, sketched: DataFrame) -> DataFrame:
+def pairs_left(rooted: DataFrame, sketched: DataFrame, forest: bool = False) -> DataFrame:
     """(a, b): pairs of documents of one list (s, key, n, at, root) that nothing joins yet, all that can be similar.
 
-    Lists with few such pairs are joined with themselves. Of the others each document's sketch goes to as many tasks as
+    Lists with few such pairs are joined with themselves. Of the others each document's sketches go to as many tasks as
     the list has blocks, to be compared there: the work is the square of a list's documents, the rows are so over
-    ``BLOCK``, and what comes out are near pairs.
+    ``BLOCK``, and what comes out are near pairs. As a ``forest`` they are fewer than a task's documents, and lists with
+    few pairs give none.
     """
     counts = materialise(_apart(rooted).filter("apart > 0"), "near_apart")
     few = counts.filter(F.col("apart") <= APART * F.col("k")).select("s")
     many = counts.filter(F.col("apart") > APART * F.col("k")).select("s", F.ceil(F.col("k") / BLOCK).alias("blocks"))
     large = rooted.select("s", "key", "root").join(many, "s").join(sketched, "key")
     large = large.withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select("s", "key", "n", "root", "block", "sketch", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    near = large.groupBy("s", "low", "high").applyInArrow(_near_by_sketch, "a long, b long")
-    return _pairs_apart(rooted.join(few, "s", "left_semi")).unionByName(near)
+    large = large.select("s", "key", "n", "root", "block", "sketch", "fine", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    near = large.groupBy("s", "low", "high").applyInArrow(lambda group: _near_by_sketch(group, forest), "a long, b long")
+    return near if forest else _pairs_apart(rooted.join(few, "s", "left_semi")).unionByName(near)
 
 
 def similar_groups(lists: DataFrame, texts: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -280,4 +328,8 @@ def similar_groups(lists: DataFrame, texts: DataFrame, candidates: DataFrame) ->
         before, turn = apart, turn + 1
     if not apart:
         return roots
+    for _ in range(FORESTS):
+        links = links.unionByName(similar(pairs_left(rooted, sketched, forest=True), texts, sketched))
+        earlier, rooted = rooted, materialise(_rooted(lists, components(links)), "near_rooted")
+        release(earlier)
     return components(links.unionByName(similar(pairs_left(rooted, sketched), texts, sketched)))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from somatrix.llm import near_text, simhash
@@ -99,3 +100,33 @@ def test_lists_of_unlike_documents_are_compared_in_blocks(spark, monkeypatch):
     assert lists.groupBy("s").count().agg(F.max("count")).first()[0] > 25 and len(pairs) < 50
     assert len(gone) >= 10 and {(i - 1, i) for i in gone} <= pairs
     assert sorted(r["doc_id"] for r in simhash.near_dedup(docs).collect()) == want
+
+
+def test_near_copies_of_a_list_give_a_forest(spark, monkeypatch):
+    """A group of near copies that nothing joins yet gives fewer pairs than documents, and the whole job the same rows."""
+    monkeypatch.setattr(near_text, "COMMON", 10**9)
+    monkeypatch.setattr(near_text, "APART", 0)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    table = [(i, " ".join(edited(rng, base, 2))) for i in range(60)]
+    docs = spark.createDataFrame(table, SCHEMA)
+    texts = docs.select(F.col("doc_id").alias("key"), "text")
+    lists = near_text.prefix_lists(texts).withColumn("root", F.col("key"))
+    groups, documents = lists.groupBy("s").count().filter("count > 1").agg(F.count("*"), F.sum("count")).first()
+    assert near_text.pairs_left(lists, near_text.sketches(texts), forest=True).count() <= documents - groups
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(docs).collect()) == brute_kept(table)
+
+
+def test_fine_sketches_tell_long_texts_apart():
+    """Fine sketches never differ in more bits than sets in shingles, whatever their sizes, and don't fill up."""
+    rng = np.random.default_rng(2)
+    shared = rng.integers(0, 2**63, 6000, dtype=np.uint64)
+    for own in (50, 400, 1500, 4000):
+        one, other = (np.unique(np.r_[shared, rng.integers(0, 2**63, k, dtype=np.uint64)]) for k in (own, own + 900))
+        fine = [near_text.parities(x, near_text.fine_size(len(x))) for x in (one, other)]
+        assert near_text._fine_differ(*fine) <= len(np.setxor1d(one, other))
+    one, other = (np.unique(rng.integers(0, 2**63, 6000, dtype=np.uint64)) for _ in range(2))
+    coarse = [near_text.parities(x, near_text.SKETCH) for x in (one, other)]
+    fine = [near_text.parities(x, near_text.fine_size(len(x))) for x in (one, other)]
+    assert 9 * near_text._fine_differ(*coarse) <= len(one) + len(other) < 9 * near_text._fine_differ(*fine)
+    assert near_text.fine_size(1024) == 0 and near_text.fine_size(1025) == 32
