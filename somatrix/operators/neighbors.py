@@ -118,7 +118,7 @@ def knn(points: DataFrame, k: int, block: int | None = None) -> DataFrame:
 
     Exact search compares all points, in blocks: the work is quadratic, no task holds more than two blocks. Each pair of blocks
     hands on at most ``k`` candidates a point, which a window then ranks. Rows that travel grow with the points, and with their
-    square only once blocks have reached their bound (a million points of 64 numbers)."""
+    square only once blocks have reached their bound (about a million points of 64 numbers)."""
 
     def nearest(rows: pa.Table) -> pa.Table:
         ours, theirs = (rows.filter(pc.equal(rows["side"], side)) for side in (0, 1))
