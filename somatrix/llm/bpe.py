@@ -30,7 +30,10 @@ from somatrix.tables import table
 
 #: Chunks that a memo holds at most, the longest chunk that it takes, pairs of tokens and edges of tokens that
 #: other memos hold, and bytes of text in an output batch.
-MEMO, LONGEST, PAIRS, EDGES, PIECE = 200_000, 48, 200_000, 100_000, 2 << 20
+MEMO, LONGEST, PAIRS, EDGES, PIECE = 600_000, 48, 400_000, 100_000, 2 << 20
+#: Of chunks whose characters all come before this one it is known without the pattern's library whether they are letters:
+#: both know the same ones.
+LATIN = "\u0250"
 #: Above every rank.
 NEVER = 1 << 60
 #: In the tables of halves: not looked up yet, and none.
@@ -48,7 +51,7 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
 
 
 class Memo(dict):
-    """Encodings of short chunks, ``MEMO`` at most, some 40 MB as a rule. When half of that is new, what wasn't asked for
+    """Encodings of short chunks, ``MEMO`` at most, some 120 MB as a rule. When half of that is new, what wasn't asked for
     since the last time is forgotten."""
 
     def __init__(self, f):
@@ -67,15 +70,18 @@ class Memo(dict):
 
 
 class Pairs(dict):
-    """Results by pair of numbers; forgets all when it holds ``most``."""
+    """Results by pair of numbers, or by one number that stands for a pair, ``most`` of them. When half of that is new, what
+    wasn't asked for since the last time is forgotten."""
 
     def __init__(self, f, most: int):
-        self.f, self.most = f, most
+        self.f, self.most, self.older = f, most, {}
 
-    def __missing__(self, key: tuple[int, int]):
-        if len(self) >= self.most:
+    def __missing__(self, key):
+        out = self.older[key] if key in self.older else self.f(key)
+        if len(self) >= self.most // 2:
+            self.older = dict(self)
             self.clear()
-        out = self[key] = self.f(key)
+        self[key] = out
         return out
 
 
@@ -84,7 +90,7 @@ class ByteBPE:
 
     def __init__(self, ranks: list[tuple[bytes, int]], pattern: str):
         self.rank = dict(ranks)
-        places = max(self.rank.values()) + 1
+        self.places = places = max(self.rank.values()) + 1
         self.token, self.size = [b""] * places, [0] * places
         self.pieces = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -94,9 +100,10 @@ class ByteBPE:
         self.automaton.make_automaton()
         self.shorter = [self._shorter(token) for token in self.token]
         self.halves = array("i", [UNKNOWN]) * places, array("i", [UNKNOWN]) * places
-        self.edges, self.fits = Pairs(self._edge, EDGES), Pairs(self._fits, PAIRS)
+        self.edges, self.follow = Pairs(self._edge, EDGES), Pairs(self._follow, PAIRS)
         self.piece = Memo(self._piece)
-        self.spaced = Memo(lambda chunk: self._chunk(" " + chunk))
+        self.spaced = Memo(self._spaced)
+        self.one_piece = r" ?\p{L}+" in pattern.split("|") and all(self.pieces.findall(x) == [x] for x in (" a", " \u00e9t\u00c9\u0142", " Zz" + "aB\u00aa\u01c5\u024f" * 40))
 
     def _shorter(self, token: bytes) -> int | None:
         """The longest token that is a proper prefix of this one."""
@@ -149,44 +156,74 @@ class ByteBPE:
             else:
                 j += 1
 
+    def _follow(self, pair: int) -> int | None:
+        """The longest token that goes with the one before it, of the second of a pair (``places`` times the first one's rank, and
+        the second's) and its own prefixes."""
+        left, right = divmod(pair, self.places)
+        while right is not None and not self._fits((left, right)):
+            right = self.shorter[right]
+        return right
+
     def _piece(self, text: str) -> bytes:
-        """The encoding of one piece: the longest matches where all of them go together, else by backtracking."""
+        """The encoding of one piece: the longest matches as far as they go together, then by backtracking."""
         raw = text.encode()
         whole = self.rank.get(raw)
         if whole is not None:
             return struct.pack("<I", whole)
-        size, fits, shorter = self.size, self.fits, self.shorter
-        n, letters = len(raw), raw.decode("latin-1")
-        greedy = [rank for _, rank in self.automaton.iter_long(letters)]
-        if sum(map(size.__getitem__, greedy)) == n and all(map(fits.__getitem__, pairwise(greedy))):
-            return struct.pack(f"<{len(greedy)}I", *greedy)
-        longest: list[int | None] = [None] * n
-        for end, rank in self.automaton.iter(letters):
-            longest[end + 1 - size[rank]] = rank  # a later end is a longer token
+        size, follow, shorter, places = self.size, self.follow, self.shorter, self.places
+        n, letters, matches = len(raw), raw.decode("latin-1"), self.automaton.iter_long
         out: list[int] = []
-        at, closed, token = 0, bytearray(n + 1), longest[0]
+        at, before, token = 0, -1, None
+        for end, token in matches(letters):
+            if end - size[token] != at - 1:  # bytes that no token begins with were skipped
+                token = None
+                break
+            if before >= 0 and follow[before + token] != token:
+                break
+            out.append(token)
+            at, before = end + 1, token * places
+        else:
+            token = None
+        if at == n:
+            return struct.pack(f"<{len(out)}I", *out)
+        closed: list[int] = []
         while at < n:
             while token is not None:
-                end = at + size[token]
-                if not closed[end] and (not out or fits[out[-1], token]):
+                if out:
+                    token = follow[out[-1] * places + token]
+                if not closed or token is None or at + size[token] not in closed:
                     break
                 token = shorter[token]
             if token is None:
                 if not out:
                     raise ValueError(f"the vocabulary can't encode {raw!r}")
-                closed[at] = 1
+                closed.append(at)
                 last = out.pop()
                 at -= size[last]
                 token = shorter[last]
             else:
                 out.append(token)
-                at = end
-                token = longest[at] if at < n else None
+                at += size[token]
+                if at < n:
+                    end, token = next(matches(letters, at), (at, None))
+                    if token is not None and end + 1 - size[token] != at:
+                        token = None
         return struct.pack(f"<{len(out)}I", *out)
 
     def _chunk(self, text: str) -> bytes:
         return b"".join(map(self.piece.__getitem__, self.pieces.findall(text)))
 
+    def _spaced(self, chunk: str) -> bytes:
+        """The encoding of a space and a chunk. If the pattern takes a space and letters as one piece, they aren't cut again; a piece
+        that follows from a space is remembered once."""
+        if self.one_piece and chunk.isalpha() and max(chunk) < LATIN:
+            return self._piece(" " + chunk)
+        first, *rest = self.pieces.findall(" " + chunk) or [""]
+        if not rest:
+            return self._piece(first)
+        begin = self.spaced[first[1:]] if self.one_piece and first[0] == " " and first[1:].isalpha() else self.piece[first]
+        return begin + b"".join(map(self.piece.__getitem__, rest))
+
     #: Before a space between two characters that aren't white space, every piece of such a pattern ends.
     BREAK = regex.compile(r"(?<=\S)(?= \S)")
     DOUBLE = re.compile(r"\s\s")

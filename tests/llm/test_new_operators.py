@@ -245,3 +245,20 @@ def test_manifest_of_one_and_of_none(spark):
     one = merkle.manifest(rows).first()
     assert (one["path"], one["subroot"], one["root"]) == ([], "l", "l")
     assert merkle.manifest(rows.filter(F.lit(False))).count() == 0
+
+
+def test_bpe_words_between_spaces_are_encoded_and_remembered_once():
+    import numpy as np
+    import tiktoken
+
+    ranks, rng = bpe.read_ranks(PATH), random.Random(6)
+    model, letters = bpe.ByteBPE(ranks, PATTERN), "abcdeghilnorstéÉłªǅɏжЖ漢"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=dict(ranks), special_tokens={})
+    for mark in ("", ",", "'s", "7"):
+        text = " ".join(word + mark for word in ["", *words])
+        assert np.frombuffer(model.encode(text), "<u4").tolist() == own.encode_ordinary(text)
+    assert set(words[1:]) <= {**model.spaced.older, **model.spaced}.keys()
+    assert not any(f" {word}" in model.piece for word in words)  # a word with a mark behind it is the word that stands alone
+    halves = bpe.ByteBPE(ranks, PATTERN.replace(r" ?\p{L}+", r" ?\p{L}{1,4}"))
+    assert not halves.one_piece and halves.encode(" abcdefgh") != model.encode(" abcdefgh")
