@@ -34,8 +34,9 @@ OVER, UNDER = 4, 5
 #: Documents, about, whose shingles are counted for the order; how many make one common; and the most that are remembered.
 ORDER_DOCUMENTS, COMMON, MOST_COMMON = 50_000, 3, 200_000
 #: Documents of a list that a round compares with the others; how many pairs left apart, for each of its rows, a list may
-#: have that are listed; and documents of a block.
-HUBS, APART, BLOCK = 2, 8, 512
+#: have that are listed; and documents of a block, whose sketches take 512 KB, and longer texts' fine ones an eighth of a byte
+#: a shingle more.
+HUBS, APART, BLOCK = 2, 8, 4096
 #: Passes in which blocks give a forest of the pairs that sketches allow, before all that are left are given.
 FORESTS = 2
 #: 64-bit numbers of a sketch. Sets of more shingles than it has bits have a fine one as well.
@@ -290,19 +291,23 @@ def _near_by_sketch(group: pa.Table, forest: bool) -> pa.Table:
     return pa.table({"a": found[0], "b": found[1]})
 
 
-def pairs_left(rooted: DataFrame, sketched: DataFrame, forest: bool = False) -> DataFrame:
+def pairs_left(rooted: DataFrame, sketched: DataFrame, forest: bool = False) -> DataFrame | None:
     """(a, b): pairs of documents of one list (s, key, n, at, root) that nothing joins yet, all that can be similar.
 
     Lists with few such pairs are joined with themselves. Of the others each document's sketches go to as many tasks as
     the list has blocks, to be compared there: the work is the square of a list's documents, the rows are so over
     ``BLOCK``, and what comes out are near pairs. As a ``forest`` they are fewer than a task's documents, and lists with
-    few pairs give none.
+    few pairs give none (no table where all lists are such). A list of one block isn't dealt out: its rows go to one task each once.
     """
     counts = materialise(_apart(rooted).filter("apart > 0"), "near_apart")
     few = counts.filter(F.col("apart") <= APART * F.col("k")).select("s")
     many = counts.filter(F.col("apart") > APART * F.col("k")).select("s", F.ceil(F.col("k") / BLOCK).alias("blocks"))
+    most = many.agg(F.max("blocks")).first()[0] or 0
+    if not most:
+        return _pairs_apart(rooted.join(few, "s", "left_semi")) if not forest else None
     large = rooted.select("s", "key", "root").join(many, "s").join(sketched, "key")
-    large = large.withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if most > 1 else F.lit(0)
+    large = large.withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).withColumn("other", other)
     large = large.select("s", "key", "n", "root", "block", "sketch", "fine", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     near = large.groupBy("s", "low", "high").applyInArrow(lambda group: _near_by_sketch(group, forest), "a long, b long")
     return near if forest else _pairs_apart(rooted.join(few, "s", "left_semi")).unionByName(near)
@@ -329,7 +334,10 @@ def similar_groups(lists: DataFrame, texts: DataFrame, candidates: DataFrame) ->
     if not apart:
         return roots
     for _ in range(FORESTS):
-        links = links.unionByName(similar(pairs_left(rooted, sketched, forest=True), texts, sketched))
+        pairs = pairs_left(rooted, sketched, forest=True)
+        if pairs is None:
+            break
+        links = links.unionByName(similar(pairs, texts, sketched))
         earlier, rooted = rooted, materialise(_rooted(lists, components(links)), "near_rooted")
         release(earlier)
     return components(links.unionByName(similar(pairs_left(rooted, sketched), texts, sketched)))

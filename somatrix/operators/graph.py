@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somatrix.tables import materialise
+from somatrix.tables import materialise, release
 
 
 def _with_least(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.filter("u != v").distinct()
         small = _with_least(large, both_ways=False)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        edges = materialise(small.filter("u != v").distinct(), "links")
+        earlier, edges = edges, materialise(small.filter("u != v").distinct(), "links")
+        release(earlier)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

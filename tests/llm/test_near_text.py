@@ -130,3 +130,24 @@ def test_fine_sketches_tell_long_texts_apart():
     fine = [near_text.parities(x, near_text.fine_size(len(x))) for x in (one, other)]
     assert 9 * near_text._fine_differ(*coarse) <= len(one) + len(other) < 9 * near_text._fine_differ(*fine)
     assert near_text.fine_size(1024) == 0 and near_text.fine_size(1025) == 32
+
+
+def test_lists_of_one_block_are_not_dealt_out(spark, monkeypatch):
+    """Rows of a list of a thousand documents go to one task each once, and the pairs are those of many small blocks."""
+    monkeypatch.setattr(near_text, "COMMON", 10**9)
+    monkeypatch.setattr(near_text, "APART", 0)
+    rng = random.Random(10)
+    passage = " ".join(f"p{i}" for i in range(12))
+    owns = [[f"w{rng.randrange(10**6)}" for _ in range(40)] for _ in range(500)]
+    table = [(2 * i + j, f"{' '.join(edited(rng, own, j))} {passage}") for i, own in enumerate(owns) for j in range(2)]
+    texts = spark.createDataFrame(table, SCHEMA).select(F.col("doc_id").alias("key"), "text")
+    lists, sketched = near_text.prefix_lists(texts).withColumn("root", F.col("key")), near_text.sketches(texts)
+    assert lists.groupBy("s").count().agg(F.max("count")).first()[0] > 512
+    whole = near_text.pairs_left(lists, sketched)
+    assert "Generate" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(near_text, "BLOCK", 64)
+    dealt = near_text.pairs_left(lists, sketched)
+    assert "Generate" in dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in whole.distinct().collect()} == {tuple(r) for r in dealt.distinct().collect()}
+    monkeypatch.setattr(near_text, "APART", 10**6)
+    assert near_text.pairs_left(lists, sketched, forest=True) is None
