@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting to delete the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,13 +48,19 @@ def _path(spark: SparkSession, path: str):
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and any executor may be lost.
+    """Write ``df`` to the shared folder and read it back: lineage ends here and any executor may be lost. What was shuffled
+    for it is deleted as soon as it is written, not when the driver happens to collect its garbage.
 
     The files go when ``release`` is called, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/somatrix-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     target, system = _path(spark, path)
     system.deleteOnExit(target.getParent())
     return spark.read.schema(df.schema).parquet(path)

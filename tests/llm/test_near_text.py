@@ -1,11 +1,14 @@
 """The pipeline's near-duplicate stage against all pairs of documents."""
 
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from somatrix import tables
 from somatrix.llm import near_text, simhash
+from somatrix.operators import graph
 
 SCHEMA = "doc_id long, text string"
 
@@ -151,3 +154,32 @@ def test_lists_of_one_block_are_not_dealt_out(spark, monkeypatch):
     assert {tuple(r) for r in whole.distinct().collect()} == {tuple(r) for r in dealt.distinct().collect()}
     monkeypatch.setattr(near_text, "APART", 10**6)
     assert near_text.pairs_left(lists, sketched, forest=True) is None
+
+
+def test_few_links_take_one_stored_table_and_the_same_roots(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (400, 2))] + [(5, 5), (None, 3)]
+    for links in (spark.createDataFrame(rows, "a long, b long"), spark.createDataFrame([(f"é{a}", f"é{b}") for a, b in rows], "a string, b string")):
+        stored, real = [], graph.materialise
+        monkeypatch.setattr(graph, "materialise", lambda df, label: stored.append(label) or real(df, label))
+        few = sorted(map(tuple, graph.components(links).collect()))
+        assert stored == ["links"]
+        monkeypatch.setattr(graph, "FEW", 0)
+        assert few == sorted(map(tuple, graph.components(links).collect())) and len(stored) > 2
+        monkeypatch.undo()
+    assert graph.components(links.limit(0)).count() == 0
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return sum("shuffle" in str(x) for x in tracker.getAllFiles().mkString("\n").split("\n"))
+
+    before, kept = shuffled(), spark.conf.get(tables.CLEANUP, "false")
+    stored = tables.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "stored")
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before and stored.count() == 7 and spark.conf.get(tables.CLEANUP, "false") == kept
