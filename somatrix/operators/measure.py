@@ -9,11 +9,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from somatrix.operators.raster import label_square
-
 #: The eight neighbours, clockwise from the east, as (row, column).
 RING = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
 CELL_FEATURES = ("area", "perimeter", "circularity", "compactness", "orientation", "feret_diameter", "eccentricity", "aspect_ratio")
@@ -40,10 +38,9 @@ def outline(mask: np.ndarray) -> np.ndarray:
     """The outer border of the component that holds the first foreground pixel, as (x, y) in order, by following it
     around; points inside straight runs are left out."""
     m = np.pad(mask.astype(bool), 1)
-    start = np.argwhere(m)
-    if not len(start):
+    if not m.any():
         return np.empty((0, 2), np.int64)
-    at = first = tuple(start[0])
+    at = first = tuple(int(x) for x in np.unravel_index(m.argmax(), m.shape))
     back, path, begun = 4, [first], None
     while True:
         for k in range(1, 9):
@@ -67,11 +64,27 @@ def outline(mask: np.ndarray) -> np.ndarray:
 
 
 def _components(mask: np.ndarray, eight: bool) -> np.ndarray:
-    """The mask with a number above 0 for each of its components."""
-    r, c = np.nonzero(mask)
-    numbered = np.zeros(mask.shape, np.int64)
-    if len(r):
-        numbered[r, c] = label_square(pd.DataFrame({"r": r, "c": c}), eight) + 1
+    """The mask with a number above 0 for each of its components, ascending by their first pixels. Runs of pixels are joined,
+    not pixels: there are far fewer."""
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (row, start), stop = np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
+    width = mask.shape[1] + 2
+    low = np.searchsorted(row * width + stop, (row + 1) * width + start - eight, "right")
+    high = np.searchsorted(row * width + start, (row + 1) * width + stop + eight, "left")
+    beside = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(row)), beside)
+    b = np.repeat(low - np.cumsum(beside) + beside, beside) + np.arange(len(a))
+    root = np.arange(len(row))
+    while True:  # every root hooks to the least root beside it, then all paths are halved
+        one, other = root[a], root[b]
+        least, most = np.minimum(one, other), np.maximum(one, other)
+        if (least == most).all():
+            break
+        np.minimum.at(root, most, least)
+        while (root != root[root]).any():
+            root = root[root]
+    numbered = np.zeros(mask.shape, np.int32)
+    numbered[mask] = np.repeat(root + 1, stop - start)
     return numbered
 
 
@@ -231,8 +244,11 @@ def measure(pixels: DataFrame) -> DataFrame:
     kinds = dict(pixels.dtypes)
     names = [*CELL_FEATURES, *HULL_FEATURES, "solidity", "convexity", "skeleton_area"]
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        r, c = frame["r"].to_numpy(), frame["c"].to_numpy()
+    types = ", ".join(f"{n} double" for n in names)
+    corner = pa.list_(pa.struct([("r", pa.int64()), ("c", pa.int64())]))
+
+    def one(cell: pa.Table) -> pa.Table:
+        r, c = cell["r"].to_numpy(), cell["c"].to_numpy()
         mask = np.zeros((np.ptp(r) + 1, np.ptp(c) + 1), bool)
         mask[r - r.min(), c - c.min()] = True
         row = shape(mask) | hull_shape(mask)
@@ -244,21 +260,27 @@ def measure(pixels: DataFrame) -> DataFrame:
         corners = simplify(convex_hull(line), 0.02 * row["hull_perimeter"])
         row["hull_corners"] = [{"r": int(y + r.min()), "c": int(x + c.min())} for x, y in corners]
         flag = "few points" if row["eccentricity"] == 0 else None
-        return pd.DataFrame([{"img": frame["img"].iloc[0], "cell": frame["cell"].iloc[0], **row, "flag": flag}])
+        schema = pa.schema([*[(n, pa.float64()) for n in names], ("centre_r", pa.int64()), ("centre_c", pa.int64()), ("hull_corners", corner), ("flag", pa.string())])
+        found = pa.Table.from_pylist([row | {"flag": flag}], schema)
+        return found.add_column(0, "cell", cell["cell"].slice(0, 1)).add_column(0, "img", cell["img"].slice(0, 1))
 
-    types = ", ".join(f"{n} double" for n in names)
-    return pixels.groupBy("img", "cell").applyInPandas(one, f"img {kinds['img']}, cell {kinds['cell']}, {types}, centre_r long, centre_c long, hull_corners array<struct<r: long, c: long>>, flag string")
+    return pixels.groupBy("img", "cell").applyInArrow(one, f"img {kinds['img']}, cell {kinds['cell']}, {types}, centre_r long, centre_c long, hull_corners array<struct<r: long, c: long>>, flag string")
 
 
 def skeletons(pixels: DataFrame) -> DataFrame:
-    """(key, r, c): the thinned pixels of each cell of ``pixels`` (key, r, c)."""
+    """(key, r, c): the thinned pixels of each cell of ``pixels`` (key, r, c). Keys, which may be structs, stay Arrow's: as
+    Python's objects, one a pixel, they would take far more room than the picture."""
     kind = dict(pixels.dtypes)["key"]
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        r, c = frame["r"].to_numpy(), frame["c"].to_numpy()
+    def one(cell: pa.Table) -> pa.Table:
+        r, c = cell["r"].to_numpy(), cell["c"].to_numpy()
         mask = np.zeros((np.ptp(r) + 1, np.ptp(c) + 1), bool)
         mask[r - r.min(), c - c.min()] = True
         left_r, left_c = np.nonzero(thin(mask))
-        return pd.DataFrame({"key": [frame["key"].iloc[0]] * len(left_r), "r": left_r + r.min(), "c": left_c + c.min()})
+        key = cell["key"].slice(0, 1)
+        if pa.types.is_struct(key.type):
+            key = key.cast(pa.struct([part.with_nullable(True) for part in key.type]))
+        key = key.take(pa.array(np.zeros(len(left_r), np.int64)))
+        return pa.table([key, pa.array((left_r + r.min()).astype(np.int64)), pa.array((left_c + c.min()).astype(np.int64))], ["key", "r", "c"])
 
-    return pixels.groupBy("key").applyInPandas(one, f"key {kind}, r long, c long")
+    return pixels.groupBy("key").applyInArrow(one, f"key {kind}, r long, c long")

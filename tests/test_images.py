@@ -1,8 +1,13 @@
 """Image files out and in again, files that are no images, and what is drawn over images."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from somatrix.operators import measure, raster
 from somatrix.sources import files, images, png
 from somatrix.streaming import arrivals
 
@@ -89,3 +94,30 @@ def test_image_arrivals(spark, tmp_path):
     run()
     found = {(r["region"], r["n"]) for r in spark.read.parquet(out).collect()}
     assert ("CA1", 4) in found
+
+
+def test_components_of_runs_take_little_memory():
+    """Numbers follow first pixels, as by single pixels, in a tenth of their room."""
+    rng = np.random.default_rng(6)
+    for density in (0.0, 0.4, 0.6, 0.9, 1.0):
+        mask = rng.random((17, 23)) < density
+        for eight in (True, False):
+            r, c = np.nonzero(mask)
+            wanted = raster.label_square(pd.DataFrame({"r": r, "c": c}), eight) if len(r) else np.empty(0, int)
+            found = measure._components(mask, eight)[mask]
+            assert (np.unique(found, return_inverse=True)[1] == np.unique(wanted, return_inverse=True)[1]).all()
+    whole = np.ones((600, 600), bool)
+    tracemalloc.start()
+    assert len(measure.outlines(whole)) == 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * whole.size
+
+
+def test_cells_with_struct_keys_stay_in_arrow(spark):
+    key = F.struct(F.lit("a").alias("img"), F.col("cell"))
+    pixels = spark.range(60).select((F.col("id") % 2).alias("cell"), F.expr("id div 10").alias("r"), (F.col("id") % 10).alias("c"))
+    thinned = measure.skeletons(pixels.select(key.alias("key"), "r", "c"))
+    assert "FlatMapGroupsInArrow" in thinned._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r["key"]) for r in thinned.collect()} == {("a", 0), ("a", 1)}
+    assert "FlatMapGroupsInArrow" in measure.measure(pixels.withColumn("img", F.lit(1)))._jdf.queryExecution().optimizedPlan().toString()
