@@ -101,9 +101,11 @@ def phrase_matches(docs: DataFrame, wins: DataFrame, id_col: str = "doc_id", tex
     text = docs.select(F.col(id_col).alias("d_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("d_mark"), F.col(text_col).alias("text"))
     here = text["d_id"].eqNullSafe(found["id"]) & (text["d_mark"] == found["mark"])
     read = text.join(found, here).select("id", "mark", words(F.col("text")).alias("ws"), "places")
-    hits = F.filter("places", lambda x: F.slice(F.col("ws"), x["start"] + 1, F.size(x["win"])) == x["win"])
-    hits = F.transform(hits, lambda x: F.struct(x["start"].alias("start"), x["item"].alias("item"), F.size(x["win"]).alias("n")))
-    return read.select("id", "mark", hits.alias("hits")).filter(F.size("hits") > 0).dropDuplicates(["id", "mark"])
+    # exploded, as a filter of ``places`` would split the text into words once for each place
+    each = read.select("id", "mark", "ws", F.explode("places").alias("x"))
+    each = each.filter(F.slice("ws", F.col("x.start") + 1, F.size("x.win")) == F.col("x.win"))
+    hit = F.struct("x.start", "x.item", F.size("x.win").alias("n"))
+    return each.groupBy("id", "mark").agg(F.collect_set(hit).alias("hits"))
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, span: int, terms: int = 3, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

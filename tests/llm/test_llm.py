@@ -144,6 +144,13 @@ def test_contamination(spark, edge, empty):
     assert clean.columns == df.columns and clean.count() == sum(not r[-1] for r in brute_contamination(table, items))
 
 
+def test_texts_split_once(spark, edge):
+    """A text that is compared with its candidates is split into words once, not once for each place."""
+    bench = spark.createDataFrame([(1, edge[0][7][1][20:160])], "item_id long, text string")
+    found = decontaminate.phrase_matches(edge[1], decontaminate.windows(bench, 10))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_proximity(spark):
     docs = make(spark, ["alpha x x beta y gamma", "alpha " + "x " * 50 + "beta gamma", "gamma beta alpha", "alpha beta"])
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
