@@ -6,13 +6,17 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from somatrix.operators.neighbors import vectors
 from somatrix.tables import materialise, release
 
 #: Points in a slice at most, about; slices that each one is cut into; lists of neighbours that a task compares at once.
 LEAF, FAN, LISTS = 256, 8, 128
+#: Pairs whose vectors are subtracted at once.
+PAIRS = 1 << 14
 #: Up to so many slices their cuts are broadcast (7 numbers each); with more, none holds many rows and cuts are joined by a shuffle.
 BROADCAST_SLICES = 100_000
 
@@ -104,22 +108,29 @@ def _compared(points: DataFrame, state: DataFrame, k: int, n: int) -> DataFrame:
     members = points.join(reach, "id", "left").select(F.col("id").alias("dst"), "vec", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
     at = F.pmod(F.xxhash64("src"), F.lit(max(1, -(-n // LISTS)))).alias("at")
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["src", "dst"])
-        ids, reach, fresh = (rows[c].to_numpy() for c in ("dst", "reach", "fresh"))
-        x = np.stack(rows["vec"].to_numpy()).astype(np.float64)
-        starts = np.flatnonzero(np.r_[True, rows["src"].to_numpy()[1:] != rows["src"].to_numpy()[:-1]])
-        out = [pd.DataFrame({"src": ids[:0], "dst": ids[:0], "d": []})]
-        for low, high in zip(starts, np.r_[starts[1:], len(rows)], strict=True):
-            i, j = np.triu_indices(high - low, 1)
-            new = fresh[low + i] | fresh[low + j]
-            i, j = low + i[new], low + j[new]
-            d = np.sqrt(((x[i] - x[j]) ** 2).sum(axis=1))
-            for a, b in ((i, j), (j, i)):
-                nearer = d < reach[a]
-                if nearer.any():
-                    out.append(pd.DataFrame({"src": ids[a[nearer]], "dst": ids[b[nearer]], "d": d[nearer]}))
-        return pd.concat(out[1:] or out).drop_duplicates(["src", "dst"])
-
-    compared = lists.join(members, "dst").groupBy(at).applyInPandas(compare, f"src {kind}, dst {kind}, d double")
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("src", "ascending"), ("dst", "ascending")])
+        of, ids, reach, fresh = (rows[c].to_numpy() for c in ("src", "dst", "reach", "fresh"))
+        x, none = vectors(rows), np.empty(0, np.int64)
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        found_i, found_j = [none], [none]
+        for low, size in zip(starts, np.diff(np.r_[starts, len(of)]), strict=True):
+            i, j = pairs[size] = pairs.get(size) or np.triu_indices(size, 1)
+            i, j = low + i, low + j
+            new = fresh[i] | fresh[j]
+            found_i.append(i[new])
+            found_j.append(j[new])
+        i, j = np.concatenate(found_i), np.concatenate(found_j)
+        d = np.empty(len(i))
+        for at in range(0, len(i), PAIRS):
+            part = slice(at, at + PAIRS)
+            d[part] = np.sqrt(((x[i[part]] - x[j[part]]) ** 2).sum(axis=1))
+        nearer = np.r_[d < reach[i], d < reach[j]]
+        a, b, d = np.r_[i, j][nearer], np.r_[j, i][nearer], np.r_[d, d][nearer]
+        found = pd.DataFrame({"src": ids[a], "dst": ids[b], "d": d}).drop_duplicates(["src", "dst"])
+        kinds = [("src", rows["dst"].type), ("dst", rows["dst"].type), ("d", pa.float64())]
+        return pa.Table.from_pandas(found, pa.schema(kinds), preserve_index=False)
+
+    compared = lists.join(members, "dst").groupBy(at).applyInArrow(compare, f"src {kind}, dst {kind}, d double")
     return compared.withColumn("fresh", F.lit(True))

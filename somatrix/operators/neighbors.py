@@ -40,7 +40,7 @@ def _met(left: DataFrame, right: DataFrame, block: int | None) -> GroupedData:
     return one.unionByName(other).groupBy("a", "b")
 
 
-def _vectors(table: pa.Table) -> np.ndarray:
+def vectors(table: pa.Table) -> np.ndarray:
     """The column ``vec`` as a matrix."""
     flat = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(table.num_rows, -1)
@@ -126,7 +126,7 @@ def knn(points: DataFrame, k: int, block: int | None = None) -> DataFrame:
             return pa.table([ours["id"][:0], theirs["id"][:0], pa.array([], pa.float64())], ["src", "dst", "d"])
         theirs = theirs.sort_by("id")
         ids, others = (side["id"].to_numpy() for side in (ours, theirs))
-        i, j, d = _nearest(_vectors(ours), ids, _vectors(theirs), others, k)
+        i, j, d = _nearest(vectors(ours), ids, vectors(theirs), others, k)
         return pa.table([ours["id"].take(pa.array(i)), theirs["id"].take(pa.array(j)), pa.array(d)], ["src", "dst", "d"])
 
     kind, slim = dict(points.dtypes)["id"], points.select("id", "vec")
@@ -172,7 +172,7 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
 
 def _lightest(ours: pa.Table, theirs: pa.Table) -> pd.DataFrame:
     """(u, v, w, part, other): of each part of ``ours`` (id, vec, core, part) its lightest edge to another part in ``theirs``."""
-    tiles = Tiles(_vectors(ours), _vectors(theirs))
+    tiles = Tiles(vectors(ours), vectors(theirs))
     core_x, id_x, of_x = (ours[c].to_numpy() for c in ("core", "id", "part"))
     core_y, id_y, of_y = (theirs[c].to_numpy() for c in ("core", "id", "part"))
     names, number = np.unique(np.r_[of_x, of_y], return_inverse=True)

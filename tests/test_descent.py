@@ -111,3 +111,26 @@ def test_lightest_edges_between_parts(spark):
         best, u, v = min((w[i, j], min(i, j), max(i, j)) for i in np.flatnonzero(part == p) for j in np.flatnonzero(part != p))
         want.add((u, v, best, p, part[v] if part[u] == p else part[u]))
     assert {tuple(r) for r in found.collect()} == want
+
+
+def test_lists_are_compared_in_arrow(spark):
+    """Lists and vectors don't become Python's objects, and the pairs are those that a loop finds."""
+    x = np.random.default_rng(7).normal(size=(40, 3)).round(3)
+    near = neighbors.knn(frame(spark, x), 4).withColumn("fresh", (F.col("src") + F.col("dst")) % 3 == 0).localCheckpoint()
+    found = descent._compared(frame(spark, x), near, 4, 40)
+    assert "InPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+    rows = [tuple(r) for r in near.select("src", "dst", "d", "fresh").collect()]
+    lists, reach = {i: {} for i in range(40)}, dict.fromkeys(range(40), 0.0)
+    for i in range(40):
+        back = sorted((d, src, fresh) for src, dst, d, fresh in rows if dst == i)[:4]
+        for other, fresh in [(dst, f) for src, dst, _, f in rows if src == i] + [(src, f) for _, src, f in back]:
+            lists[i][other] = lists[i].get(other, False) or fresh
+        reach[i] = max(d for src, _, d, _ in rows if src == i)
+    wanted = set()
+    for held in lists.values():
+        for a in held:
+            for b in held:
+                if a != b and (held[a] or held[b]) and np.sqrt(((x[a] - x[b]) ** 2).sum()) < reach[a]:
+                    wanted.add((a, b))
+    assert wanted and {(r["src"], r["dst"]) for r in found.collect()} == wanted
