@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from somatrix.operators import hierarchy
+from somatrix.operators import hierarchy, layout
 from somatrix.operators.neighbors import fuzzy_union, knn, memberships, spanning_tree
 from somatrix.tables import materialise
 
@@ -52,19 +52,21 @@ def curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
     return best[1], best[2]
 
 
-def umap_layout(points: DataFrame, n_neighbors: int, min_dist: float, seed: int = 24, epochs: int = 50, negatives: int = 5, near: DataFrame | None = None) -> DataFrame:
+def umap_layout(points: DataFrame, n_neighbors: int, min_dist: float, seed: int = 24, epochs: int | None = None, negatives: int = 5, near: DataFrame | None = None) -> DataFrame:
     """(id, umap_1, umap_2): a layout of the fuzzy graph of ``points`` (id, vec).
 
-    The graph is relational. Each epoch moves all points at once: attraction along edges by joins and sums, repulsion
+    The graph is relational. Each epoch moves all points at once (``layout``): attraction along all edges, repulsion
     from ``negatives`` points that a hash of (id, epoch) draws. Unlike a sequential descent this spreads over tasks, and
-    the same seed gives the same layout; coordinates differ from those of other implementations. ``near`` gives the
-    neighbours where ``n_neighbors`` or more are known already."""
+    the same seed gives the same layout; coordinates differ from those of other implementations. Without ``epochs`` there
+    are as many as umap-learn takes: 500, or 200 for more than 10,000 points. ``near`` gives the neighbours where
+    ``n_neighbors`` or more are known already."""
     a, b = curve(min_dist)
     near = materialise(knn(points, n_neighbors), "neighbours") if near is None else near.filter(F.col("rank") <= n_neighbors)
     graph = fuzzy_union(memberships(near, n_neighbors))
-    both = materialise(graph.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(graph.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w")), "graph")
     ids = points.select("id")
     n = ids.count()
+    if epochs is None:
+        epochs = 500 if n <= 10_000 else 200
 
     def uniform(salt: int):
         return (F.pmod(F.xxhash64("id", F.lit(seed * 1000 + salt)), F.lit(1 << 20)) / float(1 << 20) - 0.5) * 20
@@ -73,24 +75,12 @@ def umap_layout(points: DataFrame, n_neighbors: int, min_dist: float, seed: int
     numbered = materialise(ids.select("id", uniform(1).alias("x"), uniform(2).alias("y"), F.shiftright(number, 33).alias("part"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "layout")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = numbered.groupBy("part").agg(F.count("*").alias("k")).select("part", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("start"))  # one row a partition
-    slots = materialise(numbered.join(starts, "part").select((F.col("start") + F.col("place")).alias("slot"), F.col("id").alias("other")), "slots")
-    place = numbered.select("id", "x", "y")
-    for epoch in range(epochs):
-        rate = 1.0 - epoch / epochs
-        there = place.select(F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-        pulled = both.join(place.withColumnRenamed("id", "src"), "src").join(there, "dst").withColumn("dd", F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-        g = F.col("w") * -2 * a * b * F.pow(F.greatest("dd", F.lit(1e-9)), F.lit(b - 1)) / (1 + a * F.pow("dd", F.lit(b)))
-        moves = pulled.select(F.col("src").alias("id"), (g * (F.col("x") - F.col("x2"))).alias("mx"), (g * (F.col("y") - F.col("y2"))).alias("my"))
-        draws = F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(seed + epoch), F.lit(j)), F.lit(n)) for j in range(negatives)]))
-        pushed = place.withColumn("slot", draws).join(slots, "slot").join(there.withColumnRenamed("dst", "other"), "other").filter("id != other")
-        pushed = pushed.withColumn("dd", F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-        h = 2 * b / ((0.001 + F.col("dd")) * (1 + a * F.pow("dd", F.lit(b))))
-        clip = lambda v: F.least(F.greatest(v, F.lit(-4.0)), F.lit(4.0))
-        moves = moves.unionByName(pushed.select("id", clip(h * (F.col("x") - F.col("x2"))).alias("mx"), clip(h * (F.col("y") - F.col("y2"))).alias("my")))
-        total = moves.groupBy("id").agg(F.sum("mx").alias("mx"), F.sum("my").alias("my"))
-        moved = place.join(total, "id", "left").select("id", *[(F.col(c) + rate * clip(F.coalesce(f"m{c}", F.lit(0.0)))).alias(c) for c in ("x", "y")])
-        place = materialise(moved, "layout")  # each epoch reads it three times
-    return place.select("id", F.col("x").alias("umap_1"), F.col("y").alias("umap_2"))
+    slots = materialise(numbered.join(starts, "part").select((F.col("start") + F.col("place")).alias("slot"), "id", F.xxhash64("id").alias("key"), "x", "y"), "slots")
+    a_slot, b_slot = (slots.select(F.col("id").alias(c), F.col("slot").alias(f"{c}_slot")) for c in ("a", "b"))
+    met = materialise(graph.join(a_slot, "a").join(b_slot, "b").select("a_slot", "b_slot", "w"), "graph")
+    both = met.toDF("src", "dst", "w").unionByName(met.toDF("dst", "src", "w"))
+    moved = layout.descend(slots.drop("id"), both, n, a, b, seed, epochs, negatives)
+    return slots.select("id", "slot").join(moved, "slot").select("id", F.col("x").alias("umap_1"), F.col("y").alias("umap_2"))
 
 
 def umap_grid(points: DataFrame, neighbours: tuple[int, ...] = (10, 15, 20, 30, 50), distances: tuple[float, ...] = (0.01, 0.05, 0.1), **options) -> DataFrame:

@@ -44,7 +44,7 @@ def hdbscan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def umap_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(clustering.umap_layout(points(spark, sf_dir), 10, 0.1, epochs=6), "umap_1", "umap_2")
+    return rounded(clustering.umap_layout(points(spark, sf_dir), 10, 0.1), "umap_1", "umap_2")
 
 
 QUERIES = {f.__name__: f for f in (measure_cells, cell_facts, hdbscan_labels, hdbscan_nested, hdbscan_report, umap_embed)}
