@@ -49,7 +49,10 @@ class Rule:
 
     def needed(self, own: np.ndarray, key: np.ndarray, tail: np.ndarray, epoch: int) -> np.ndarray:
         """Places, ascending, that a block reads in an epoch: its own, and if points move then, those that they meet."""
-        return np.unique(np.concatenate([own, tail, self.drawn(key, epoch).ravel()])) if 0 <= epoch < self.epochs else own
+        if not 0 <= epoch < self.epochs:
+            return own
+        met = np.sort(np.concatenate([own, tail, self.drawn(key, epoch).ravel()]))
+        return met[np.r_[True, met[1:] != met[:-1]]]
 
     def moved(self, xy: np.ndarray, needed: np.ndarray, own: np.ndarray, key: np.ndarray, head: np.ndarray, tail: np.ndarray, w: np.ndarray, epoch: int) -> np.ndarray:
         """Where the block's points are after an epoch. ``xy`` has the points at ``needed``."""
@@ -67,8 +70,9 @@ class Rule:
 
     def parts(self, places: np.ndarray) -> dict[int, np.ndarray]:
         """Ascending places by block."""
-        blocks, starts = np.unique(places // self.size, return_index=True)
-        return dict(zip(blocks.tolist(), np.split(places, starts[1:]), strict=True))
+        blocks = np.arange(places[0] // self.size, places[-1] // self.size + 1)
+        pieces = np.split(places, np.searchsorted(places, blocks[1:] * self.size))
+        return {k: v for k, v in zip(blocks.tolist(), pieces, strict=True) if len(v)}
 
 
 def _numbers(table: pa.Table, column: str) -> np.ndarray:
@@ -76,20 +80,24 @@ def _numbers(table: pa.Table, column: str) -> np.ndarray:
     return table[column].combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
 
-def _rows(rule: Rule, sender: int, given: dict[int, np.ndarray], asked: dict[int, np.ndarray]) -> pa.Table:
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    """A row for each array."""
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, values)]).astype(np.int32), np.concatenate(values))
+
+
+def _rows(sender: int, given: dict[int, np.ndarray], asked: dict[int, np.ndarray]) -> pa.Table:
     """A row for each block that is given positions, or asked for some."""
     to, none = sorted(given.keys() | asked.keys()), np.empty((0, 2))
     xy = [given.get(k, none) for k in to]
     lists = [[v[:, 0] for v in xy], [v[:, 1] for v in xy], [asked.get(k, none[:, 0].astype(np.int64)) for k in to]]
-    kinds = (pa.float64(), pa.float64(), pa.int64())
-    return pa.table([pa.array(to, pa.int32()), pa.array([sender] * len(to), pa.int32()), *[pa.array(v, pa.list_(k)) for v, k in zip(lists, kinds, strict=True)]], ["block", "sender", "x", "y", "asked"])
+    return pa.table([pa.array(to, pa.int32()), pa.array([sender] * len(to), pa.int32()), *map(_lists, lists)], ["block", "sender", "x", "y", "asked"])
 
 
 def _pack(key: tuple, points: pa.Table, edges: pa.Table) -> pa.Table:
-    """A block's points in order of their places, and its edges in order of both ends, as one row."""
-    points, edges = points.sort_by("place"), edges.sort_by([("head", "ascending"), ("tail", "ascending")])
+    """A block's points in order of their places, and its edges in order of both ends (looked up fastest so), as one row."""
+    points, edges = points.sort_by("place"), edges.sort_by([("tail", "ascending"), ("head", "ascending")])
     values = [points["key"], edges["head"], edges["tail"], edges["w"], points["x"], points["y"]]
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), *[pa.array([v.to_numpy()], pa.list_(v.type)) for v in values]], ["block", "key", "head", "tail", "w", "x", "y"])
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), *[_lists([v.to_numpy()]) for v in values]], ["block", "key", "head", "tail", "w", "x", "y"])
 
 
 def _begin(batches, rule: Rule):
@@ -100,7 +108,7 @@ def _begin(batches, rule: Rule):
             block, key, tail = row["block"][0].as_py(), _numbers(row, "key"), _numbers(row, "tail")
             own = block * rule.size + np.arange(len(key))
             xy = np.column_stack([_numbers(row, "x"), _numbers(row, "y")])
-            yield from _rows(rule, block, {block: xy}, rule.parts(rule.needed(own, key, tail, 0))).to_batches()
+            yield from _rows(block, {block: xy}, rule.parts(rule.needed(own, key, tail, 0))).to_batches()
 
 
 def _step(held: pa.Table, sent: pa.Table, rule: Rule, epoch: int) -> pa.Table:
@@ -113,7 +121,7 @@ def _step(held: pa.Table, sent: pa.Table, rule: Rule, epoch: int) -> pa.Table:
     if epoch >= 0:
         xy = rule.moved(xy, rule.needed(own, key, tail, epoch), own, key, head, tail, w, epoch)
     wanted = dict(zip(sent["sender"].to_pylist(), (v.values.to_numpy() - own[0] for v in sent["asked"]), strict=True))
-    return _rows(rule, block, {k: xy[v] for k, v in wanted.items() if len(v)}, rule.parts(rule.needed(own, key, tail, epoch + 2)))
+    return _rows(block, {k: xy[v] for k, v in wanted.items() if len(v)}, rule.parts(rule.needed(own, key, tail, epoch + 2)))
 
 
 def descend(points: DataFrame, edges: DataFrame, n: int, a: float, b: float, seed: int, epochs: int, negatives: int) -> DataFrame:
